@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelag.llm.common import ragged, read_table, texts
 
 #: Characters of text that are encoded together; bounds the memory of a task.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 24_000_000
 
 # The pre-tokenisation pattern of the vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -44,6 +44,14 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Numbers(dict):
+    """Numbers new keys as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = i = len(self)
+        return i
+
+
 class Vocabulary:
     """Merges as sorted arrays, and the bytes of every id."""
 
@@ -99,6 +107,8 @@ class Vocabulary:
         before[last[:-1] + 1] = n
         before[0] = n
         alive = np.ones(n + 1, bool)
+        merged = np.zeros(n + 1, bool)
+        merged[n] = True
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -123,8 +133,10 @@ class Vocabulary:
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
-            at = lists[0] if len(lists) == 1 else np.sort(np.concatenate(lists))
+            at = lists[0] if len(lists) == 1 else np.concatenate(lists)
             a, b = self.left[rank], self.right[rank]
+            if a == b:
+                at = np.sort(at)
             at = at[alive[at] & (symbol[at] == a)]
             nxt = after[at]
             keep = nxt < n
@@ -144,21 +156,18 @@ class Vocabulary:
             inside = further < n
             before[further[inside]] = at[inside]
             prior = before[at]
-            note(np.unique(np.concatenate((at, prior[prior < n]))))
+            merged[at] = True
+            prior = prior[~merged[prior]]
+            note(np.concatenate((at, prior)))
+            merged[at] = False
         kept = np.flatnonzero(alive[:n])
         return symbol[kept], np.bincount(piece[kept], minlength=len(parts))
 
     def encode(self, documents: list[str]) -> list[np.ndarray]:
         """The ids of each document; special tokens in a text are kept whole."""
-        known: dict[str, int] = {}
-        spelled: list[list[int]] = []
-        parts: list[bytes] = []
-
-        def number(piece: str) -> int:
-            known[piece] = i = len(parts)
-            parts.append(piece.encode("utf-8", "surrogatepass"))
-            return i
-
+        known = _Numbers()
+        number = known.__getitem__
+        spelled: list[np.ndarray] = []
         for text in documents:
             if self.special and any(t in text for t in self.added):
                 row = []
@@ -166,11 +175,11 @@ class Vocabulary:
                     if part in self.added:
                         row.append(-1 - self.added[part])
                     else:
-                        row += [known[p] if p in known else number(p) for p in pieces(part)]
+                        row += map(number, pieces(part))
             else:
-                row = [known[p] if p in known else number(p) for p in pieces(text)]
+                row = list(map(number, pieces(text)))
             spelled.append(np.array(row, np.int64))
-        ids, counts = self.encode_pieces(parts)
+        ids, counts = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in known])
         starts = np.cumsum(counts) - counts
         special = np.sort(np.fromiter(self.added.values(), np.int64, len(self.added)))
         ids, starts = np.concatenate((ids, special)), np.concatenate((starts, len(ids) + np.arange(len(special))))
@@ -178,7 +187,7 @@ class Vocabulary:
         out = []
         for row in spelled:
             if len(row) and row.min() < 0:
-                row = np.where(row < 0, len(parts) + np.searchsorted(special, -1 - row), row)
+                row = np.where(row < 0, len(known) + np.searchsorted(special, -1 - row), row)
             out.append(ids[ragged(starts[row], counts[row])] if len(row) else np.zeros(0, np.int64))
         return out
 
