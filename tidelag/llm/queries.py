@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelag.llm.bpe import op9_bpe_codec
 from tidelag.llm.media import op10_media_columns
+from tidelag.llm.quality import op2_quality_nbsvm
+from tidelag.llm.toxicity import op5_toxicity_ordinal
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_bpe_codec, op10_media_columns)}
+    return {f.__name__: f for f in (op2_quality_nbsvm, op5_toxicity_ordinal, op9_bpe_codec, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
