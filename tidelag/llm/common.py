@@ -19,11 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """The two columns that the operators read; a null text counts as empty."""
+    """The two columns that the operators read; a null text counts as empty.
+
+    Rows without a doc_id name no document and are left out.
+    """
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    ).where(F.col("doc_id").isNotNull())
 
 
 def shared_dir(spark: SparkSession) -> str:
