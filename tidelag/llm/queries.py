@@ -11,6 +11,7 @@ from tidelag.llm.decontaminate import op8_benchmark_leaks
 from tidelag.llm.jaccard import op6_jaccard_components
 from tidelag.llm.media import op10_media_columns
 from tidelag.llm.pii import op1_pii_bootstrap
+from tidelag.llm.pitman_yor import op7_pitman_yor
 from tidelag.llm.quality import op2_quality_nbsvm
 from tidelag.llm.separators import op3_token_counts
 from tidelag.llm.substrings import op4_repeated_substrings
@@ -18,7 +19,7 @@ from tidelag.llm.toxicity import op5_toxicity_ordinal
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_bootstrap, op2_quality_nbsvm, op3_token_counts, op4_repeated_substrings, op5_toxicity_ordinal, op6_jaccard_components, op8_benchmark_leaks, op9_bpe_codec, op10_media_columns)}
+    return {f.__name__: f for f in (op1_pii_bootstrap, op2_quality_nbsvm, op3_token_counts, op4_repeated_substrings, op5_toxicity_ordinal, op6_jaccard_components, op7_pitman_yor, op8_benchmark_leaks, op9_bpe_codec, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
