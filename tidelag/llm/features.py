@@ -25,13 +25,16 @@ def remainder5(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Texts of the labelled documents whose label may be learnt from: crc32(doc_id) mod 5 is not 0.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """Texts of at most ``most`` labelled documents whose label may be learnt from: crc32(doc_id) mod 5 is not 0.
 
-    Repeated labels of one document count once, as the highest; null labels are left out.
+    They are those with the smallest hashed doc_id, chosen from the labels alone, so that their
+    bounded list is broadcast and no text is shuffled. Repeated labels of one document count
+    once, as the highest; null labels are left out.
     """
     wanted = labels.where(F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
-    return docs.join(wanted.where(remainder5() != 0), "doc_id")
+    chosen = wanted.where(remainder5() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.join(F.broadcast(chosen), "doc_id")
 
 
 def numbered(texts: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Quality classifier: a linear hinge-loss model on n-gram indicators scaled by class log-count ratios.
 
-Counts behind the ratios come from every labelled document that may be learnt from; the linear
+Counts behind the ratios come from at most ``LABELLED_ROWS`` labelled documents; the linear
 model is fitted by dual coordinate descent on at most ``FIT_ROWS`` of them.
 """
 
@@ -19,6 +19,7 @@ from tidelag.llm.common import read_table, texts
 from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5, sample_rows
 
 BITS = 18
+LABELLED_ROWS = 20_000
 FIT_ROWS = 4000
 #: Features that are kept of one fitted row; rows with more give those of largest ratio.
 FIT_FEATURES = 4000
@@ -85,7 +86,7 @@ def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Learn from ``labels.quality``; without labels of both kinds every score is the share of ones."""
-    rows = labelled(docs, labels, "quality").select("doc_id", "text", "label")
+    rows = labelled(docs, labels, "quality", LABELLED_ROWS).select("doc_id", "text", "label")
     negative, positive = class_counts(rows, bits)
     ratio = log_count_ratios(negative, positive)
 

@@ -20,6 +20,8 @@ from tidelag.llm.common import read_table, tasks_for, texts
 from tidelag.llm.features import BLOCK_CHARS, labelled, sample_rows, word_counts, word_hashes
 
 GRADES = 3
+#: Labelled documents that words are chosen from, and those of them that weights are fitted on.
+LABELLED_ROWS = 40_000
 FIT_ROWS = 20_000
 #: Words that the model may weigh, those that tell the classes apart best.
 WORDS = 4096
@@ -90,7 +92,7 @@ def select_words(counts: DataFrame, n_positive: int, n_negative: int, most: int)
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words: int = WORDS) -> SeverityModel:
     """Learn from ``labels.toxic``; without toxic labels nothing is toxic."""
-    rows = labelled(docs, labels, "toxic").select("doc_id", "text", "label")
+    rows = labelled(docs, labels, "toxic", LABELLED_ROWS).select("doc_id", "text", "label")
     sizes = {r.label > 0: r["count"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
     positive, negative = sizes.get(True, 0), sizes.get(False, 0)
     if not positive or not negative:
