@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import blocks
 from tidelag.llm.common import read_table, texts
-from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5, sample_rows
+from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5
 
 BITS = 18
 LABELLED_ROWS = 20_000
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
                     found.append(own.astype("<i4").tobytes())
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "label": batch.label.iloc[part], "features": found})
 
-    fitted = sample_rows(rows, fit_rows).mapInPandas(featurise, "doc_id long, label int, features binary").collect()
+    fitted = labelled(docs, labels, "quality", fit_rows).select("doc_id", "text", "label").mapInPandas(featurise, "doc_id long, label int, features binary").collect()
     fitted.sort(key=lambda r: r.doc_id)
     order = np.random.default_rng(11).permutation(len(fitted))
     y = np.array([1.0 if fitted[i].label > 0 else -1.0 for i in order])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import blocks
 from tidelag.llm.common import read_table, tasks_for, texts
-from tidelag.llm.features import BLOCK_CHARS, labelled, sample_rows, word_counts, word_hashes
+from tidelag.llm.features import BLOCK_CHARS, labelled, word_counts, word_hashes
 
 GRADES = 3
 #: Labelled documents that words are chosen from, and those of them that weights are fitted on.
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words
                 ends = np.searchsorted(doc, np.arange(len(chunk) + 1))
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "label": batch.label.iloc[part], "found": [at[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]})
 
-    fitted = sample_rows(rows, fit_rows).mapInPandas(featurise, "doc_id long, label int, found binary").collect()
+    fitted = labelled(docs, labels, "toxic", fit_rows).select("doc_id", "text", "label").mapInPandas(featurise, "doc_id long, label int, found binary").collect()
     fitted.sort(key=lambda r: r.doc_id)
     found = [np.frombuffer(r.found, "<i4").astype(np.int64) for r in fitted]
     grade = np.array([min(GRADES, max(1, len(f))) if r.label > 0 else 0 for r, f in zip(fitted, found, strict=True)])
