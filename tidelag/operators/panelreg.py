@@ -148,7 +148,7 @@ def run_panel(rows: DataFrame, direction: str = "forward", horizon_max: int = 5,
     fits = within_ols(rows, [f"{roles.prefix}_fwd_{h}" for h in range(1, horizon_max + 1)], xs, roles.entity, **how)
     known = lambda v: None if isinstance(v, float) and math.isnan(v) else v
     found = [(h, *(known(fit[c]) for c in ("beta", "se", "t", "p", "nobs"))) for h, fit in enumerate(fits, 1)]
-    return rows.sparkSession.createDataFrame(found, T.StructType.fromDDL("h int, beta double, se double, t double, p double, nobs bigint"))
+    return rows.sparkSession.createDataFrame(found, "h int, beta double, se double, t double, p double, nobs bigint")
 
 
 def horizon_profile(results: DataFrame, z: float = 1.96) -> DataFrame:

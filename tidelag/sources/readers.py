@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,33 +12,28 @@ from tidelag.functions.text import normalise, trim_blanks, zero_fill
 from tidelag.sources import schemas
 
 
-def file_order() -> Column:
-    """Sorts rows as their files hold them: by file, block, and place in the block."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
-
-
 def read_positional(spark: SparkSession, path: str, schema: T.StructType, least_fields: int, allow_missing: bool = False) -> DataFrame:
-    """Trimmed text columns of a CSV with a header of any names, with ``ord`` for the order of lines.
+    """Trimmed text columns of a CSV with a header of any names, read by position.
 
-    Lines with fewer than ``least_fields`` fields are dropped; fields beyond the schema are ignored.
+    ``ord`` sorts rows as their files hold them: by file, block, and place in the block. Lines
+    with fewer than ``least_fields`` fields are dropped; fields beyond the schema are ignored.
     """
     try:
         lines = spark.read.text(path)
     except AnalysisException:
         if not allow_missing:
             raise
-        return spark.createDataFrame([], T.StructType([T.StructField("ord", T.LongType()), *schema.fields]))
-    wide = T.StructType([*schema.fields, *(T.StructField(f"_more{k}", T.StringType()) for k in range(4))])
+        return spark.createDataFrame([], T.StructType([T.StructField("ord", schemas.PLACE), *schema.fields]))
+    ord_ = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block_start"), F.monotonically_increasing_id().alias("id"))
     rows = lines.select(
-        file_order().alias("at"), F.col("_metadata.file_block_start").alias("block"), "value",
-        F.from_csv("value", wide.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("f"),
+        ord_.alias("ord"), F.from_csv("value", ", ".join(f"{c.name} string" for c in schema.fields), {"quote": '"', "escape": '"'}).alias("f"),
         F.size(F.split(F.regexp_replace("value", r'"[^"]*"', ""), ",")).alias("fields"),
     )
-    first = Window.partitionBy("at.file_path").orderBy("at.file_block_start", "at.id")
-    rows = rows.where((F.col("fields") >= least_fields) | (F.col("block") == 0)).withColumn("line", F.when(F.col("block") == 0, F.row_number().over(first)))
-    kept = rows.where((F.coalesce("line", F.lit(2)) > 1) & (F.col("fields") >= least_fields))
-    order = F.xxhash64("at.file_path").bitwiseAND(0)  # files are read in the order of their ids
-    return kept.select((F.col("at.id") + order).alias("ord"), *(trim_blanks(F.coalesce(F.col(f"f.{c.name}"), F.lit(""))).alias(c.name) for c in schema.fields))
+    # only the first block of a file is numbered, to leave out its first line
+    begins = F.col("ord.file_block_start") == 0
+    number = F.row_number().over(Window.partitionBy("ord.file_path").orderBy("ord.id"))
+    kept = rows.where(~begins).unionByName(rows.where(begins).withColumn("n", number).where("n > 1").drop("n")).where(F.col("fields") >= least_fields)
+    return kept.select("ord", *(trim_blanks(F.coalesce(F.col(f"f.{c.name}"), F.lit(""))).alias(c.name) for c in schema.fields))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
