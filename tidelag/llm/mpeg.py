@@ -152,6 +152,7 @@ def _read_tag(data: bytes, out: Stream) -> int:
 def read_stream(data: bytes) -> Stream:
     """Parse a stream; bytes that are no frame are skipped up to the next pair of headers that fit.
 
+    A frame that follows the last one at once and has a sound checksum needs no header behind it.
     Frames whose checksum fails are counted, keep their place in time, and give no payload.
     """
     out, parts = Stream(), []
@@ -159,23 +160,25 @@ def read_stream(data: bytes) -> Stream:
     if data[-128:-125] == b"TAG" and end >= 128:
         end -= 128
     checked: dict[bytes, bool] = {}
+    expected = at
     while at + 4 <= end:
         header = read_header(data[at : at + 4])
         stop = at + header.length if header else 0
-        if header is None or stop > end or (stop + 4 <= end and read_header(data[stop : stop + 4]) is None):
-            further = data.find(b"\xff", at + 1, end)
-            further = end if further < 0 else further
-            out.skipped += further - at
-            at = further
-            continue
-        body = at + header.body
-        sound = True
-        if header.protected:
+        body, sound = at + (header.body if header else 0), True
+        if header and header.protected and stop <= end:
             covered = data[at + 2 : body]
             if (sound := checked.get(covered)) is None:
                 sound = crc16(covered[:2] + covered[4:]) == covered[2] << 8 | covered[3]
                 if len(checked) < 256:
                     checked[covered] = sound
+        led_on = stop + 4 > end or read_header(data[stop : stop + 4]) is not None
+        in_sync = at == expected and header is not None and header.protected and sound
+        if header is None or stop > end or not (led_on or in_sync):
+            further = data.find(b"\xff", at + 1, end)
+            further = end if further < 0 else further
+            out.skipped += further - at
+            at = further
+            continue
         if first and data[body : body + 4] in (b"Xing", b"Info"):
             flags, where = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
             if flags & 1:
@@ -194,7 +197,7 @@ def read_stream(data: bytes) -> Stream:
             else:
                 out.bad_crc += 1
         first = False
-        at = stop
+        at = expected = stop
     out.skipped += end - at
     out.payload = b"".join(parts)
     owned = out.tags.get("PRIV", b"")

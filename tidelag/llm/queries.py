@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelag.llm import sql
 from tidelag.llm.bpe import op9_bpe_codec
 from tidelag.llm.decontaminate import op8_benchmark_leaks
 from tidelag.llm.jaccard import op6_jaccard_components
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
