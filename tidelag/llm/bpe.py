@@ -19,10 +19,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelag.llm.common import ragged, read_table, texts
+from tidelag.llm.common import ragged, read_table, release_memory, texts
 
 #: Characters of text that are encoded together; bounds the memory of a task.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 4_000_000
 
 # The pre-tokenisation pattern of the vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -238,6 +238,7 @@ def encode_column(docs: DataFrame, path: str | None = None, block_chars: int = B
             for part in blocks(all_texts := batch.text.tolist(), block_chars):
                 ids = vocabulary.encode(all_texts[part])
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "ids": [x.astype(np.int32) for x in ids], "decoded": [vocabulary.decode(x) for x in ids]})
+                release_memory()
 
     return texts(docs).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
@@ -258,6 +259,7 @@ def encoding_digest(docs: DataFrame, path: str | None = None, block_chars: int =
                     "ids_sha256": [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
                     "decoded_sha256": [sha256(vocabulary.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids],
                 })
+                release_memory()
 
     return texts(docs).mapInPandas(run, schema)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word characters of every word-based operator: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 _UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -87,6 +90,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are used again by later tasks, and an
+    executor's Python processes share one limit with its heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

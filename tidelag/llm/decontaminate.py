@@ -32,7 +32,7 @@ POSTING_BLOCK = 4
 #: Share of the items above which a term counts as common.
 COMMON = 0.05
 WORDS = re.compile(r"[^\W_]+")
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 

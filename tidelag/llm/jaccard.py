@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import _Numbers, blocks
-from tidelag.llm.common import connected_components, mix64, read_table, staged, tasks_for, texts, words_of
+from tidelag.llm.common import connected_components, mix64, read_table, release_memory, staged, tasks_for, texts, words_of
 from tidelag.llm.features import hash_of
 
 WIDTH = 5
 PERCENT = 75
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 1_500_000
 BUCKET_CHARS = 12_000_000
 SIGNATURE_BITS = 1024
 TILE_BLOCK = 1000
@@ -111,6 +111,7 @@ def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                         rows.append((0, b, chunk, counts.tobytes(), (key >> np.uint64(32) & np.uint64(255)).astype(np.uint8).tobytes(), key.astype(np.uint32).tobytes()))
                 yield pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "counts", "high", "low"])
                 chunk += 1
+                release_memory()
 
     back = "kind int, chunk long, counts binary, keys binary, df binary"
 
@@ -137,6 +138,7 @@ def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                     owner = np.repeat(np.arange(len(counts)), counts)[keep]
                     whole = keys[own][keep] | bucket << np.uint64(40)
                     out.append((0, r.chunk, np.bincount(owner, minlength=len(counts)).astype("<u4").tobytes(), whole.tobytes(), df[own][keep].tobytes()))
+        release_memory()
         return pd.DataFrame(out, columns=["kind", "chunk", "counts", "keys", "df"])
 
     schema = "doc_id long, n long, set_a long, set_b long, own long, prefix array<long>, shared binary, sig binary"

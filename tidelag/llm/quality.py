@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import blocks
-from tidelag.llm.common import read_table, texts
+from tidelag.llm.common import read_table, release_memory, texts
 from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5
 
 BITS = 18
@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: QualityModel, bits: int = BITS) -> DataFrame:
                 chunk = all_texts[part]
                 doc, feature = ngram_indicators(chunk, bits)
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "score": model.scores(doc, feature, len(chunk))})
+            release_memory()
 
     return docs.mapInPandas(run, "doc_id long, score double")
 

@@ -24,7 +24,7 @@ from tidelag.llm.suffixes import suffix_array
 
 WINDOW = 100
 GRAM = 24
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 BUCKET_CHARS = 24_000_000
 #: Bytes of runs that share one suffix array; runs of one anchor always do.
 SORTED_BYTES = 20_000

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import blocks
-from tidelag.llm.common import read_table, tasks_for, texts
+from tidelag.llm.common import read_table, release_memory, tasks_for, texts
 from tidelag.llm.features import BLOCK_CHARS, labelled, word_counts, word_hashes
 
 GRADES = 3
@@ -133,6 +133,7 @@ def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
                     "doc_id": batch.doc_id.iloc[part], "expected_severity": reach.sum(1), "p_toxic": reach[:, 0],
                     "grade": (reach >= 0.5).sum(1), "toxic": (reach[:, 0] >= THRESHOLD).astype(int),
                 })
+            release_memory()
 
     return docs.mapInPandas(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic int")
 
