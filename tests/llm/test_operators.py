@@ -98,6 +98,14 @@ def test_jaccard_blocks_of_tiles(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_copies_in_descending_order(spark):
+    text = [f"w{k}" for k in range(60)]
+    near = [" ".join(text[:k] + ["x"] + text[k + 1 :]) for k in (3, 30)]
+    rows = [(10, " ".join(text)), (5, " ".join(text)), (8, near[0]), (7, near[1]), (2, near[1]), (9, "alone")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows).coalesce(1)).collect()}
+    assert got == brute_components(rows) and got[10][1] == 2
+
+
 def brute_substrings(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):

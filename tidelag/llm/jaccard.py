@@ -96,7 +96,9 @@ def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                 digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sizes = np.array([len(s) for s in sets], "<i8")
                 first: dict[bytes, int] = {}
-                once = [first.setdefault(d, i) == i for i, d in enumerate(digests)]
+                for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest doc_id sends
+                    first.setdefault(digests[i], i)
+                once = [first[d] == i for i, d in enumerate(digests)]
                 rows = [(1, chunk % buckets, chunk, ids.tobytes(), b"".join(digests), sizes.tobytes())]
                 flat = np.concatenate([s if o else s[:0] for s, o in zip(sets, once, strict=True)])
                 owner = np.repeat(np.arange(len(sets)), np.where(once, sizes, 0))
@@ -256,8 +258,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     table = staged(profile(texts(docs), width, percent), "jaccard-sets")
     first = table.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
     classes = staged(table.select("doc_id", "n", "set_a", "set_b").join(first, ["set_a", "set_b"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "jaccard-classes")
-    one_each = classes.where("doc_id = first").select("doc_id").distinct()
-    candidates = staged(table.where("prefix is not null").dropDuplicates(["doc_id"]).join(one_each, "doc_id", "left_semi"), "jaccard-candidates")
+    one_each = table.where("prefix is not null").join(first, ["set_a", "set_b"]).where("doc_id = first").dropDuplicates(["set_a", "set_b"])
+    candidates = staged(one_each.drop("first"), "jaccard-candidates")
     members = staged(tiles(candidates), "jaccard-tiles")
     links, found = None, None
     for turn in range(STAR_ROUNDS + 1):
