@@ -239,6 +239,17 @@ def test_seating_is_a_restaurant():
     assert draws.mean() == pytest.approx(1 + 1 / 2 + 1 / 3, abs=0.05)  # weight 1: the k-th opens a table with 1/k
 
 
+@pytest.mark.parametrize(("weight", "discount", "count"), [(100.0, 0.8, 1000), (3000.0, 0.8, 10000), (0.3, 0.5, 1000), (2.0, 0.0, 40)])
+def test_seating_of_many_customers_equals_one_by_one(weight, discount, count):
+    rng = np.random.default_rng(2)
+    exact = np.ones(400)
+    for k in range(1, count):
+        exact += rng.random(400) * (weight + k - discount * exact) < weight
+    got = pitman_yor.seat(np.full(400, count), np.full(400, weight), discount, rng)
+    assert abs(got.mean() - exact.mean()) < 4 * math.sqrt((got.var() + exact.var()) / 400)
+    assert 0.7 < (got.std() + 0.1) / (exact.std() + 0.1) < 1.4
+
+
 def labelled_docs(spark):
     rng = np.random.default_rng(3)
     plain = [f"p{k}" for k in range(300)]

@@ -31,26 +31,31 @@ STRENGTH = 1.0
 END = "\t"
 CHUNK_CHARS = 8_000_000
 BUCKET_CHARS = 16_000_000
-#: Customers of a dish that are seated one by one; more are seated by the Poisson limit.
-ONE_BY_ONE = 32
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Sampled tables of each dish: ``weight`` is (strength + discount * tables) * parent probability.
 
     A customer opens a table with probability weight / (weight + seated - discount * tables).
+    Between two openings ``tables`` stands still, and the number of customers who join tables
+    before the next one opens is geometric with a chance drawn from
+    Beta(weight, seated - discount * tables): one step for each table, exact for any number.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    for k in range(1, ONE_BY_ONE):
-        open_ = np.flatnonzero(customers > k)
-        if not len(open_):
-            return tables
-        w = weight[open_]
-        tables[open_] += rng.random(len(open_)) * (w + k - discount * tables[open_]) < w
-    open_ = np.flatnonzero(customers > ONE_BY_ONE)
-    if len(open_):
-        w, c = weight[open_], customers[open_]
-        tables[open_] = np.minimum(c, tables[open_] + rng.poisson(w * np.log((w + c) / (w + ONE_BY_ONE))))
+    open_ = np.flatnonzero(customers > 1)
+    w, c = np.asarray(weight, np.float64)[open_], customers[open_].astype(np.float64)
+    seated, opened = np.ones(len(open_)), np.ones(len(open_), np.int64)
+    while len(open_):
+        with np.errstate(divide="ignore", over="ignore"):
+            join = np.floor(rng.standard_exponential(len(open_)) / -np.log1p(-rng.beta(w, seated - discount * opened)))
+        seated = seated + join + 1
+        more = seated <= c
+        opened += more
+        tables[open_[~more]] = opened[~more]
+        last = seated == c
+        tables[open_[last]] = opened[last]
+        left = seated < c
+        open_, w, c, seated, opened = open_[left], w[left], c[left], seated[left], opened[left]
     return tables
 
 
