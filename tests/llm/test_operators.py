@@ -230,6 +230,14 @@ def test_language_model(spark, docs, empty):
     assert pitman_yor.score_documents(empty).count() == 0
 
 
+def test_language_model_asks_once_for_a_frequent_pair(docs):
+    chunk = pitman_yor.Chunk.of(["the cat " * 5000, "the cat ran"], 3)
+    pair_of, asked = chunk.pairs(3)
+    assert len(pair_of) == 10005 and sum(len(pairs) for *_, pairs in asked) == len(set(pair_of)) == 6
+    plan = pitman_yor.score_documents(docs)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan  # one word's tokens do not meet in a group
+
+
 def test_seating_is_a_restaurant():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 5, 40, 4000])

@@ -103,18 +103,23 @@ class Model:
     def parent_probability(self, t: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.discount * tables + self.base_weight(t)) / (STRENGTH + t.parent_customers)
 
-    def predict(self, table: "Bucket", bucket: int, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def samples(self, table: "Bucket", bucket: int) -> list[tuple[Totals, np.ndarray, np.ndarray]]:
+        """Of each kept sample: totals, what each count leaves after the discount, the parent's probability of each word and of an unknown one."""
+        kept = []
+        for k, (tables, parent, parent_tables) in enumerate(self.sweeps(table.word, table.context, table.count, table.n, bucket)):
+            if k >= SWEEPS - KEPT:
+                t = self.totals[k + 1]
+                p = np.r_[self.parent_probability(t, parent, parent_tables), self.base_weight(t) / (STRENGTH + t.parent_customers)]
+                kept.append((t, table.count - self.discount * tables, p))
+        return kept
+
+    def predict(self, table: "Bucket", samples: list[tuple[Totals, np.ndarray, np.ndarray]], word: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log10 of the averaged predictive probability of words (-1: unknown) in contexts."""
         at, known = table.find(word, context)
         mean = np.zeros(len(word))
-        for k, (tables, parent, parent_tables) in enumerate(self.sweeps(table.word, table.context, table.count, table.n, bucket)):
-            if k < SWEEPS - KEPT:
-                continue
-            t = self.totals[k + 1]
-            p = np.r_[self.parent_probability(t, parent, parent_tables), self.base_weight(t) / (STRENGTH + t.parent_customers)]
-            total = STRENGTH + t.customers[context]
-            own = np.where(known, table.count[at] - self.discount * tables[at], 0.0) if len(tables) else 0.0
-            mean += (own + (STRENGTH + self.discount * t.tables[context]) * p[word]) / total
+        for t, left, p in samples:
+            own = np.where(known, left[at], 0.0) if len(left) else 0.0
+            mean += (own + (STRENGTH + self.discount * t.tables[context]) * p[word]) / (STRENGTH + t.customers[context])
         return np.log10(mean / KEPT)
 
 
@@ -137,10 +142,10 @@ class Bucket:
         return {"words": [b" ".join(self.words)], "per_word": [per_word.tobytes()], "context": [self.context.astype("<u2").tobytes()], "count": [small(self.count)]}
 
 
-def unpack(row) -> Bucket:
-    words = row.words.split(b" ") if row.words else []
-    word = np.repeat(np.arange(len(words)), np.frombuffer(row.per_word, "<u2"))
-    return Bucket(words, word << 16 | np.frombuffer(row.context, "<u2"), large(row.count_, len(word)))
+def unpack(words: bytes, per_word: bytes, context: bytes, count: bytes) -> Bucket:
+    spelled = words.split(b" ") if words else []
+    word = np.repeat(np.arange(len(spelled)), np.frombuffer(per_word, "<u2"))
+    return Bucket(spelled, word << 16 | np.frombuffer(context, "<u2"), large(count, len(word)))
 
 
 def small(counts: np.ndarray) -> bytes:
@@ -193,6 +198,16 @@ class Chunk:
                 tokens = by_token[token_ends[b] : token_ends[b + 1]]
                 yield b, [spelled[i] for i in own], tokens, place[self.word[tokens]]
 
+    def pairs(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, list[bytes], np.ndarray]]]:
+        """For each token its place among the distinct pairs; (bucket, its words, sorted distinct pairs of word and context)."""
+        pair_of, asked, n = np.empty(len(self.word), "<u4"), [], 0
+        for b, words, tokens, place in self.by_bucket(np.arange(len(self.word)), buckets):
+            distinct, index = np.unique(place << 16 | self.context[tokens], return_inverse=True)
+            pair_of[tokens] = n + index
+            n += len(distinct)
+            asked.append((b, words, distinct))
+        return pair_of, asked
+
 
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, words, per_word, context, count_: words after contexts in the training texts."""
@@ -210,7 +225,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     def add(batch: pd.DataFrame) -> pd.DataFrame:
         known, keys, counts = _Numbers(), [], []
         for row in batch.rename(columns={"count": "count_"}).itertuples():
-            table = unpack(row)
+            table = unpack(row.words, row.per_word, row.context, row.count_)
             place = np.fromiter(map(known.__getitem__, table.words), np.int64, table.n)
             keys.append(place[table.word] << 16 | table.context)
             counts.append(table.count)
@@ -250,7 +265,7 @@ def fit(counts: DataFrame) -> Model:
             part = 0
             for batch in batches:
                 for row in batch.itertuples():
-                    table, part = unpack(row), row.bucket % 16
+                    table, part = unpack(row.words, row.per_word, row.context, row.count_), row.bucket % 16
                     if model is None:
                         ones = np.minimum(table.count, 1)
                         total += totals_of(table, ones, table.n, [table.n, int((table.count == 1).sum()), int((table.count == 2).sum())])
@@ -272,60 +287,59 @@ def fit(counts: DataFrame) -> Model:
 
 def score(docs: DataFrame, counts: DataFrame, model: Model, buckets: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sent = "kind int, bucket int, chunk long, words binary, doc binary, word binary, context binary"
+    columns = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
+    names = [c.split()[0] for c in columns.split(", ")]
     floor = model.tokens + 0.5 * (model.types + 1)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A chunk's distinct pairs of word and context to the words' buckets, its documents and tokens to itself."""
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
                 ids, held = batch.doc_id.iloc[part].to_numpy("<i8"), batch.held_out.iloc[part].to_numpy(bool)
                 chunk = Chunk.of(all_texts[part], buckets)
-                out = [(1, number % buckets, number, b"", ids.tobytes(), held.astype(np.uint8).tobytes(), chunk.lengths.astype("<i8").tobytes())]
-                for b, words, tokens, place in chunk.by_bucket(np.arange(len(chunk.word)), buckets):
-                    uses = np.bincount(chunk.doc[tokens], minlength=len(ids)).astype("<u4")
-                    out.append((0, b, number, b" ".join(words), uses.tobytes(), place.astype("<u4" if len(words) > 65535 else "<u2").tobytes(), chunk.context[tokens].astype("<u2").tobytes()))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in sent.split(", ")])
+                pair_of, asked = chunk.pairs(buckets)
+                out = []
+                for b, words, pairs in asked:
+                    per_word = np.bincount(pairs >> 16, minlength=len(words)).astype("<u4")
+                    out.append((0, b, number, b" ".join(words), per_word.tobytes(), (pairs & 0xFFFF).astype("<u2").tobytes(), b""))
+                out.append((1, number % buckets, number, ids.tobytes(), held.astype(np.uint8).tobytes(), chunk.lengths.astype("<i8").tobytes(), pair_of.tobytes()))
+                yield pd.DataFrame(out, columns=names)
                 number += 1
 
-    def bucket_sums(batch: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        """Each chunk's documents with what this bucket's words add; lists of documents pass through."""
-        out = [(1, r.chunk, r.doc, r.word, r.context) for r in batch[batch.kind == 1].itertuples()]
-        batch = batch[batch.kind == 0]
-        if len(batch):
-            bucket = int(batch.bucket.iloc[0])
-            table = unpack(next(counted.itertuples())) if len(counted) else Bucket([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-            place_of = {w: i for i, w in enumerate(table.words)}
-            base = np.log10((np.r_[table.totals, 0] + 0.5) / floor)
-            shared, where = [], []
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Row by row, a bucket's counts first: what a chunk asks for is never gathered with that of others."""
+        bucket = None
+        for batch in batches:
             for r in batch.itertuples():
-                place = np.array([place_of.get(w, -1) for w in r.words.split(b" ")], np.int64)
-                context = np.frombuffer(r.context, "<u2").astype(np.int64)
-                word = place[np.frombuffer(r.word, "<u2" if len(r.word) == len(r.context) else "<u4")]
-                shared.append(word << 16 | context)
-                where.append(len(context))
-            distinct, index = np.unique(np.concatenate(shared), return_inverse=True)
-            own = model.predict(table, bucket, distinct >> 16, distinct & 0xFFFF)
-            word, own = (distinct >> 16)[index], own[index]
-            at = 0
-            for r, n in zip(batch.itertuples(), where, strict=True):
-                uses = np.frombuffer(r.doc, "<u4").astype(np.int64)
-                doc, w = np.repeat(np.arange(len(uses)), uses), word[at : at + n]
-                sums = [np.bincount(doc, x, len(uses)) for x in (base[w], own[at : at + n], w >= 0)]
-                out.append((0, r.chunk, *(x.astype("<f8").tobytes() for x in sums)))
-                at += n
-        return pd.DataFrame(out, columns=["kind", "chunk", "a", "b", "c"])
+                if r.kind == 1:
+                    yield pd.DataFrame([r[1:]], columns=names)
+                    continue
+                if r.bucket != bucket:
+                    bucket = r.bucket
+                    table = unpack(r.a, r.b, r.c, r.d) if r.kind < 0 else Bucket([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    place_of = {w: i for i, w in enumerate(table.words)}
+                    base = np.log10((np.r_[table.totals, 0] + 0.5) / floor)
+                    samples = model.samples(table, bucket)
+                if r.kind == 0:
+                    place = np.array([place_of.get(w, -1) for w in r.a.split(b" ")], np.int64)
+                    word = np.repeat(place, np.frombuffer(r.b, "<u4"))
+                    own = model.predict(table, samples, word, np.frombuffer(r.c, "<u2").astype(np.int64))
+                    yield pd.DataFrame([(0, bucket, r.chunk, own.tobytes(), base[place].tobytes(), (place >= 0).astype(np.uint8).tobytes(), r.b)], columns=names)
 
     def chunk_rows(batch: pd.DataFrame) -> pd.DataFrame:
         listed = batch[batch.kind == 1].iloc[0]
         ids, held, n = np.frombuffer(listed.a, "<i8"), np.frombuffer(listed.b, np.uint8) > 0, np.frombuffer(listed.c, "<i8")
-        parts = batch[batch.kind == 0]
-        base, own, known = (np.sum([np.frombuffer(x, "<f8") for x in parts[c]], axis=0) for c in "abc")
+        parts = batch[batch.kind == 0].sort_values("bucket")
+        uses = np.frombuffer(b"".join(parts.d), "<u4")
+        own, base, known = np.frombuffer(b"".join(parts.a)), np.repeat(np.frombuffer(b"".join(parts.b)), uses), np.repeat(np.frombuffer(b"".join(parts.c), np.uint8), uses)
+        doc, pair = np.repeat(np.arange(len(ids)), n), np.frombuffer(listed.d, "<u4")
+        own, base, known = (np.bincount(doc, x[pair], len(ids)) for x in (own, base, known))
         return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": np.round(known).astype(np.int64), "train_tokens": model.tokens, "base_score": base, "score": own})
 
-    packed = docs.mapInPandas(send, sent)
-    summed = packed.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(bucket_sums, "kind int, chunk long, a binary, b binary, c binary")
-    return summed.groupBy("chunk").applyInPandas(chunk_rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model_rows = counts.select(F.lit(-1).alias("kind"), "bucket", F.lit(0).cast("long").alias("chunk"), F.col("words").alias("a"), F.col("per_word").alias("b"), F.col("context").alias("c"), F.col("count_").alias("d"))
+    asked = model_rows.union(docs.mapInPandas(send, columns)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return asked.mapInPandas(answer, columns).groupBy("chunk").applyInPandas(chunk_rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
