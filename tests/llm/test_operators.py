@@ -238,6 +238,15 @@ def test_language_model_asks_once_for_a_frequent_pair(docs):
     assert "FlatMapCoGroupsInPandas" not in plan  # one word's tokens do not meet in a group
 
 
+def test_language_model_contexts_are_whole_words(spark):
+    # "bat" and "hat" end alike; what follows them does not
+    rows = [(i, "bat red" if i % 2 else "hat blue") for i in range(80)] + [(100, "bat blue"), (101, "hat red")]
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(frame(spark, rows).repartition(3)).collect()}
+    assert got[1] > got[100] + 0.3 and got[0] > got[101] + 0.3
+    chunk = pitman_yor.Chunk.of([" ".join(f"{i}at" for i in range(9000))], 3)
+    assert len(np.unique(chunk.context)) == 9001  # as many contexts as words before
+
+
 def test_seating_is_a_restaurant():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 5, 40, 4000])

@@ -1,10 +1,11 @@
 """Hierarchical Pitman-Yor language model with Chinese-restaurant seating sampled by Gibbs.
 
-Each context, the end of the word before, is a restaurant whose customers are the words that
-follow; all context restaurants share one parent, whose customers are their tables; its base
-measure is uniform over the training words and one unknown word. A word's customers, tables
-and parent all lie in the word's own bucket, so seating is sampled bucket by bucket; only the
-restaurants' totals, of a fixed number, pass between sweeps. Predictive probabilities are
+Each context, the whole word before, is a restaurant whose customers are the words that follow;
+all context restaurants share one parent, whose customers are their tables; its base measure is
+uniform over the training words and one unknown word. A word's customers, tables and parent all
+lie in the word's own bucket, so seating is sampled bucket by bucket; between sweeps the tables
+of each restaurant are summed in buckets of contexts and sent back to the words' buckets that
+know the context. Contexts are told apart by 64-bit hashes. Predictive probabilities are
 averaged over the kept samples.
 """
 
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm.bpe import _Numbers, blocks
-from tidelag.llm.common import read_table, staged, tasks_for, texts, words_of
+from tidelag.llm.common import read_table, release_memory, staged, tasks_for, texts, words_of
 from tidelag.llm.features import hash_of, remainder5
 
-#: Context restaurants: hashed last two letters of the word before, and one for the text's start.
-CONTEXTS = 4097
 SWEEPS, KEPT = 3, 2
 STRENGTH = 1.0
-#: Stands for the end of a text; words hold no white space.
-END = "\t"
+#: Stand for the end of a text and for what is before its first word; words hold no white space.
+END, START = "\t", "\n"
+#: Rows between buckets and chunks. Kinds: a bucket's counts, totals of its contexts, what a chunk asks, a chunk's documents, sums.
+COLUMNS = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+COUNTS, TOTALS, ASKED, DOCUMENTS, SUMS = -2, -1, 0, 1, 2
 CHUNK_CHARS = 8_000_000
 BUCKET_CHARS = 16_000_000
 
@@ -61,16 +64,12 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
 
 @dataclass(frozen=True)
 class Totals:
-    """Sizes of all restaurants: customers and tables by context, and of the parent."""
+    """Sizes over all restaurants: customers, their tables (the parent's customers), the parent's tables."""
 
-    customers: np.ndarray
-    tables: np.ndarray
+    customers: int
+    parent_customers: int
     parent_tables: int
 
-    @property
-    def parent_customers(self) -> int:
-        return int(self.tables.sum())
-
 
 @dataclass(frozen=True)
 class Model:
@@ -82,19 +81,22 @@ class Model:
 
     @property
     def tokens(self) -> int:
-        return int(self.totals[0].customers.sum())
+        return self.totals[0].customers
+
+    def sweeps(self, table: "Bucket", by_context: list[np.ndarray], bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(tables by word and context, the parent's customers and tables by word) after each sweep so far.
 
-    def sweeps(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables by word and context, the parent's customers and tables by word) after each sweep so far."""
-        tables = np.minimum(count, 1)
-        parent = np.bincount(word, tables, n_words).astype(np.int64)
+        ``by_context`` holds the tables of the bucket's contexts, over all words, before each sweep.
+        """
+        tables = np.minimum(table.count, 1)
+        parent = np.bincount(table.word, tables, table.n).astype(np.int64)
         parent_tables = np.minimum(parent, 1)
-        for k, t in enumerate(self.totals[:SWEEPS]):
+        for k, (t, of_context) in enumerate(zip(self.totals[:SWEEPS], by_context)):
             rng = np.random.default_rng((bucket, k))
             p = self.parent_probability(t, parent, parent_tables)
-            tables = seat(count, (STRENGTH + self.discount * t.tables[context]) * p[word], self.discount, rng)
-            parent = np.bincount(word, tables, n_words).astype(np.int64)
-            parent_tables = seat(parent, np.full(n_words, self.base_weight(t)), self.discount, rng)
+            tables = seat(table.count, (STRENGTH + self.discount * of_context[table.local]) * p[table.word], self.discount, rng)
+            parent = np.bincount(table.word, tables, table.n).astype(np.int64)
+            parent_tables = seat(parent, np.full(table.n, self.base_weight(t)), self.discount, rng)
             yield tables, parent, parent_tables
 
     def base_weight(self, t: Totals) -> float:
@@ -103,49 +105,72 @@ class Model:
     def parent_probability(self, t: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.discount * tables + self.base_weight(t)) / (STRENGTH + t.parent_customers)
 
-    def samples(self, table: "Bucket", bucket: int) -> list[tuple[Totals, np.ndarray, np.ndarray]]:
-        """Of each kept sample: totals, what each count leaves after the discount, the parent's probability of each word and of an unknown one."""
+    def samples(self, table: "Bucket", by_context: list[np.ndarray], bucket: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each kept sample: what each count leaves after the discount, the parent's probability of each word and of an unknown one."""
         kept = []
-        for k, (tables, parent, parent_tables) in enumerate(self.sweeps(table.word, table.context, table.count, table.n, bucket)):
+        for k, (tables, parent, parent_tables) in enumerate(self.sweeps(table, by_context, bucket)):
             if k >= SWEEPS - KEPT:
                 t = self.totals[k + 1]
-                p = np.r_[self.parent_probability(t, parent, parent_tables), self.base_weight(t) / (STRENGTH + t.parent_customers)]
-                kept.append((t, table.count - self.discount * tables, p))
+                kept.append((table.count - self.discount * tables, np.r_[self.parent_probability(t, parent, parent_tables), self.base_weight(t) / (STRENGTH + t.parent_customers)]))
         return kept
 
-    def predict(self, table: "Bucket", samples: list[tuple[Totals, np.ndarray, np.ndarray]], word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10 of the averaged predictive probability of words (-1: unknown) in contexts."""
-        at, known = table.find(word, context)
-        mean = np.zeros(len(word))
-        for t, left, p in samples:
-            own = np.where(known, left[at], 0.0) if len(left) else 0.0
-            mean += (own + (STRENGTH + self.discount * t.tables[context]) * p[word]) / (STRENGTH + t.customers[context])
-        return np.log10(mean / KEPT)
-
 
 class Bucket:
-    """Counts of one bucket's words: words sorted, and (word, context, count) sorted."""
+    """Counts of one bucket's words: words sorted, and (word, hash of the context, count) sorted."""
 
-    def __init__(self, words: list[bytes], key: np.ndarray, count: np.ndarray):
-        self.words, self.key, self.count, self.n = words, key, count, len(words)
-        self.word, self.context = key >> 16, key & 0xFFFF
+    def __init__(self, words: list[bytes], word: np.ndarray, context: np.ndarray, count: np.ndarray):
+        self.words, self.word, self.context, self.count, self.n = words, word, context, count, len(words)
+        self.contexts, self.local = np.unique(context, return_inverse=True)
+        self.key = word << 32 | self.local
         self.totals = np.bincount(self.word, count, self.n).astype(np.int64)
 
     def find(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wanted = word << 16 | context
-        at = np.searchsorted(self.key, wanted)
-        at[at == len(self.key)] = 0
-        return at, (self.key[at] == wanted) if len(self.key) else np.zeros(len(wanted), bool)
+        if not len(self.key):
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        local = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        wanted = word << 32 | local
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return at, (self.key[at] == wanted) & (self.contexts[local] == context)
 
-    def packed(self) -> dict[str, list[bytes]]:
-        per_word = np.bincount(self.word, minlength=self.n).astype("<u2")
-        return {"words": [b" ".join(self.words)], "per_word": [per_word.tobytes()], "context": [self.context.astype("<u2").tobytes()], "count": [small(self.count)]}
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        per_word = np.bincount(self.word, minlength=self.n).astype("<u4")
+        return b" ".join(self.words), per_word.tobytes(), self.context.astype("<u8").tobytes(), small(self.count)
 
 
 def unpack(words: bytes, per_word: bytes, context: bytes, count: bytes) -> Bucket:
     spelled = words.split(b" ") if words else []
-    word = np.repeat(np.arange(len(spelled)), np.frombuffer(per_word, "<u2"))
-    return Bucket(spelled, word << 16 | np.frombuffer(context, "<u2"), large(count, len(word)))
+    word = np.repeat(np.arange(len(spelled)), np.frombuffer(per_word, "<u4"))
+    return Bucket(spelled, word, np.frombuffer(context, "<u8"), large(count, len(word)))
+
+
+class Held:
+    """A words' bucket as its rows come in: counts, then the tables of its contexts before each sweep."""
+
+    def __init__(self, bucket: int, buckets: int):
+        self.bucket, self.buckets, self.table, self.parts = bucket, buckets, unpack(b"", b"", b"", b""), {}
+
+    def take(self, r) -> None:
+        if r.kind == COUNTS:
+            self.table = unpack(r.a, r.b, r.c, r.d)
+        else:
+            self.parts.setdefault(r.chunk >> 32, []).append((r.chunk & 0xFFFFFFFF, r.a))
+
+    def by_context(self) -> list[np.ndarray]:
+        order, ends = dealt(self.table.contexts, self.buckets)
+        out = []
+        for k in sorted(self.parts):
+            out.append(np.zeros(len(order), np.int64))
+            for side, data in self.parts[k]:
+                own = order[ends[side] : ends[side + 1]]
+                out[-1][own] = large(data, len(own))
+        return out
+
+
+def dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts in the order of their buckets, and where each bucket ends."""
+    side = (contexts % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(side, kind="stable")
+    return order, np.searchsorted(side[order], np.arange(buckets + 1))
 
 
 def small(counts: np.ndarray) -> bytes:
@@ -167,7 +192,8 @@ class Chunk:
     lengths: np.ndarray
     doc: np.ndarray
     word: np.ndarray
-    context: np.ndarray
+    context: np.ndarray  # place of the word before; len(words) at the start
+    hashes: np.ndarray  # of the words and the start
     side: np.ndarray  # bucket of each distinct word
 
     @classmethod
@@ -176,10 +202,10 @@ class Chunk:
         rows = [np.fromiter(map(known.__getitem__, [*words_of(t), END]), np.int64) for t in all_texts]
         lengths = np.array([len(r) for r in rows], np.int64)
         words, word = list(known), np.concatenate(rows)
-        own = (hash_of([w[-2:] for w in words]) % np.uint64(CONTEXTS - 1)).astype(np.int64)
-        context = np.r_[0, own[word[:-1]]]
-        context[np.cumsum(lengths) - lengths] = CONTEXTS - 1
-        return cls(words, lengths, np.repeat(np.arange(len(rows)), lengths), word, context, (hash_of(words) % np.uint64(buckets)).astype(np.int64))
+        hashes = hash_of([*words, START])
+        context = np.r_[0, word[:-1]]
+        context[np.cumsum(lengths) - lengths] = len(words)
+        return cls(words, lengths, np.repeat(np.arange(len(rows)), lengths), word, context, hashes, (hashes[:-1] % np.uint64(buckets)).astype(np.int64))
 
     def by_bucket(self, of_tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
         """(bucket, its words, tokens in it among ``of_tokens``, places of their words in the list)."""
@@ -202,15 +228,23 @@ class Chunk:
         """For each token its place among the distinct pairs; (bucket, its words, sorted distinct pairs of word and context)."""
         pair_of, asked, n = np.empty(len(self.word), "<u4"), [], 0
         for b, words, tokens, place in self.by_bucket(np.arange(len(self.word)), buckets):
-            distinct, index = np.unique(place << 16 | self.context[tokens], return_inverse=True)
+            distinct, index = np.unique(place << 32 | self.context[tokens], return_inverse=True)
             pair_of[tokens] = n + index
             n += len(distinct)
             asked.append((b, words, distinct))
         return pair_of, asked
 
 
+def sorted_counts(words: list[bytes], word: np.ndarray, context: np.ndarray, count: np.ndarray) -> Bucket:
+    """The bucket of these entries; equal ones are added."""
+    order = np.lexsort((context, word))
+    word, context, count = word[order], context[order], count[order]
+    fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
+    return Bucket(words, word[fresh], context[fresh], np.add.reduceat(count, fresh))
+
+
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, words, per_word, context, count_: words after contexts in the training texts."""
+    """Rows of kind COUNTS: words after contexts in the training texts, one row for each bucket of words."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,128 +252,194 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
                 chunk = Chunk.of(all_texts[part], buckets)
                 out = []
                 for b, words, tokens, place in chunk.by_bucket(np.arange(len(chunk.word)), buckets):
-                    key, count = np.unique(place << 16 | chunk.context[tokens], return_counts=True)
-                    out.append(pd.DataFrame({"bucket": [b], **Bucket(words, key, count).packed()}))
-                yield pd.concat(out)
+                    key, count = np.unique(place << 32 | chunk.context[tokens], return_counts=True)
+                    out.append((COUNTS, b, 0, *sorted_counts(words, key >> 32, chunk.hashes[key & 0xFFFFFFFF], count).packed()))
+                yield pd.DataFrame(out, columns=NAMES)
+                release_memory()
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
-        known, keys, counts = _Numbers(), [], []
-        for row in batch.rename(columns={"count": "count_"}).itertuples():
-            table = unpack(row.words, row.per_word, row.context, row.count_)
-            place = np.fromiter(map(known.__getitem__, table.words), np.int64, table.n)
-            keys.append(place[table.word] << 16 | table.context)
+        known, word, context, counts = _Numbers(), [], [], []
+        for r in batch.itertuples():
+            table = unpack(r.a, r.b, r.c, r.d)
+            word.append(np.fromiter(map(known.__getitem__, table.words), np.int64, table.n)[table.word])
+            context.append(table.context)
             counts.append(table.count)
         words = list(known)
         order = sorted(range(len(words)), key=words.__getitem__)
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        key = np.concatenate(keys)
-        key, index = np.unique(place[key >> 16] << 16 | key & 0xFFFF, return_inverse=True)
-        table = Bucket([words[i] for i in order], key, np.bincount(index, np.concatenate(counts), len(key)).astype(np.int64))
-        return pd.DataFrame({"bucket": batch.bucket.iloc[:1].to_numpy(), **table.packed()}).rename(columns={"count": "count_"})
+        table = sorted_counts([words[i] for i in order], place[np.concatenate(word)], np.concatenate(context), np.concatenate(counts))
+        release_memory()
+        return pd.DataFrame([(COUNTS, batch.bucket.iloc[0], 0, *table.packed())], columns=NAMES)
 
-    sent = docs.where("not held_out").mapInPandas(send, "bucket int, words binary, per_word binary, context binary, count binary")
-    return staged(sent.groupBy("bucket").applyInPandas(add, "bucket int, words binary, per_word binary, context binary, count_ binary"), "lm-counts")
+    return staged(docs.where("not held_out").mapInPandas(send, COLUMNS).groupBy("bucket").applyInPandas(add, COLUMNS), "lm-counts")
 
 
-def fit(counts: DataFrame) -> Model:
-    """Sample the seating in sweeps; each sums the restaurants' totals over all buckets."""
-    schema = "part int, sums binary"
+def met(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of one bucket one after another, its counts and totals first."""
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
 
-    def summed(rows: DataFrame) -> list[np.ndarray]:
-        """Numbers of a fixed length from each task, added in two steps."""
 
-        def add(batch: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, "<i8") for x in batch.sums)
-            return pd.DataFrame({"part": batch.part.iloc[:1].to_numpy(), "sums": [total.tobytes()]})
+def fit(counts: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
+    """Sample the seating in sweeps; (model, totals of contexts): for buckets of words (numbers below
+    ``buckets``) the tables before each sweep, for buckets of contexts (above) those after the kept ones."""
 
-        return [np.frombuffer(r.sums, "<i8") for r in rows.groupBy("part").applyInPandas(add, schema).collect()]
-
-    def totals_of(table: Bucket, tables: np.ndarray, parent_tables: int, more: list[int]) -> np.ndarray:
-        by_context = [np.bincount(table.context, x, CONTEXTS).astype(np.int64) for x in (table.count, tables)]
-        return np.r_[by_context[0], by_context[1], parent_tables, more]
+    def add(batch: pd.DataFrame) -> pd.DataFrame:
+        """Sum a bucket of contexts, and send the sums back to each bucket of words that named them."""
+        out = [r[1:] for r in batch[batch.kind == SUMS].itertuples()]
+        batch = batch[batch.kind == TOTALS]
+        if len(batch):
+            contexts, index = np.unique(np.frombuffer(b"".join(batch.a), "<u8"), return_inverse=True)
+            sums = np.bincount(index, np.frombuffer(b"".join(batch.b), "<i8"), len(contexts)).astype(np.int64)
+            customers = np.bincount(index, np.frombuffer(b"".join(batch.c), "<i8"), len(contexts)).astype(np.int64)
+            side, k = int(batch.bucket.iloc[0]), int(batch.d.iloc[0])
+            out.append((TOTALS, buckets + side, k, contexts.tobytes(), small(sums), small(customers), b""))
+            at = 0
+            for r in batch.itertuples():
+                n = len(r.a) // 8
+                out.append((TOTALS, r.chunk, k << 32 | side, small(sums[index[at : at + n]]), b"", b"", b""))
+                at += n
+        release_memory()
+        return pd.DataFrame(out, columns=NAMES)
+
+    def pass_over(model: Model | None, rows: DataFrame, k: int) -> DataFrame:
+        def seated(held: Held) -> pd.DataFrame:
+            table = held.table
+            if model is None:
+                tables, parent_tables = np.minimum(table.count, 1), table.n
+            else:
+                *_, (tables, _, last) = model.sweeps(table, held.by_context(), held.bucket)
+                parent_tables = int(last.sum())
+            numbers = np.array([table.count.sum(), tables.sum(), parent_tables, table.n, (table.count == 1).sum(), (table.count == 2).sum()], "<i8")
+            out = [(SUMS, held.bucket, 0, numbers.tobytes(), b"", b"", b"")]
+            by_context = [np.bincount(table.local, x, len(table.contexts)).astype("<i8") for x in (tables, table.count)]
+            order, ends = dealt(table.contexts, buckets)
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                own = order[ends[b] : ends[b + 1]]
+                out.append((TOTALS, b, held.bucket, table.contexts[own].tobytes(), by_context[0][own].tobytes(), by_context[1][own].tobytes(), str(k).encode()))
+            return pd.DataFrame(out, columns=NAMES)
 
-    def pass_over(model: Model | None) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(2 * CONTEXTS + 4, np.int64)
-            part = 0
+            held = None
             for batch in batches:
-                for row in batch.itertuples():
-                    table, part = unpack(row.words, row.per_word, row.context, row.count_), row.bucket % 16
-                    if model is None:
-                        ones = np.minimum(table.count, 1)
-                        total += totals_of(table, ones, table.n, [table.n, int((table.count == 1).sum()), int((table.count == 2).sum())])
-                    else:
-                        *_, (tables, _, parent_tables) = model.sweeps(table.word, table.context, table.count, table.n, row.bucket)
-                        total += totals_of(table, tables, int(parent_tables.sum()), [0, 0, 0])
-            yield pd.DataFrame({"part": [part], "sums": [total.tobytes()]})
-
-        return sum(summed(counts.mapInPandas(run, schema)), np.zeros(2 * CONTEXTS + 4, np.int64))
-
-    as_totals = lambda x: Totals(x[:CONTEXTS], x[CONTEXTS : 2 * CONTEXTS], int(x[2 * CONTEXTS]))
-    first = pass_over(None)
-    types, once, twice = (int(v) for v in first[-3:])
-    model = Model(types, min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice))), [as_totals(first)])
-    for _ in range(SWEEPS):
-        model = Model(types, model.discount, [*model.totals, as_totals(pass_over(model))])
-    return model
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model, buckets: int) -> DataFrame:
+                for r in batch.itertuples():
+                    if held is None or held.bucket != r.bucket:
+                        if held is not None:
+                            yield seated(held)
+                            release_memory()
+                        held = Held(r.bucket, buckets)
+                    held.take(r)
+            if held is not None:
+                yield seated(held)
+                release_memory()
+
+        return staged(rows.mapInPandas(run, COLUMNS).groupBy("bucket").applyInPandas(add, COLUMNS), "lm-totals")
+
+    def summed(rows: DataFrame) -> np.ndarray:
+        return sum((np.frombuffer(r.a, "<i8") for r in rows.where(F.col("kind") == SUMS).select("a").toLocalIterator()), np.zeros(6, np.int64))
+
+    done = pass_over(None, counts, 0)
+    first = [int(v) for v in summed(done)]
+    types, once, twice = first[3:]
+    model = Model(types, min(0.95, max(0.1, once / max(1.0, once + 2.0 * twice))), [Totals(*first[:3])])
+    totals = done.where(F.col("kind") == TOTALS)
+    for k in range(SWEEPS):
+        done = pass_over(model, met(counts.union(totals.where(F.col("bucket") < buckets)), buckets), k + 1)
+        model = Model(types, model.discount, [*model.totals, Totals(*(int(v) for v in summed(done)[:3]))])
+        totals = totals.union(done.where(F.col("kind") == TOTALS))
+    return model, totals.where(F.when(F.col("bucket") < buckets, F.shiftright("chunk", 32) < SWEEPS).otherwise(F.col("chunk") > SWEEPS - KEPT))
+
+
+def score(docs: DataFrame, counts: DataFrame, totals: DataFrame, model: Model, buckets: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    columns = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary"
-    names = [c.split()[0] for c in columns.split(", ")]
     floor = model.tokens + 0.5 * (model.types + 1)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A chunk's distinct pairs of word and context to the words' buckets, its documents and tokens to itself."""
+        """A chunk's distinct pairs to the words' buckets, its contexts to theirs, documents and tokens to itself."""
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
                 ids, held = batch.doc_id.iloc[part].to_numpy("<i8"), batch.held_out.iloc[part].to_numpy(bool)
                 chunk = Chunk.of(all_texts[part], buckets)
                 pair_of, asked = chunk.pairs(buckets)
-                out = []
+                out, context_of = [], []
                 for b, words, pairs in asked:
-                    per_word = np.bincount(pairs >> 16, minlength=len(words)).astype("<u4")
-                    out.append((0, b, number, b" ".join(words), per_word.tobytes(), (pairs & 0xFFFF).astype("<u2").tobytes(), b""))
-                out.append((1, number % buckets, number, ids.tobytes(), held.astype(np.uint8).tobytes(), chunk.lengths.astype("<i8").tobytes(), pair_of.tobytes()))
-                yield pd.DataFrame(out, columns=names)
+                    per_word, context = np.bincount(pairs >> 32, minlength=len(words)).astype("<u4"), pairs & 0xFFFFFFFF
+                    context_of.append(context)
+                    out.append((ASKED, b, number, b" ".join(words), per_word.tobytes(), chunk.hashes[context].tobytes(), b""))
+                order, ends = dealt(chunk.hashes, buckets)
+                for b in np.flatnonzero(np.diff(ends)).tolist():
+                    out.append((ASKED, buckets + b, number, chunk.hashes[order[ends[b] : ends[b + 1]]].tobytes(), b"", b"", b""))
+                place = np.empty(len(order), "<u4")
+                place[order] = np.arange(len(order))
+                out.append((DOCUMENTS, number % buckets, number, ids.tobytes(), held.astype(np.uint8).tobytes(), chunk.lengths.astype("<i8").tobytes(), pair_of.tobytes() + place[np.concatenate(context_of)].tobytes()))
+                yield pd.DataFrame(out, columns=NAMES)
                 number += 1
+                release_memory()
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Row by row, a bucket's counts first: what a chunk asks for is never gathered with that of others."""
-        bucket = None
+        """Row by row, a bucket's counts and totals first: what a chunk asks for is never gathered with that of others."""
+        held, ready = None, False
         for batch in batches:
             for r in batch.itertuples():
-                if r.kind == 1:
-                    yield pd.DataFrame([r[1:]], columns=names)
+                if r.kind == DOCUMENTS:
+                    yield pd.DataFrame([r[1:]], columns=NAMES)
                     continue
-                if r.bucket != bucket:
-                    bucket = r.bucket
-                    table = unpack(r.a, r.b, r.c, r.d) if r.kind < 0 else Bucket([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    place_of = {w: i for i, w in enumerate(table.words)}
-                    base = np.log10((np.r_[table.totals, 0] + 0.5) / floor)
-                    samples = model.samples(table, bucket)
-                if r.kind == 0:
+                if held is None or held.bucket != r.bucket:
+                    held, ready, known = Held(r.bucket, buckets), False, []
+                    contexts, customers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if r.kind < ASKED and r.bucket < buckets:
+                    held.take(r)
+                elif r.kind < ASKED:
+                    contexts = np.frombuffer(r.a, "<u8")
+                    customers = large(r.c, len(contexts))
+                    known.append(large(r.b, len(contexts)))
+                elif r.bucket < buckets:
+                    if not ready:
+                        table, ready = held.table, True
+                        place_of = {w: i for i, w in enumerate(table.words)}
+                        samples = model.samples(table, held.by_context(), held.bucket)
+                        by_word = np.stack([np.log10((np.r_[table.totals, 0] + 0.5) / floor), *(p for _, p in samples)], axis=1)
                     place = np.array([place_of.get(w, -1) for w in r.a.split(b" ")], np.int64)
-                    word = np.repeat(place, np.frombuffer(r.b, "<u4"))
-                    own = model.predict(table, samples, word, np.frombuffer(r.c, "<u2").astype(np.int64))
-                    yield pd.DataFrame([(0, bucket, r.chunk, own.tobytes(), base[place].tobytes(), (place >= 0).astype(np.uint8).tobytes(), r.b)], columns=names)
+                    at, found = table.find(np.repeat(place, np.frombuffer(r.b, "<u4")), np.frombuffer(r.c, "<u8"))
+                    left = np.zeros((len(at), KEPT), "<f4")
+                    for k, (x, _) in enumerate(samples):
+                        left[found, k] = x[at[found]]
+                    yield pd.DataFrame([(ASKED, r.bucket, r.chunk, left.tobytes(), by_word[place].tobytes(), (place >= 0).astype(np.uint8).tobytes(), r.b)], columns=NAMES)
+                else:
+                    wanted = np.frombuffer(r.a, "<u8")
+                    size, tables = np.zeros(len(wanted)), np.zeros((len(wanted), KEPT))
+                    if len(contexts):
+                        at = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
+                        found = contexts[at] == wanted
+                        size[found] = customers[at[found]]
+                        for k, x in enumerate(known):
+                            tables[found, k] = x[at[found]]
+                    rows = np.c_[STRENGTH + size, STRENGTH + model.discount * tables]
+                    yield pd.DataFrame([(ASKED, r.bucket, r.chunk, rows.tobytes(), b"", b"", b"")], columns=NAMES)
 
     def chunk_rows(batch: pd.DataFrame) -> pd.DataFrame:
-        listed = batch[batch.kind == 1].iloc[0]
+        listed = batch[batch.kind == DOCUMENTS].iloc[0]
         ids, held, n = np.frombuffer(listed.a, "<i8"), np.frombuffer(listed.b, np.uint8) > 0, np.frombuffer(listed.c, "<i8")
-        parts = batch[batch.kind == 0].sort_values("bucket")
-        uses = np.frombuffer(b"".join(parts.d), "<u4")
-        own, base, known = np.frombuffer(b"".join(parts.a)), np.repeat(np.frombuffer(b"".join(parts.b)), uses), np.repeat(np.frombuffer(b"".join(parts.c), np.uint8), uses)
-        doc, pair = np.repeat(np.arange(len(ids)), n), np.frombuffer(listed.d, "<u4")
+        parts = batch[batch.kind == ASKED].sort_values("bucket")
+        words, contexts = parts[parts.bucket < buckets], parts[parts.bucket >= buckets]
+        uses = np.frombuffer(b"".join(words.d), "<u4")
+        by_word = np.frombuffer(b"".join(words.b)).reshape(-1, 1 + KEPT)
+        pair, context = np.split(np.frombuffer(listed.d, "<u4"), [int(n.sum())])
+        by_context = np.frombuffer(b"".join(contexts.a)).reshape(-1, 1 + KEPT)
+        word = np.repeat(np.arange(len(by_word)), uses)
+        own = np.frombuffer(b"".join(words.a), "<f4").reshape(-1, KEPT).sum(axis=1, dtype=np.float64)
+        for k in range(1, 1 + KEPT):
+            own += by_context[context, k] * by_word[word, k]
+        own = np.log10(own / (KEPT * by_context[context, 0]))
+        base, known = by_word[word, 0], np.frombuffer(b"".join(words.c), np.uint8)[word]
+        doc = np.repeat(np.arange(len(ids)), n)
         own, base, known = (np.bincount(doc, x[pair], len(ids)) for x in (own, base, known))
+        release_memory()
         return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": np.round(known).astype(np.int64), "train_tokens": model.tokens, "base_score": base, "score": own})
 
-    model_rows = counts.select(F.lit(-1).alias("kind"), "bucket", F.lit(0).cast("long").alias("chunk"), F.col("words").alias("a"), F.col("per_word").alias("b"), F.col("context").alias("c"), F.col("count_").alias("d"))
-    asked = model_rows.union(docs.mapInPandas(send, columns)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return asked.mapInPandas(answer, columns).groupBy("chunk").applyInPandas(chunk_rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = met(counts.union(totals).union(docs.mapInPandas(send, COLUMNS)), 2 * buckets)
+    return asked.mapInPandas(answer, COLUMNS).groupBy("chunk").applyInPandas(chunk_rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -353,7 +453,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(tasks_for(docs.sparkSession), -(-total // BUCKET_CHARS))
     counts = count_words(docs, buckets)
-    return score(docs, counts, fit(counts), buckets)
+    model, totals = fit(counts, buckets)
+    return score(docs, counts, totals, model, buckets)
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
