@@ -136,6 +136,15 @@ def test_substrings_random(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_substrings(rows)
 
 
+def test_substrings_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    one, two, three = ("".join(rng.choice(list("abcdef"), 400)) for _ in range(3))
+    once = [(3, one), (5, two), (6, two[:150] + "#" + two[150:]), (7, three + "-" + three), (9, one[:250])]
+    rows = [*once, (3, one), (5, two), (6, two[:150] + "#" + two[150:]), (7, three + "-" + three), (3, one)]
+    got = substrings.digest(substrings.remove_repeats(frame(spark, rows).repartition(3))).collect()
+    assert len(got) == len(rows) and {tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got} == {(i, *x) for i, x in brute_substrings(once).items()}
+
+
 def test_separators(spark, docs, empty, tmp_path):
     import public_tokenizers
 

@@ -123,6 +123,8 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
         shared = np.r_[same, False] | np.r_[False, same] if len(gram) else same
         at = by_gram[shared]
         at = at[np.lexsort((ordinal[at], doc[at], content[at], gram[at]))]
+        if len(at):  # a repeated row names its places again; none is earlier than itself
+            at = at[np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in (ordinal, doc, content, gram)], axis=0)]]
         g, c = gram[at], content[at]
         new_gram = np.r_[True, g[1:] != g[:-1]] if len(at) else np.zeros(0, bool)
         new_content = new_gram | np.r_[True, c[1:] != c[:-1]] if len(at) else new_gram
@@ -200,10 +202,10 @@ def mark_equal_windows(runs: list[tuple[int, int, bytes]]) -> list[tuple[int, in
             continue
         own = flat[i : i + WINDOW]
         if own != before:
-            marked += sorted(group)[1:]
+            marked += sorted(set(group))[1:]
             group, before = [], own
         group.append(where[i])
-    return marked + sorted(group)[1:]
+    return marked + sorted(set(group))[1:]
 
 
 def compare_segments(rows: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def compare_segments(rows: DataFrame) -> DataFrame:
                 seen[int(gram[o]), whole[starts[i] : starts[j] + WINDOW]].append((int(doc[o]), int(start[o] + starts[i] - begins[o])))
             by_gram: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
             for (g, bytes_), places in seen.items():
-                places.sort()
+                places = sorted(set(places))
                 by_gram[g].append((*places[0], bytes_))
                 for d, p in places[1:]:
                     found[d].append((p, p + len(bytes_)))
@@ -254,8 +256,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept binary for every document.
 
     Null and empty texts and texts under 100 bytes lose nothing; of equal texts the one with
-    the smallest doc_id stays; rows with one doc_id lose the same places; an empty table gives
-    no rows; columns other than doc_id and text are not read.
+    the smallest doc_id stays; rows with one doc_id lose the same places, and none to each
+    other where their texts are equal; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     docs = texts(docs)
     parts = tasks_for(docs.sparkSession) * 4
