@@ -305,6 +305,19 @@ def test_quality(spark, empty):
     assert 0 <= quality.score(texts(docs), none).first().score <= 1
 
 
+def test_quality_fits_all_features_of_long_texts(spark, monkeypatch):
+    from tidelag.llm.common import texts
+    from tidelag.llm.features import ngram_indicators
+
+    long = [" ".join(f"{'g' if i % 2 else 'b'}{i}x{k}" for k in range(3000)) for i in range(12)]
+    docs, labels = frame(spark, list(enumerate(long))), spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    fitted, real = [], quality.dual_coordinate_descent
+    monkeypatch.setattr(quality, "dual_coordinate_descent", lambda rows, *more: fitted.extend(rows) or real(rows, *more))
+    quality.fit(texts(docs), labels)
+    sizes = np.bincount(ngram_indicators(long, quality.BITS)[0])
+    assert fitted and min(sizes) > 4000 and {len(at) for at, _ in fitted} <= set(sizes.tolist())
+
+
 def test_dual_coordinate_descent_separates():
     rows = [(np.array([k % 2]), np.array([1.0])) for k in range(20)]
     y = np.array([1.0 if k % 2 else -1.0 for k in range(20)])

@@ -21,8 +21,6 @@ from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indi
 BITS = 18
 LABELLED_ROWS = 20_000
 FIT_ROWS = 4000
-#: Features that are kept of one fitted row; rows with more give those of largest ratio.
-FIT_FEATURES = 4000
 THRESHOLD = 0.3
 
 
@@ -96,12 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
                 chunk = all_texts[part]
                 doc, feature = ngram_indicators(chunk, bits)
                 ends = np.searchsorted(doc, np.arange(len(chunk) + 1))
-                found = []
-                for i, j in zip(ends[:-1], ends[1:], strict=True):
-                    own = feature[i:j]
-                    if len(own) > FIT_FEATURES:
-                        own = np.sort(own[np.argsort(-np.abs(ratio[own]), kind="stable")[:FIT_FEATURES]])
-                    found.append(own.astype("<i4").tobytes())
+                found = [feature[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "label": batch.label.iloc[part], "features": found})
 
     fitted = labelled(docs, labels, "quality", fit_rows).select("doc_id", "text", "label").mapInPandas(featurise, "doc_id long, label int, features binary").collect()
