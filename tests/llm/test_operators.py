@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelag.llm import decontaminate, jaccard, media, pii, pitman_yor, quality, separators, substrings, toxicity
+from tidelag.llm.common import hashed_words
 
 LONG = " ".join(f"w{i % 97} the{i}" for i in range(3000))
 BASE = "the quick brown fox jumps over the lazy dog while many other animals look on and wonder what all of this is about today " * 3
@@ -92,12 +93,74 @@ def test_jaccard_chains_and_groups(spark):
 
 def test_jaccard_blocks_of_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_BLOCK", 3)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "PAIRS_EACH", 1e9)
     rows = [(i, " ".join(f"w{k}" for k in range(60) if k != i)) for i in range(20)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows)).collect()}
     assert got == brute_components(rows)
 
 
+def outlier_family(n):
+    """Near copies, and a document of smaller id that shares their shingles but links with none."""
+    text = [f"w{k}" for k in range(120)]
+    near = [(i, " ".join([*text[: 20 + i % 80], f"x{i}", *text[21 + i % 80 :]])) for i in range(1, n)]
+    return [(0, " ".join([*text[:100], *(f"y{k}" for k in range(60))])), *near]
+
+
+def test_jaccard_pairs_stay_linear(spark, monkeypatch):
+    compared = []
+    verify, tile_links = jaccard.verify, jaccard.tile_links
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *a: compared.append(pairs.count()) or verify(pairs, *a))
+    monkeypatch.setattr(jaccard, "tile_links", lambda *a: compared.append((found := tile_links(*a)).count()) or found)
+    rows = outlier_family(2000)
+    got = {r.component_id for r in jaccard.components(frame(spark, rows)).collect()}
+    assert got == {0, 1} and sum(compared) < 10 * len(rows)
+
+
+def test_jaccard_families_that_do_not_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 20)
+    rng = np.random.default_rng(3)
+    text = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(60):  # each a few words from the common text, so that most pairs are near the threshold
+        own = list(text)
+        for k in rng.choice(100, 1 + i % 4, replace=False):
+            own[k] = f"z{i}-{k}"
+        rows.append((i, " ".join(own)))
+    rows += outlier_family(40)[::-1][:30]
+    rows = [(100 * k + i, t) for k, (i, t) in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_rows_of_one_doc_id(spark):
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, one), (5, two), (3, one + " end"), (8, two + " end"), (9, two), (7, one), (1, "apart from all of the others")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.components(frame(spark, rows).repartition(4)).collect()}
+    assert {c for (i, _), c in got.items() if i != 1} == {3} and got[1, 2] == 1
+
+
+def test_jaccard_sends_what_the_text_holds(spark):
+    rows = [(i, " ".join(f"w{(i * 37 + k * k) % 5000}" for k in range(150))) for i in range(3000)]
+    ids, flat, sizes = next(jaccard.units(iter([frame(spark, rows).select("doc_id", "text").toPandas()]), 5))
+
+    def size(buckets):
+        sent = jaccard.unit_rows(0, ids, flat, sizes, buckets)
+        return sum(len(zlib.compress(b"".join(sent[c]), 1)) for c in ("slots", "more", "low", "high", "counts")) + 40 * len(sent)
+
+    assert size(512) < 1.1 * size(8)
+    few = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=3).drop("sig", "shared", "prefix", "own")
+    many = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=200).drop("sig", "shared", "prefix", "own")
+    assert few.exceptAll(many).count() == 0
+
+
+def test_hashed_words_are_the_words():
+    texts_ = [t or "" for _, t in TEXTS] + ["A a\x1cb Ünï\u00a0x\x0b\x0cz", " lead", "trail "]
+    hashes, lengths = hashed_words(texts_)
+    flat = [w for t in texts_ for w in words(t)]
+    assert lengths.tolist() == [len(words(t)) for t in texts_]
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
 def test_jaccard_copies_in_descending_order(spark):
     text = [f"w{k}" for k in range(60)]
     near = [" ".join(text[:k] + ["x"] + text[k + 1 :]) for k in (3, 30)]

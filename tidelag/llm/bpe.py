@@ -19,7 +19,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelag.llm.common import ragged, read_table, release_memory, texts
+from tidelag.llm.common import Numbers, blocks, ragged, read_table, release_memory, texts
 
 #: Characters of text that are encoded together; bounds the memory of a task.
 BLOCK_CHARS = 4_000_000
@@ -44,14 +44,6 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Numbers(dict):
-    """Numbers new keys as they are asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = i = len(self)
-        return i
-
-
 class Vocabulary:
     """Merges as sorted arrays, and the bytes of every id."""
 
@@ -165,7 +157,7 @@ class Vocabulary:
 
     def encode(self, documents: list[str]) -> list[np.ndarray]:
         """The ids of each document; special tokens in a text are kept whole."""
-        known = _Numbers()
+        known = Numbers()
         number = known.__getitem__
         spelled: list[np.ndarray] = []
         for text in documents:
@@ -206,18 +198,6 @@ def load(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def blocks(texts_: list[str], most: int) -> Iterator[slice]:
-    """Runs of texts that have ``most`` characters or are one text."""
-    start = total = 0
-    for i, text in enumerate(texts_):
-        if total and total + len(text) > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts_):
-        yield slice(start, len(texts_))
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,60 @@ def lower_split(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+class Numbers(dict):
+    """Numbers new keys as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = i = len(self)
+        return i
+
+
+def blocks(all_texts: list[str], chars: int) -> Iterator[slice]:
+    """Runs of whole texts of about ``chars`` characters; a longer text is a run by itself."""
+    start, held = 0, 0
+    for i, text in enumerate(all_texts):
+        if held and held + len(text) > chars:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text)
+    if start < len(all_texts):
+        yield slice(start, len(all_texts))
+
+
+_BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]  # A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_PLACE = 0x2545F4914F6CDD1D
+
+
+def place_values(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), np.uint64(_PLACE))])
+
+
+def hashed_words(all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the lower-cased words of all texts in order, number of words of each text).
+
+    Words are what stands between ASCII white space. All bytes are hashed at once: a word is a
+    number whose figures are random values of its bytes, mixed with its length.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in all_texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    first = ~blank & np.r_[True, blank[:-1]]
+    start = np.flatnonzero(first)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    size = np.flatnonzero(blank & np.r_[False, ~blank[:-1]]) - start
+    inside = np.flatnonzero(~blank)
+    ends = np.cumsum(size)
+    offset = np.arange(len(inside)) - np.repeat(ends - size, size)
+    figures = _BYTE_VALUES[data[inside]] * place_values(int(size.max()))[offset]
+    hashes = mix64(np.add.reduceat(figures, ends - size) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    borders = np.cumsum([len(r) + 1 for r in raw])
+    return hashes, np.diff(np.searchsorted(start, borders), prepend=0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start..start+length-1 of every run, one run after another."""
     total = int(lengths.sum())

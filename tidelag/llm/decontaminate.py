@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import blocks
-from tidelag.llm.common import read_table, texts
+from tidelag.llm.common import blocks, read_table, texts
 
 K1, B = 1.2, 0.75
 MATCH = 0.8

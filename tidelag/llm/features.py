@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import _Numbers, blocks
-from tidelag.llm.common import mix64
+from tidelag.llm.common import Numbers, blocks, mix64
 
 #: Characters of text that a task holds features of at once.
 BLOCK_CHARS = 2_000_000
@@ -39,7 +38,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> Data
 
 def numbered(texts: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens, the number of each token in order, and how many tokens each text has."""
-    known = _Numbers()
+    known = Numbers()
     number, rows = known.__getitem__, []
     for text in texts:
         rows.append(np.fromiter(map(number, pattern.findall(text)), np.int64))

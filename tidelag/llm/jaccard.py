@@ -1,12 +1,15 @@
 """Exact Jaccard join of documents on word shingles, and its components.
 
-1. Every shingle is counted: tasks send the hashes of their documents to ranges of hashes, and
-   what occurs more than once comes back. Only that can be shared, so overlaps need no more.
+1. Every shingle is counted: tasks send the distinct hashes of a unit of documents to ranges of
+   hashes, and what occurs more than once comes back. Only that can be shared, so overlaps need
+   no more. A unit sends a shingle once, however many of its documents hold it, and a row holds
+   nothing for documents without a shingle in its range, so rows grow in proportion to the text.
 2. A document's rarest shingles form its prefix; two documents that reach the threshold share
    one of them. Documents with too many shingles of their own have no partner.
-3. A tile holds the documents of neighbouring size bands that share a prefix shingle. Each
-   document is first compared with the first one of a tile; what that leaves in different
-   components is compared pair by pair, large tiles in blocks.
+3. A tile holds the documents of neighbouring size bands that share a prefix shingle; of tiles
+   with the same members one is kept. In each round every document is compared with one pivot,
+   drawn anew, outside its component; the tiles that still hold several components after that
+   are compared in tasks that join what links at once and send links that span it, never pairs.
 4. Pairs are bounded by the bit counts of hashed bitmap signatures before the sorted arrays
    are intersected.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,38 +26,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import _Numbers, blocks
-from tidelag.llm.common import connected_components, mix64, read_table, release_memory, staged, tasks_for, texts, words_of
-from tidelag.llm.features import hash_of
+from tidelag.llm.common import blocks, connected_components, hashed_words, mix64, read_table, release_memory, staged, tasks_for, texts
 
 WIDTH = 5
 PERCENT = 75
-CHUNK_CHARS = 1_500_000
-BUCKET_CHARS = 12_000_000
+BLOCK_CHARS = 1_500_000
+#: Shingles that a task gathers before it sends them, and characters of text behind a range of hashes.
+UNIT_SHINGLES = 1_500_000
+BUCKET_CHARS = 24_000_000
 SIGNATURE_BITS = 1024
+#: Documents and shingles of a tile that are compared in one task; larger tiles are dealt as pairs of blocks.
 TILE_BLOCK = 1000
-STAR_ROUNDS = 2
+TILE_SHINGLES = 1_000_000
+#: Rounds of pivots go on while there are more open pairs than this for each open document, and they link something.
+PAIRS_EACH = 4
 _K = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 40) - 1)
-
-
-def shingle_sets(all_texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles; empty for texts without words."""
-    known = _Numbers()
-    rows = [np.fromiter(map(known.__getitem__, words_of(t)), np.int64) for t in all_texts]
-    hashes = hash_of(list(known))
-    sets = []
-    for row in rows:
-        if not len(row):
-            sets.append(np.zeros(0, np.uint64))
-            continue
-        h = hashes[row]
-        n = max(1, len(h) - width + 1)
-        combined = np.zeros(n, np.uint64) + np.uint64(min(len(h), width))
-        for k in range(min(width, len(h))):
-            combined = combined * _K + h[k : k + n]
-        sets.append(np.unique(mix64(combined)))
-    return sets
+
+
+def shingle_sets(all_texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 64-bit hashes of shingles, sorted in each text, one text after another; their numbers)."""
+    words, lengths = hashed_words(all_texts)
+    n = np.where(lengths, np.maximum(1, lengths - width + 1), 0)
+    first = np.cumsum(lengths) - lengths
+    combined = np.zeros(max(0, len(words) - width + 1), np.uint64) + np.uint64(width)
+    for k in range(width if len(combined) else 0):
+        combined = combined * _K + words[k : k + len(combined)]
+    hashes = np.zeros(int(n.sum()), np.uint64)
+    at = np.cumsum(n) - n
+    whole = np.repeat(lengths >= width, n)
+    starts = np.repeat(first - at, n) + np.arange(len(hashes))
+    hashes[whole] = combined[starts[whole]]
+    for i in np.flatnonzero((lengths > 0) & (lengths < width)).tolist():
+        short = np.uint64(lengths[i])
+        for w in words[first[i] : first[i] + lengths[i]]:
+            short = short * _K + w
+        hashes[at[i]] = short
+    hashes = mix64(hashes)
+    for i, j in zip(at.tolist(), (at + n).tolist(), strict=True):
+        hashes[i:j].sort()
+    owner = np.repeat(np.arange(len(n)), n)
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[fresh], np.bincount(owner[fresh], minlength=len(n))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -74,111 +88,185 @@ def may_link(n1, n2, own1, own2, sig1, sig2, percent: int = PERCENT):
     return 100 * most >= percent * (n1 + n2 - most)
 
 
-def linked(n1: int, n2: int, overlap: int, percent: int = PERCENT) -> bool:
+def linked(n1, n2, overlap, percent: int = PERCENT):
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
-def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, set_a, set_b (a digest of the set), and for documents that may have a partner:
-    prefix array<long>, shared binary (sorted keys that occur more than once), sig binary.
+def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with each of several."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.bincount(np.repeat(np.arange(len(others)), sizes), own[at] == flat, len(others)).astype(np.int64)
+
+
+ROWS = "kind int, bucket int, unit long, slots binary, more binary, low binary, high binary, counts binary"
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
+LISTED, KEYS = 1, 0
+
+
+def planes(slots: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending numbers as differences: their low bytes, and the rest, which is mostly zero."""
+    steps = np.diff(slots, prepend=0)
+    return (steps & 255).astype(np.uint8).tobytes(), (steps >> 8).astype("<u4").tobytes()
+
+
+def slots_of(low: bytes, more: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(low, np.uint8).astype(np.int64) | np.frombuffer(more, "<u4").astype(np.int64) << 8)
+
+
+def key_columns(keys: np.ndarray) -> tuple[bytes, bytes]:
+    return keys.astype(np.uint32).tobytes(), (keys >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def keys_of(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, "<u4")
+
+
+def units(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, shingles one document after another, their numbers) of units of whole documents."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for part in blocks(all_texts := batch.text.tolist(), BLOCK_CHARS):
+            held.append((batch.doc_id.iloc[part].to_numpy("<i8"), *shingle_sets(all_texts[part], width)))
+            if sum(len(h[1]) for h in held) >= UNIT_SHINGLES:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def unit_rows(unit: int, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray, buckets: int) -> pd.DataFrame:
+    """A unit's list of documents, and its distinct shingles by bucket.
+
+    A shingle has the place of its document, or, if several documents hold it, a place behind
+    all documents and their number; which documents they are stays with the list.
+    """
+    ends = np.cumsum(sizes)
+    digests = [blake2b(flat[i:j].tobytes(), digest_size=16).digest() for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    first: dict[bytes, int] = {}
+    for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest doc_id stands for all
+        first.setdefault(digests[i], i)
+    stands = np.array([first[d] for d in digests], np.int64)
+    sends = stands == np.arange(len(ids))
+    flat = flat[np.repeat(sends, sizes)]
+    owner = np.repeat(np.arange(len(ids)), np.where(sends, sizes, 0))
+    order = np.argsort(flat, kind="stable")
+    keys, begin, counts = np.unique(flat[order], return_index=True, return_counts=True)
+    slot = owner[order[begin]]
+    several = np.flatnonzero(counts > 1)
+    slot[several] = len(ids) + np.arange(len(several))
+    members = owner[order[np.repeat(counts > 1, counts)]]
+    table = np.stack([ids, ids[stands], sizes]).astype("<i8")
+    rows = [(LISTED, unit % buckets, unit, table.tobytes(), b"".join(digests), members.astype("<u4").tobytes(), b"", counts[several].astype("<u4").tobytes())]
+    bucket = (keys >> np.uint64(40)).astype(np.int64) % buckets
+    by_bucket = np.lexsort((slot, bucket))
+    cut = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        own = by_bucket[cut[b] : cut[b + 1]]
+        repeated = counts[own][slot[own] >= len(ids)]
+        rows.append((KEYS, b, unit, *planes(slot[own]), *key_columns(keys[own]), repeated.astype("<u4").tobytes()))
+    return pd.DataFrame(rows, columns=NAMES)
+
+
+def shared_keys(batch: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket's shingles those that occur more than once, with their counts; lists pass through."""
+    out = [tuple(r[1:]) for r in batch[batch.kind == LISTED].itertuples()]
+    batch = batch[batch.kind == KEYS]
+    if len(batch):
+        keys = keys_of(b"".join(batch.low), b"".join(batch.high))
+        found, place = np.unique(keys, return_inverse=True)
+        weight = np.ones(len(keys), np.int64)
+        at = 0
+        for r in batch.itertuples():
+            at += len(r.high)
+            repeated = np.frombuffer(r.counts, "<u4")
+            weight[at - len(repeated) : at] = repeated
+        df = np.bincount(place, weight, len(found)).astype("<u4")[place]
+        at = 0
+        for r in batch.itertuples():
+            own = slice(at, at := at + len(r.high))
+            keep = df[own] > 1
+            if keep.any():
+                out.append((KEYS, r.bucket, r.unit, *planes(slots_of(r.slots, r.more)[keep]), *key_columns(keys[own][keep]), df[own][keep].tobytes()))
+    release_memory()
+    return pd.DataFrame(out, columns=NAMES)
+
+
+SETS = "doc_id long, n long, set_a long, set_b long, stands long, own long, prefix array<long>, shared binary, sig binary"
+
+
+def unit_sets(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a unit's documents, from its list and its shared shingles."""
+    listed = batch[batch.kind == LISTED].iloc[0]
+    ids, stands, sizes = np.frombuffer(listed.slots, "<i8").reshape(3, -1)
+    digest = np.frombuffer(listed.more, "<i8").reshape(-1, 2)
+    members, group = np.frombuffer(listed.low, "<u4").astype(np.int64), np.frombuffer(listed.counts, "<u4").astype(np.int64)
+    parts = batch[batch.kind == KEYS]
+    none = [np.zeros(0, np.int64)]
+    slot = np.concatenate([slots_of(r.slots, r.more) for r in parts.itertuples()] or none)
+    keys = keys_of(b"".join(parts.low), b"".join(parts.high)) | np.repeat(parts.bucket.to_numpy(np.uint64), [len(h) for h in parts.high]) << np.uint64(40)
+    df = np.frombuffer(b"".join(parts.counts), "<u4")
+    several = np.flatnonzero(slot >= len(ids))
+    which = slot[several] - len(ids)
+    begin = np.cumsum(group) - group
+    run = group[which]
+    ends = np.cumsum(run)
+    inside = np.arange(int(run.sum())) - np.repeat(ends - run, run) + np.repeat(begin[which], run)
+    alone = slot < len(ids)
+    owner = np.concatenate([slot[alone], members[inside]])
+    keys, df = np.concatenate([keys[alone], np.repeat(keys[several], run)]), np.concatenate([df[alone], np.repeat(df[several], run)])
+    order = np.lexsort((keys, df, owner))
+    cut = np.searchsorted(owner[order], np.arange(len(ids) + 1))
+    rows = []
+    for i, n in enumerate(sizes.tolist()):
+        own = order[cut[i] : cut[i + 1]]
+        left = prefix_length(n, percent) - (n - len(own)) if n else 0
+        head = (ids[i], n, digest[i, 0], digest[i, 1], stands[i], len(own))
+        if left > 0 and len(own):
+            found = np.sort(keys[own])
+            rows.append((*head, keys[own[:left]].view(np.int64), found.tobytes(), signature(found).tobytes()))
+        else:
+            rows.append((*head, None, None, None))
+    release_memory()
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")])
+
+
+def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """doc_id, n, set_a, set_b (a digest of the set), stands (the smallest doc_id with this set in
+    the unit), and for documents that may have a partner: prefix, shared (sorted keys that occur
+    more than once), sig. A key is the number of its range of hashes above 40 bits of its hash.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(tasks_for(spark), -(-total // BUCKET_CHARS))
-    sent = "kind int, bucket int, chunk long, counts binary, high binary, low binary"
+    if buckets is None:
+        total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(tasks_for(docs.sparkSession), -(-total // BUCKET_CHARS))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
-                ids = batch.doc_id.iloc[part].to_numpy("<i8")
-                sets = shingle_sets(all_texts[part], width)
-                digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                sizes = np.array([len(s) for s in sets], "<i8")
-                first: dict[bytes, int] = {}
-                for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest doc_id sends
-                    first.setdefault(digests[i], i)
-                once = [first[d] == i for i, d in enumerate(digests)]
-                rows = [(1, chunk % buckets, chunk, ids.tobytes(), b"".join(digests), sizes.tobytes())]
-                flat = np.concatenate([s if o else s[:0] for s, o in zip(sets, once, strict=True)])
-                owner = np.repeat(np.arange(len(sets)), np.where(once, sizes, 0))
-                bucket = (flat >> np.uint64(40)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    own = order[ends[b] : ends[b + 1]]
-                    if len(own):
-                        key = flat[own]
-                        counts = np.bincount(owner[own], minlength=len(sets)).astype("<u4")
-                        rows.append((0, b, chunk, counts.tobytes(), (key >> np.uint64(32) & np.uint64(255)).astype(np.uint8).tobytes(), key.astype(np.uint32).tobytes()))
-                yield pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "counts", "high", "low"])
-                chunk += 1
-                release_memory()
-
-    back = "kind int, chunk long, counts binary, keys binary, df binary"
-
-    def count(batch: pd.DataFrame) -> pd.DataFrame:
-        """Send back what occurs more than once in this bucket; lists of documents pass through."""
-        lists = batch[batch.kind == 1]
-        out = [(1, r.chunk, r.counts, r.high, r.low) for r in lists.itertuples()]
-        batch = batch[batch.kind == 0]
-        if len(batch):
-            high = np.frombuffer(b"".join(batch.high), np.uint8).astype(np.uint64)
-            keys = high << np.uint64(32) | np.frombuffer(b"".join(batch.low), "<u4")
-            order = np.argsort(keys, kind="stable")
-            fresh = np.r_[True, keys[order][1:] != keys[order][:-1]]
-            run = np.cumsum(fresh) - 1
-            df = np.empty(len(keys), np.uint32)
-            df[order] = np.bincount(run)[run]
-            at, bucket = 0, np.uint64(batch.bucket.iloc[0])
-            for r in batch.itertuples():
-                counts = np.frombuffer(r.counts, "<u4").astype(np.int64)
-                own = slice(at, at + int(counts.sum()))
-                at = own.stop
-                keep = df[own] > 1
-                if keep.any():
-                    owner = np.repeat(np.arange(len(counts)), counts)[keep]
-                    whole = keys[own][keep] | bucket << np.uint64(40)
-                    out.append((0, r.chunk, np.bincount(owner, minlength=len(counts)).astype("<u4").tobytes(), whole.tobytes(), df[own][keep].tobytes()))
-        release_memory()
-        return pd.DataFrame(out, columns=["kind", "chunk", "counts", "keys", "df"])
-
-    schema = "doc_id long, n long, set_a long, set_b long, own long, prefix array<long>, shared binary, sig binary"
-
-    def gather(batch: pd.DataFrame) -> pd.DataFrame:
-        listed = batch[batch.kind == 1].iloc[0]
-        ids, sizes = np.frombuffer(listed.counts, "<i8"), np.frombuffer(listed.df, "<i8")
-        digest = np.frombuffer(listed["keys"], "<i8").reshape(-1, 2)
-        parts = batch[batch.kind == 0]
-        owner = [np.repeat(np.arange(len(ids)), np.frombuffer(c, "<u4")) for c in parts.counts]
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        keys = np.frombuffer(b"".join(parts["keys"]), np.uint64)
-        df = np.frombuffer(b"".join(parts["df"]), "<u4")
-        order = np.lexsort((keys, df, owner))
-        ends = np.searchsorted(owner[order], np.arange(len(ids) + 1))
-        rows = []
-        for i, n in enumerate(sizes.tolist()):
-            own = order[ends[i] : ends[i + 1]]
-            left = prefix_length(n, percent) - (n - len(own)) if n else 0
-            if left > 0 and len(own):
-                found = np.sort(keys[own])
-                rows.append((ids[i], n, digest[i, 0], digest[i, 1], len(own), keys[own[:left]].view(np.int64), found.tobytes(), signature(found).tobytes()))
-            else:
-                rows.append((ids[i], n, digest[i, 0], digest[i, 1], len(own), None, None, None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    counted = docs.mapInPandas(send, sent).groupBy("bucket").applyInPandas(count, back)
-    return counted.groupBy("chunk").applyInPandas(gather, schema)
+        unit = TaskContext.get().partitionId() << 24
+        for ids, flat, sizes in units(batches, width):
+            yield unit_rows(unit, ids, flat, sizes, buckets)
+            unit += 1
+            release_memory()
+
+    counted = docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(shared_keys, ROWS)
+    return counted.groupBy("unit").applyInPandas(lambda batch: unit_sets(batch, percent), SETS)
 
 
 def tiles(candidates: DataFrame) -> DataFrame:
-    """tile, doc_id, guest: a document is at home in its size band and a guest in the next one."""
+    """tile, doc_id, guest, own: a document is at home in its size band and a guest in the next one.
+
+    Of tiles with the same members one is kept: near copies share most of their prefixes.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    placed = candidates.select("doc_id", F.explode("prefix").alias("key"), band.alias("band"))
-    both = placed.select("doc_id", "key", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("guest")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("guest")))).alias("t"))
-    members = both.select(F.xxhash64("key", "t.band").alias("tile"), "doc_id", "t.guest")
-    crowded = members.groupBy("tile").agg(F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("home")).where("size > 1 and home").select("tile")
-    return members.join(crowded, "tile")
+    placed = candidates.select("doc_id", "own", F.explode("prefix").alias("key"), band.alias("band"))
+    both = placed.select("doc_id", "own", "key", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("guest")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("guest")))).alias("t"))
+    members = both.select(F.xxhash64("key", "t.band").alias("tile"), "doc_id", "t.guest", "own")
+    sums = members.groupBy("tile").agg(
+        F.count("*").alias("size"), F.bool_or(~F.col("guest")).alias("home"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.bit_xor(F.xxhash64("doc_id", "guest", "own")).alias("x"), F.bit_xor(F.xxhash64("own", "guest", "doc_id")).alias("y"),
+    ).where("size > 1 and home")
+    kept = sums.groupBy("size", "lo", "hi", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+    return members.join(kept, "tile")
 
 
 def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -192,7 +280,7 @@ def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> D
                 s1, s2 = np.frombuffer(r.sig_a, np.uint64), np.frombuffer(r.sig_b, np.uint64)
                 if may_link(r.n_a, r.n_b, r.own_a, r.own_b, s1, s2, percent):
                     x, y = np.frombuffer(r.shared_a, np.uint64), np.frombuffer(r.shared_b, np.uint64)
-                    if linked(r.n_a, r.n_b, len(np.intersect1d(x, y, assume_unique=True)), percent):
+                    if linked(r.n_a, r.n_b, overlaps(x, [y])[0], percent):
                         rows.append((r.a, r.b))
             if rows:
                 yield pd.DataFrame(rows, columns=["a", "b"])
@@ -200,76 +288,113 @@ def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def with_component(members: DataFrame, components: DataFrame | None) -> DataFrame:
+def open_members(members: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
+    """Members, with component, of the tiles that hold more than one component, and the tile's
+    size, shingles, pivot (drawn anew each turn) and number of pairs between components."""
     if components is None:
-        return members.withColumn("component", F.col("doc_id"))
-    return members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def mixed(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Members, with component, of the tiles that hold more than one component."""
-    known = with_component(members, components)
-    open_ = known.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.min("doc_id").alias("pivot"), F.min_by("component", "doc_id").alias("pivot_component"))
-    return known.join(open_.where("x <> y").drop("x", "y"), "tile")
+        known = members.withColumn("component", F.col("doc_id"))
+    else:
+        known = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    drawn = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("draw"), "doc_id", "component")
+    by_component = known.groupBy("tile", "component").agg(F.count("*").alias("c"), F.sum("own").alias("own"), F.min(drawn).alias("p"))
+    info = by_component.groupBy("tile").agg(
+        F.count("*").alias("components"), F.sum("c").alias("size"), F.sum("own").alias("shingles"), F.min("p").alias("p"),
+        F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"),
+    ).where("components > 1")
+    pairs = (F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2
+    return known.join(info.select("tile", "size", "shingles", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("pivot_component"), pairs.alias("pairs")), "tile")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """One pair for each document: with the smallest first document of its tiles outside its component."""
-    return members.where("component <> pivot_component").groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a")).where("a <> b")
+    """One pair for each document: with the pivot of one of its tiles that is outside its component."""
+    return members.where("component <> pivot_component").groupBy(F.col("doc_id").alias("b")).agg(F.min_by("pivot", F.xxhash64("tile")).alias("a")).where("a <> b")
 
 
-def remaining_pairs(members: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs of a tile in different components whose bit counts allow a link.
+def tile_links(members: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that join all that links in each tile, at most one for each member of a task.
 
-    A tile of more than ``TILE_BLOCK`` documents is dealt to tasks as pairs of blocks.
+    A tile of many documents or shingles is dealt to tasks as pairs of blocks. A task holds one
+    pair of blocks at a time; documents that it has linked are not compared again.
     """
-    blocks_ = F.ceil(F.col("size") / TILE_BLOCK).cast("int")
+    blocks_ = F.greatest(F.ceil(F.col("size") / TILE_BLOCK), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks_).cast("int")
-    dealt = members.select("tile", "doc_id", "guest", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "guest", "component", "own", F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") == F.col("other")).alias("inner"))
-    full = dealt.join(candidates.select("doc_id", "n", F.col("own").alias("shared_n"), "sig"), "doc_id")
-    parts = tasks_for(members.sparkSession) * 4
-
-    def pairs(batch: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, g in batch.groupby("task"):
-            doc, n, k = g.doc_id.to_numpy(), g.n.to_numpy(), g.shared_n.to_numpy()
-            comp, guest, own, inner = g.component.to_numpy(), g.guest.to_numpy(), g.own.to_numpy(), g.inner.to_numpy()
-            sig = np.frombuffer(b"".join(g.sig), np.uint64).reshape(len(g), -1)
-            for i in range(len(g) - 1):
-                j = np.arange(i + 1, len(g))
-                j = j[(comp[j] != comp[i]) & ~(guest[j] & guest[i]) & (inner[i] | (own[j] != own[i]))]
-                if len(j):
-                    j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
-                    found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return full.withColumn("part", F.pmod("task", F.lit(parts))).groupBy("part").applyInPandas(pairs, "a long, b long").distinct()
+    dealt = members.select("tile", "doc_id", "guest", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
+    dealt = dealt.select("doc_id", "guest", "component", "block", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("inner"))
+    full = dealt.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id").repartition("task").sortWithinPartitions("task", "doc_id")
+
+    def compare(rows: list) -> Iterator[tuple[int, int]]:
+        label = np.unique([r.component for r in rows], return_inverse=True)[1]
+        if label.max(initial=0) == 0:
+            return
+        n, k, block = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own", "block"))
+        guest, inner = (np.array([getattr(r, c) for r in rows], bool) for c in ("guest", "inner"))
+        sig = np.frombuffer(b"".join(r.sig for r in rows), np.uint64).reshape(len(rows), -1)
+        shared = [np.frombuffer(r.shared, np.uint64) for r in rows]
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            j = j[(label[j] != label[i]) & ~(guest[j] & guest[i]) & (inner[i] | (block[j] != block[i]))]
+            if len(j):
+                j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
+            if len(j):
+                for x in j[linked(n[i], n[j], overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
+                    if label[x] != label[i]:
+                        label[label == label[x]] = label[i]
+                        yield rows[i].doc_id, rows[x].doc_id
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                if held and held[0].task != r.task:
+                    found += compare(held)
+                    held = []
+                held.append(r)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+        if held and (found := list(compare(held))):
+            yield pd.DataFrame(found, columns=["a", "b"])
+        release_memory()
+
+    return full.mapInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing;
-    equal sets of shingles always link; an empty table gives no rows; columns other than doc_id
-    and text are not read.
+    equal sets of shingles always link; rows of one doc_id with several texts are one document
+    that links by each of them; an empty table gives no rows; columns other than doc_id and text
+    are not read.
     """
     table = staged(profile(texts(docs), width, percent), "jaccard-sets")
-    first = table.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    classes = staged(table.select("doc_id", "n", "set_a", "set_b").join(first, ["set_a", "set_b"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "jaccard-classes")
-    one_each = table.where("prefix is not null").join(first, ["set_a", "set_b"]).where("doc_id = first").dropDuplicates(["set_a", "set_b"])
-    candidates = staged(one_each.drop("first"), "jaccard-candidates")
+    sets = ["set_a", "set_b"]
+    standing = table.where("n > 0 and doc_id = stands")
+    first = standing.groupBy(*sets).agg(F.min("doc_id").alias("first"))
+    # within a unit documents know who stands for them, so that a group of copies does not meet in one place
+    by_standing = standing.select("stands", *sets).distinct().join(first, sets)
+    classes = staged(
+        table.select("doc_id", "n", "stands", *sets).join(by_standing, ["stands", *sets], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "jaccard-classes"
+    )
+    one_each = standing.where("prefix is not null").join(first, sets).where("doc_id = first").dropDuplicates(["doc_id", *sets])
+    candidates = staged(one_each.drop("first", "stands"), "jaccard-candidates")
     members = staged(tiles(candidates), "jaccard-tiles")
-    links, found = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        open_ = staged(mixed(members, found), "jaccard-open")
-        if not open_.limit(1).count():
+    several = classes.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
+    links = staged(classes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-links")
+    found = connected_components(links) if links.limit(1).count() else None
+    linked_before = 1
+    for turn in count():
+        open_ = staged(open_members(members, found, turn), "jaccard-open")
+        rows, pairs = open_.agg(F.count("*"), F.sum(F.col("pairs") / F.col("size"))).first()
+        if not rows:
             break
-        pairs = star_pairs(open_) if turn < STAR_ROUNDS else remaining_pairs(open_, candidates, percent)
-        new = staged(verify(pairs, candidates, percent), "jaccard-links")
-        links = new if links is None else links.union(new)
+        last = pairs <= PAIRS_EACH * rows or not linked_before
+        new = staged(tile_links(open_, candidates, percent) if last else verify(star_pairs(open_), candidates, percent), "jaccard-links")
+        linked_before = new.count()
+        links = links.union(new)
         found = connected_components(links)
+        if last:
+            break
     if found is None:
         return classes.select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
     joined = classes.join(found.withColumnRenamed("node", "first"), "first", "left")

@@ -20,8 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import _Numbers, blocks
-from tidelag.llm.common import read_table, release_memory, staged, tasks_for, texts, words_of
+from tidelag.llm.common import Numbers, blocks, read_table, release_memory, staged, tasks_for, texts, words_of
 from tidelag.llm.features import hash_of, remainder5
 
 SWEEPS, KEPT = 3, 2
@@ -198,7 +197,7 @@ class Chunk:
 
     @classmethod
     def of(cls, all_texts: list[str], buckets: int) -> Chunk:
-        known = _Numbers()
+        known = Numbers()
         rows = [np.fromiter(map(known.__getitem__, [*words_of(t), END]), np.int64) for t in all_texts]
         lengths = np.array([len(r) for r in rows], np.int64)
         words, word = list(known), np.concatenate(rows)
@@ -258,7 +257,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
                 release_memory()
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
-        known, word, context, counts = _Numbers(), [], [], []
+        known, word, context, counts = Numbers(), [], [], []
         for r in batch.itertuples():
             table = unpack(r.a, r.b, r.c, r.d)
             word.append(np.fromiter(map(known.__getitem__, table.words), np.int64, table.n)[table.word])

@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import blocks
-from tidelag.llm.common import read_table, release_memory, texts
+from tidelag.llm.common import blocks, read_table, release_memory, texts
 from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5
 
 BITS = 18

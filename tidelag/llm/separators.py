@@ -17,8 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import blocks
-from tidelag.llm.common import read_table, staged, texts
+from tidelag.llm.common import blocks, read_table, staged, texts
 
 END_OF_DOCUMENT = 50256
 BLOCK_TOKENS = 1 << 18

@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.bpe import blocks
-from tidelag.llm.common import mix64, ragged, read_table, staged, tasks_for, texts
+from tidelag.llm.common import blocks, mix64, ragged, read_table, staged, tasks_for, texts
 from tidelag.llm.suffixes import suffix_array
 
 WINDOW = 100
