@@ -16,7 +16,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import count
 
@@ -38,8 +38,8 @@ SIGNATURE_BITS = 1024
 #: Documents and shingles of a tile that are compared in one task; larger tiles are dealt as pairs of blocks.
 TILE_BLOCK = 1000
 TILE_SHINGLES = 1_000_000
-#: Rounds of pivots go on while there are more open pairs than this for each open document, and they link something.
-PAIRS_EACH = 4
+#: After the first, rounds of pivots go on while there are more open pairs than this for each open row, and a quarter of their pairs links.
+PAIRS_EACH = 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,10 +57,10 @@ def shingle_sets(all_texts: list[str], width: int = WIDTH) -> tuple[np.ndarray,
     starts = np.repeat(first - at, n) + np.arange(len(hashes))
     hashes[whole] = combined[starts[whole]]
     for i in np.flatnonzero((lengths > 0) & (lengths < width)).tolist():
-        short = np.uint64(lengths[i])
+        short = np.full(1, lengths[i], np.uint64)  # an array, which wraps around
         for w in words[first[i] : first[i] + lengths[i]]:
             short = short * _K + w
-        hashes[at[i]] = short
+        hashes[at[i]] = short[0]
     hashes = mix64(hashes)
     for i, j in zip(at.tolist(), (at + n).tolist(), strict=True):
         hashes[i:j].sort()
@@ -313,33 +313,22 @@ def star_pairs(members: DataFrame) -> DataFrame:
 def tile_links(members: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that join all that links in each tile, at most one for each member of a task.
 
-    A tile of many documents or shingles is dealt to tasks as pairs of blocks. A task holds one
-    pair of blocks at a time; documents that it has linked are not compared again.
+    A tile of many documents or shingles is dealt to tasks as pairs of blocks, which are held one
+    at a time. First the bit counts tell which documents have a possible partner; only those
+    bring their shingles. Documents that a task has linked are not compared again.
     """
     blocks_ = F.greatest(F.ceil(F.col("size") / TILE_BLOCK), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks_).cast("int")
     dealt = members.select("tile", "doc_id", "guest", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
     dealt = dealt.select("doc_id", "guest", "component", "block", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("inner"))
-    full = dealt.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id").repartition("task").sortWithinPartitions("task", "doc_id")
-
-    def compare(rows: list) -> Iterator[tuple[int, int]]:
-        label = np.unique([r.component for r in rows], return_inverse=True)[1]
-        if label.max(initial=0) == 0:
-            return
-        n, k, block = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own", "block"))
-        guest, inner = (np.array([getattr(r, c) for r in rows], bool) for c in ("guest", "inner"))
-        sig = np.frombuffer(b"".join(r.sig for r in rows), np.uint64).reshape(len(rows), -1)
-        shared = [np.frombuffer(r.shared, np.uint64) for r in rows]
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            j = j[(label[j] != label[i]) & ~(guest[j] & guest[i]) & (inner[i] | (block[j] != block[i]))]
-            if len(j):
-                j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
-            if len(j):
-                for x in j[linked(n[i], n[j], overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
-                    if label[x] != label[i]:
-                        label[label == label[x]] = label[i]
-                        yield rows[i].doc_id, rows[x].doc_id
+    in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
+    bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
+    near = staged(bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "guest", "component", "block", "inner"), dealt.schema), "jaccard-near")
+    return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
+
+
+def _by_task(compare: Callable[[list], Iterator[tuple]], *columns: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Apply ``compare`` to the rows of one task at a time; they come one after another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -351,12 +340,53 @@ def tile_links(members: DataFrame, candidates: DataFrame, percent: int = PERCENT
                     held = []
                 held.append(r)
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield pd.DataFrame(found, columns=list(columns))
         if held and (found := list(compare(held))):
-            yield pd.DataFrame(found, columns=["a", "b"])
+            yield pd.DataFrame(found, columns=list(columns))
         release_memory()
 
-    return full.mapInPandas(run, "a long, b long")
+    return run
+
+
+def _candidates(rows: list, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, later places whose bit counts allow a link); ``label`` tells components apart and may change on the way."""
+    n, k, block = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own", "block"))
+    guest, inner = (np.array([getattr(r, c) for r in rows], bool) for c in ("guest", "inner"))
+    sig = np.frombuffer(b"".join(r.sig for r in rows), np.uint64).reshape(len(rows), -1)
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        j = j[(label[j] != label[i]) & ~(guest[j] & guest[i]) & (inner[i] | (block[j] != block[i]))]
+        if len(j):
+            j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
+        if len(j):
+            yield i, j
+
+
+def _labels(rows: list) -> np.ndarray:
+    return np.unique([r.component for r in rows], return_inverse=True)[1]
+
+
+def _near(rows: list, percent: int) -> list[tuple]:
+    """The rows that have a partner by their bit counts."""
+    if len(rows) == 1:
+        return []
+    near = np.zeros(len(rows), bool)
+    for i, j in _candidates(rows, _labels(rows), percent):
+        near[i] = True
+        near[j] = True
+    return [(r.task, r.doc_id, r.guest, r.component, r.block, r.inner) for r, x in zip(rows, near, strict=True) if x]
+
+
+def _join(rows: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the components of these rows, by exact intersections."""
+    label = _labels(rows)
+    shared = [np.frombuffer(r.shared, np.uint64) for r in rows]
+    for i, j in _candidates(rows, label, percent):
+        n = np.array([rows[x].n for x in j.tolist()], np.int64)
+        for x in j[linked(rows[i].n, n, overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
+            if label[x] != label[i]:
+                label[label == label[x]] = label[i]
+                yield rows[i].doc_id, rows[x].doc_id
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -382,15 +412,17 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     several = classes.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
     links = staged(classes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-links")
     found = connected_components(links) if links.limit(1).count() else None
-    linked_before = 1
     for turn in count():
         open_ = staged(open_members(members, found, turn), "jaccard-open")
         rows, pairs = open_.agg(F.count("*"), F.sum(F.col("pairs") / F.col("size"))).first()
         if not rows:
             break
-        last = pairs <= PAIRS_EACH * rows or not linked_before
-        new = staged(tile_links(open_, candidates, percent) if last else verify(star_pairs(open_), candidates, percent), "jaccard-links")
-        linked_before = new.count()
+        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 4 * linked_pairs < asked):
+            new = staged(tile_links(open_, candidates, percent), "jaccard-links")
+        else:
+            drawn = staged(star_pairs(open_), "jaccard-pairs")
+            new = staged(verify(drawn, candidates, percent), "jaccard-links")
+            asked, linked_pairs = drawn.count(), new.count()
         links = links.union(new)
         found = connected_components(links)
         if last:
