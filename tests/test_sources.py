@@ -47,3 +47,30 @@ def test_returns_and_edges(spark):
     rows = spark.createDataFrame([("2285.0", "12", "2024-01-01", "0.5", "a"), ("x", "12", "2024-01-01", "0.5", "a"), ("1.0", "3.0", "2024-01-01", "-0.1", "b"), ("1.0", "3", "2024-01-01", "", "b")], "customer_gvkey string, supplier_gvkey string, srcdate string, weight_wji string, source string")
     assert sorted((r.customer_gvkey, r.supplier_gvkey) for r in readers.clean_edges(rows).collect()) == [("000001", "000003"), ("002285", "000012")]
     assert readers.clean_edges(rows, min_weight=0.2).count() == 1 and readers.clean_edges(rows, source="b").count() == 1
+
+
+def test_order_of_rows_is_that_of_files_not_of_splits(spark, tmp_path):
+    """Small and large files are packed into splits by size; the last row is still that of the last file."""
+    from tidelag.sources.readers import read_merged_edges, read_returns
+
+    for k, rows in enumerate((1, 4000, 3)):
+        data = [("1", "2024-01-02", k + i / 10000) for i in range(rows)]
+        spark.createDataFrame(data, "gvkey string, date string, RET double").coalesce(1).write.parquet(str(tmp_path / f"r{k}"))
+        spark.createDataFrame([("2024-01-02", "7", "8.0", k + i / 10000) for i in range(rows)], "srcdate string, supplier_gvkey string, customer_gvkey string, weight_wji double").coalesce(1).write.option("header", True).csv(str(tmp_path / f"e{k}"))
+    assert [r.r for r in read_returns(spark, str(tmp_path / "r*")).collect()] == [2.0002]
+    edges = read_merged_edges(spark, str(tmp_path / "e*"))
+    assert edges.orderBy("ord").tail(1)[0].weight_wji == 2.0002 and edges.count() == 4004
+
+
+def test_exact_quantiles_narrow_to_the_value(spark, monkeypatch):
+    import numpy as np
+
+    from tidelag.operators import stats
+
+    monkeypatch.setattr(stats, "FEW", 5)
+    monkeypatch.setattr(stats, "BINS", 7)
+    values = [0.0] * 40 + [float(v) for v in np.random.default_rng(2).normal(size=60)] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    assert np.allclose(stats.exact_quantiles(rows, "v", shares), np.quantile(values[:-1], shares), atol=1e-15)
+    assert stats.exact_quantiles(rows.where("false"), "v", [0.5]) == [None]

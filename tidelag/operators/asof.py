@@ -13,9 +13,10 @@ PAIR = ["customer_gvkey", "supplier_gvkey"]
 def intervals(edges: DataFrame) -> DataFrame:
     """(pair, weight_wji, lo, hi): a weight holds from its date up to the next one of its pair.
 
-    Of several weights of one date the last by ``ord`` counts; the last weight has no end.
+    Of several weights of one date the last by ``ord`` counts, the largest where rows have no
+    order; the last weight has no end.
     """
-    once = keep_last(edges, [*PAIR, "date"], "ord") if "ord" in edges.columns else edges.dropDuplicates([*PAIR, "date"])
+    once = keep_last(edges, [*PAIR, "date"], "ord" if "ord" in edges.columns else "weight_wji")
     following = F.lead("date").over(Window.partitionBy(*PAIR).orderBy("date"))
     return once.select(*PAIR, "weight_wji", F.col("date").alias("lo"), following.alias("hi"))
 
@@ -23,11 +24,12 @@ def intervals(edges: DataFrame) -> DataFrame:
 def signal(returns: DataFrame, edges: DataFrame, entity: str, source: str, name: str) -> DataFrame:
     """(entity, date, name): sum of weight times the source's return of the day.
 
-    The calendar is never multiplied out: returns meet intervals on the source's id, and the
-    dates are compared within it.
+    Weights of sources with returns are put on the days that they hold, then meet the returns by
+    source and day: no firm's history is one key, and no interval meets a day outside it.
     """
     days = returns.select(F.col("gvkey").alias(source), "date", "r")
-    held = intervals(edges).join(days, source).where((F.col("date") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("date") < F.col("hi"))))
+    known = edges.join(days.select(source).distinct(), source, "left_semi")
+    held = weights_on(known, returns.select("date").distinct()).join(days, [source, "date"])
     return held.groupBy(entity, "date").agg(F.coalesce(F.sum(F.col("weight_wji") * F.col("r")), F.lit(0.0)).alias(name))
 
 

@@ -22,7 +22,10 @@ def classify(segments: DataFrame, firms: DataFrame, fundamentals: DataFrame, ign
     asked = rows.where("not ignored and sales > 0").select("name")
     found = resolve(asked, firms, mode).select("name", F.col("tic").alias("customer_tic"), F.col("tier").alias("match_tier"))
     funds = fundamentals.where("sale > 0").select("gvkey", F.col("datadate").alias("srcdate"), F.col("sale").alias("total_sale"))
-    joined = rows.join(found, "name", "left").join(funds, ["gvkey", "srcdate"], "left")
+    # rows that need no firm get keys of their own that no name has, so that a name of many such rows is no hot key
+    reaches = F.coalesce(~F.col("ignored") & (F.col("sales") > 0), F.lit(False))
+    keyed = rows.withColumn("key", F.when(reaches, F.col("name")).otherwise(F.concat(F.lit("\n"), F.xxhash64("ord").cast("string"))))
+    joined = keyed.join(found.withColumnRenamed("name", "key"), "key", "left").join(funds, ["gvkey", "srcdate"], "left").drop("key")
     outcome = (
         F.when(F.col("ignored"), "ignore")
         .when(F.coalesce(F.col("sales") > 0, F.lit(False)) == False, "no_sale")  # noqa: E712

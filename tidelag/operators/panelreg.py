@@ -14,18 +14,17 @@ from pyspark.sql import types as T
 
 from tidelag.functions.student import two_sided_p
 from tidelag.operators.panel import LAGS, roles_of
+from tidelag.sources.shared import shared_dir
 
-#: Largest change of a date effect that counts as none, and the most rounds.
-TOLERANCE, ROUNDS = 1e-13, 300
+#: What may be left of the date effects' equations, as a share of their right side.
+TOLERANCE = 1e-11
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the session names; one of our own only where it names none."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()
 
 
@@ -78,18 +77,34 @@ class Panel:
         def count(out, t, v):
             np.add.at(out, t, 1.0)
 
-        per_day = np.maximum(1.0, self.total(count, days))
-        effects = np.zeros((days, columns))
-        for _ in range(ROUNDS):
-
-            def left(out, t, v, b=effects):
-                rest = v - b[t]
-                np.add.at(out.reshape(days, columns), t, rest - rest.mean(axis=0))
-
-            step = self.total(left, days * columns).reshape(days, columns) / per_day[:, None]
-            effects = effects + step
-            if np.abs(step).max(initial=0.0) < TOLERANCE:
-                break
+        shape = (days, columns)
+
+        def right(out, t, v):
+            np.add.at(out.reshape(shape), t, v - v.mean(axis=0))
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            def add(out, t, v):
+                np.add.at(out.reshape(shape), t, x[t] - x[t].mean(axis=0))
+
+            return self.total(add, days * columns).reshape(shape)
+
+        per_day = np.maximum(1.0, self.total(count, days))[:, None]
+        effects, left = np.zeros(shape), self.total(right, days * columns).reshape(shape)
+        goal = TOLERANCE * np.linalg.norm(left, axis=0)
+        # conjugate gradients on the equations of the dates, all columns at once: one pass for each step
+        ready = left / per_day
+        step, size = ready, (left * ready).sum(axis=0)
+        for _ in range(2 * days + 10):
+            if (np.linalg.norm(left, axis=0) <= goal).all():
+                return effects
+            moved = spread(step)
+            length = np.divide(size, (step * moved).sum(axis=0), out=np.zeros(columns), where=size > 0)
+            effects, left = effects + length * step, left - length * moved
+            ready = left / per_day
+            now = (left * ready).sum(axis=0)
+            step, size = ready + np.divide(now, size, out=np.zeros(columns), where=size > 0) * step, now
+        if (np.linalg.norm(left, axis=0) > 1e3 * goal).any():
+            raise ArithmeticError("the date effects did not settle")
         return effects
 
 
@@ -114,10 +129,10 @@ def within_ols(rows: DataFrame, ys: list[str], xs: list[str], entity: str, date:
         out.reshape(width, width)[:] += w.T @ w
 
     gram = panel.total(products, width * width).reshape(width, width)
-    try:
-        inverse = np.linalg.inv(gram[m:, m:])
-    except np.linalg.LinAlgError:
-        return [dict(nothing) for _ in ys]
+    scale = np.sqrt(np.diag(gram)[m:])
+    if not (scale > 0).all() or np.linalg.matrix_rank(gram[m:, m:] / np.outer(scale, scale), tol=1e-10) < k:
+        return [dict(nothing) for _ in ys]  # a regressor that the others or the effects explain
+    inverse = np.linalg.inv(gram[m:, m:])
     betas = inverse @ gram[m:, :m]
 
     def meat(out, t, v):

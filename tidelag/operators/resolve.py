@@ -31,16 +31,26 @@ def stripped(names: DataFrame, firms: DataFrame) -> DataFrame:
     return names.withColumn("stripped", strip_suffixes(F.col("name"))).join(keys, "stripped", "left")
 
 
-def token_pairs(left: DataFrame, right: DataFrame, key_left: str, key_right: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(left key, right key, score) of rows whose token sets have a Jaccard similarity of ``threshold`` or more.
+def token_pairs(left: DataFrame, right: DataFrame, key_left: str, key_right: str, threshold: float = THRESHOLD, ordered: bool = False) -> DataFrame:
+    """(k1, k2, score) of rows whose token sets have a Jaccard similarity of ``threshold`` or more.
 
-    Only rows that share a word meet: an equi-join on words, then a count by pair. Sizes that
-    rule a match out are dropped in the join.
+    Sets of that similarity share one of the rarest words of each, so many that the rest is too
+    small; only rows that share such a word meet, so common words bring nobody together. Sizes
+    that rule a match out are dropped in the join, with ``ordered`` also pairs that are not k1 < k2.
     """
-    side = lambda rows, key, n, k: rows.select(F.col(key).alias(k), F.array_distinct("tokens").alias("t")).select(k, F.size("t").alias(n), F.explode("t").alias("word"))
-    met = side(left, key_left, "n1", "k1").join(side(right, key_right, "n2", "k2"), "word").where(F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))
-    shared = met.groupBy("k1", "k2").agg(F.count("*").alias("both"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    return shared.withColumn("score", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))).where(F.col("score") >= threshold)
+    words = lambda rows, key, k: rows.select(F.col(key).alias(k), F.array_distinct("tokens").alias("t")).distinct()
+    one, two = words(left, key_left, "k1"), words(right, key_right, "k2")
+    each = lambda rows, k: rows.select(k, "t", F.explode("t").alias("word"))
+    df = each(one, "k1").select("word").unionAll(each(two, "k2").select("word")).groupBy("word").agg(F.count("*").alias("df"))
+    rare = lambda rows, k: (
+        each(rows, k).join(df, "word").groupBy(k, "t").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+        .select(k, "t", F.explode(F.slice(F.transform("w", lambda x: x["word"]), 1, (F.size("t") - F.ceil(threshold * F.size("t") - 1e-9) + 1).cast("int"))).alias("word"))
+    )
+    n1, n2 = F.size("t1"), F.size("t2")
+    near = (F.least(n1, n2) >= threshold * F.greatest(n1, n2) - 1e-9) & (F.col("k1") < F.col("k2") if ordered else F.lit(True))
+    met = rare(one, "k1").withColumnRenamed("t", "t1").join(rare(two, "k2").withColumnRenamed("t", "t2"), "word").where(near)
+    both = F.size(F.array_intersect("t1", "t2"))
+    return met.select("k1", "k2", (both / (n1 + n2 - both)).alias("score")).where(F.col("score") >= threshold).distinct()
 
 
 def best_jaccard(names: DataFrame, firms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,28 +13,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelag.operators.matrix import nodes
+from tidelag.sources.shared import staged
+
 MOST_NODES = 4000
-MOST_CELLS = 2_000_000
 BINS = 40
 SAMPLE = 2000
 
 
 def dense(matrix: DataFrame) -> tuple[list[str], np.ndarray]:
     """Sorted nodes and the dense matrix; an error beyond ``MOST_NODES``."""
-    cells = matrix.limit(MOST_CELLS + 1).collect()
-    names = sorted({x for r in cells for x in (r.i, r.j)})
-    if len(cells) > MOST_CELLS or len(names) > MOST_NODES:
+    matrix = staged(matrix.select("i", "j", "value"), "matrix")
+    names = sorted(r.node for r in nodes(matrix).limit(MOST_NODES + 1).collect())
+    if len(names) > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes: dense eigenvalues are not for this size")
-    place = {n: k for k, n in enumerate(names)}
+    cells, place = matrix.toPandas(), pd.Series(range(len(names)), index=names, dtype="int64")
     out = np.zeros((len(names), len(names)))
-    for r in cells:
-        out[place[r.i], place[r.j]] = r.value
+    out[place[cells.i].to_numpy(), place[cells.j].to_numpy()] = cells.value
     return names, out
 
 
 def largest(skew: np.ndarray) -> float:
-    """The largest eigenvalue of i*S, which is the largest singular value of S."""
-    return float(np.linalg.norm(skew, 2)) if skew.size else 0.0
+    """The largest eigenvalue of i*S: the root of the largest one of the symmetric S transposed times S."""
+    return float(np.sqrt(max(0.0, np.linalg.eigvalsh(skew.T @ skew)[-1]))) if skew.size else 0.0
 
 
 def spectrum(skew: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def histogram(null: DataFrame, bins: int = BINS) -> DataFrame:
 def embedding(matrix: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """(node, x, y): real parts of the first two eigenvectors, for at most ``sample`` nodes."""
     vectors = eigenvectors(matrix, 2).groupBy("node").agg(F.max(F.when(F.col("k") == 1, F.col("re"))).alias("x"), F.max(F.when(F.col("k") == 2, F.col("re"))).alias("y"))
-    return vectors.orderBy(F.rand(seed)).limit(sample)
+    return vectors.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sample)
 
 
 def centrality(matrix: DataFrame, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:

@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.functions.clean import clip
+from tidelag.sources.shared import staged
 
 #: Fewest pairs of a regression, and the least spread of its regressor.
 LEAST_PAIRS = 10
 LEAST_SPREAD = 1e-20
+#: Bins of a counting pass, and the most values that are sorted at its end.
+BINS, FEW = 2000, 10_000
 #: Of the spread of y: a smaller residual counts as none.
 EXACT_FIT = 1e-12
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Quantiles interpolated between neighbours, as ``percentile`` gives them, in counting passes.
+
+    The range that holds a rank is cut into equal bins and counted until few values or one value
+    are left, so that no task holds the values of the table. NULL for a table without values.
+    """
+    values = staged(rows.select(F.col(column).cast("double").alias("v")).where("v is not null"), "quantiles")
+    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole.n:
+        return [None for _ in shares]
+
+    @cache
+    def at(rank: int) -> float:
+        before, n, lo, hi = 0, whole.n, whole.lo, whole.hi
+        while lo < hi:
+            own = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
+            if n <= FEW:
+                return sorted(r.v for r in own.collect())[rank - before]
+            place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / (hi - lo) * BINS))
+            for b in own.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("bin").collect():
+                if rank < before + b.n:
+                    n, lo, hi = b.n, b.lo, b.hi
+                    break
+                before += b.n
+        return lo
+
+    found = []
+    for q in shares:
+        place = q * (whole.n - 1)
+        low = int(place)
+        one, two = at(low), at(min(low + 1, whole.n - 1))
+        found.append(one + (two - one) * (place - low) if two > one else one)
+    return found
+
+
 def winsorize(rows: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``column`` clipped to its own exact quantiles, one pair of bounds for all rows."""
-    bounds = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    joined = rows.join(F.broadcast(bounds))  # one row
-    return joined.withColumn(column, clip(F.col(column), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    bounds = exact_quantiles(rows, column, [low, high])
+    return rows.withColumn(column, clip(F.col(column), *(F.lit(b).cast("double") for b in bounds)))
 
 
 def winsorize_by(rows: DataFrame, key: str, column: str, q: float) -> DataFrame:
@@ -35,10 +74,10 @@ def nonzero(rows: DataFrame, column: str) -> DataFrame:
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, extremes, quartiles, mean size and share of values that are not 0."""
-    quarter = lambda q: F.percentile(column, F.lit(q))
+    quarters = [F.lit(q).cast("double") for q in exact_quantiles(rows, column, [0.25, 0.5, 0.75])]
     return rows.agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
-        quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"), F.max(column).alias("max"),
+        *(q.alias(name) for q, name in zip(quarters, ("q25", "q50", "q75"), strict=True)), F.max(column).alias("max"),
         F.avg(F.abs(column)).alias("mean_abs"), F.avg((F.col(column) != 0).cast("double")).alias("share_nonzero"),
     )
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from tidelag.functions import clean, text
 from tidelag.operators import asof, dedupe, edges, matrix, panel, panelreg, resolve, spectral, stats
 from tidelag.plans import views
+from tidelag.sources import readers, writers
+from tidelag.sources.shared import new_path
 
-HORIZON, MIN_OBS, WINSOR, PERMUTATIONS, SEED = 3, 20, 0.05, 200, 42
+#: Defaults of the library, but for the least observations: the tables have 30 days of returns.
+HORIZON, MIN_OBS, WINSOR, PERMUTATIONS, SEED = 5, 20, 0.001, 500, 42
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -97,7 +100,7 @@ WORDS = ("v_words", f"select id, unnest(list_distinct({TOKENS.format('name')}))
 group by 1, 2 having count(*) / (first(a.n) + first(b.n) - count(*)) >= 0.8""", WORDS))
 def jaccard_pairs(spark, sf_dir):
     rows = views.names(spark, sf_dir).select("id", text.tokens(F.col("name")).alias("tokens"))
-    pairs = resolve.token_pairs(rows, rows, "id", "id", 0.8).where("k1 < k2")
+    pairs = resolve.token_pairs(rows, rows, "id", "id", 0.8, ordered=True)
     return rounded(pairs.select(F.col("k1").alias("a"), F.col("k2").alias("b"), "score"), "score")
 
 
@@ -133,9 +136,7 @@ def dedupe_last(spark, sf_dir):
     rows = views.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("gvkey"), "ts", F.to_date("ts").alias("date"), ((F.col("value") - 50.0) / 1000.0).alias("RET"), F.struct("ts", "event_id").alias("place")
     )
-    from tidelag.sources.readers import clean_returns
-
-    return rounded(clean_returns(rows, order="place"), "r")
+    return rounded(readers.clean_returns(rows, order="place"), "r")
 
 
 @query("select l_suppkey, max_by(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 10000000.0 + l_extendedprice) as price from lineitem where l_extendedprice > 0 group by 1")
@@ -188,12 +189,6 @@ def resolve_jaccard(spark, sf_dir):
     return rounded(resolve.best_jaccard(asked, firms), "score")
 
 
-@query(using("select cast(case when tic is not null then 1 else 0 end as int) as tier, count(distinct norm) as names from v_asked left join v_dict on norm = norm_name where norm <> '' group by 1", FIRMS, ASKED))
-def resolver_stats(spark, sf_dir):
-    found = resolve.resolve(views.segments(spark, sf_dir).select(F.col("cnms").alias("name")), dictionary(spark, sf_dir))
-    return resolve.stats(found)
-
-
 # Edges
 
 IGNORED = "(" + ", ".join(f"'{n}'" for n in text.IGNORED_NAMES) + ")"
@@ -223,6 +218,13 @@ def edge_dispositions(spark, sf_dir):
     return edges.dispositions(classified(spark, sf_dir))
 
 
+@query(using("select cast(case when customer_tic is not null then 1 else 0 end as int) as tier, count(distinct norm) as names from v_classified where disposition not in ('ignore', 'no_sale') and norm <> '' group by 1", FIRMS, CLASSIFIED))
+def resolver_stats(spark, sf_dir):
+    """Only names that reach the resolver count."""
+    asked = classified(spark, sf_dir).where("disposition not in ('ignore', 'no_sale')").select("name")
+    return resolve.stats(resolve.resolve(asked, dictionary(spark, sf_dir)))
+
+
 @query(using(f"select count(*) as n_edges, {r6('avg(weight_wji)', 'mean_weight')}, {r6('max(weight_wji)', 'max_weight')} from v_graph", FIRMS, CLASSIFIED, VALID))
 def edge_stats(spark, sf_dir):
     return rounded(edges.edge_stats(graph(spark, sf_dir)), "mean_weight", "max_weight")
@@ -249,11 +251,152 @@ def ignore_anti_join(spark, sf_dir):
     return views.segments(spark, sf_dir).where(~text.is_ignored(text.normalise(F.col("cnms")))).select("ord", "cnms")
 
 
-@query()
+EDGE_TEXT = "strftime(date, '%Y-%m-%d') as date, customer_tic, supplier_tic, supplier_gvkey, printf('%.6f', salecs) as salecs, printf('%.6f', total_sale) as total_sale, printf('%.6f', weight_wji) as weight_wji"
+
+
+@query(using(f"select ord, {EDGE_TEXT}, match_tier from v_graph", FIRMS, CLASSIFIED, VALID))
 def format_edges(spark, sf_dir):
-    from tidelag.sources.writers import edge_rows
+    return writers.edge_rows(graph(spark, sf_dir))
+
+
+# Resolution in all three tiers
+
+CASCADE = ("v_cascade", f"""select distinct case c_custkey % 4 when 0 then lower(c_name) when 1 then {TAILED.format('c_name', 'c_custkey')}
+when 2 then concat(split_part(c_name, '#', 2), ' of ', split_part(c_name, '#', 1)) else concat('Nobody ', c_custkey) end as name from customer""")
+TIERS = (
+    FIRMS, CASCADE,
+    ("v_one", f"select name, {NORM.format('name')} as norm, tic from v_cascade left join v_dict on {NORM.format('name')} = norm_name"),
+    ("v_two", f"select name, f.tic from (select name, {STRIPPED.format('name')} as s from v_one where tic is null) d join (select stripped, min_by(tic, ord) as tic from v_dict where stripped <> '' group by 1) f on s = stripped"),
+    ("v_open", f"select name, unnest(list_distinct({TOKENS.format('name')})) as word, len(list_distinct({TOKENS.format('name')})) as n from v_one where tic is null and name not in (select name from v_two)"),
+    ("v_dictwords", "select ord, tic, unnest(list_distinct(tokens)) as word, len(list_distinct(tokens)) as n from v_dict"),
+    ("v_three", """select name, tic from (select q.name, p.ord, first(p.tic) as tic, count(*) / (first(q.n) + first(p.n) - count(*)) as score
+from v_open q join v_dictwords p on q.word = p.word group by 1, 2) where score >= 0.6 qualify row_number() over (partition by name order by score desc, ord) = 1"""),
+)
+
+
+@query(using("""select name, norm, coalesce(v_one.tic, v_two.tic, v_three.tic) as tic, cast(case when v_one.tic is not null then 1 when v_two.tic is not null then 2 when v_three.tic is not null then 3 else 0 end as int) as tier
+from v_one left join v_two using (name) left join v_three using (name)""", *TIERS))
+def resolve_tokens(spark, sf_dir):
+    name, key = F.col("c_name"), F.col("c_custkey")
+    part = lambda k: F.element_at(F.split(name, "#"), k)
+    asked = F.when(key % 4 == 0, F.lower(name)).when(key % 4 == 1, tailed(name, key)).when(key % 4 == 2, F.concat(part(2), F.lit(" of "), part(1))).otherwise(F.concat(F.lit("Nobody "), key))
+    names = views.table(spark, sf_dir, "customer").select(asked.alias("name"))
+    return resolve.resolve(names, dictionary(spark, sf_dir), "tokens").withColumn("tier", F.coalesce("tier", F.lit(0)))
+
+
+# Files: derived tables are written to the shared folder and read again
+
+
+def csv_of(spark: SparkSession, rows: DataFrame, name: str, *order: str) -> str:
+    """The path of a CSV with a header whose files hold ``rows`` in order."""
+    path = new_path(spark, name)
+    rows.orderBy(*order).drop(*order).write.option("header", True).csv(path)
+    return path
+
+
+def blank(*names: str) -> list[Column]:
+    return [F.lit("").alias(n) for n in names]
+
+
+@query(using("select tic, srcdate, gvkey, trim(cnms) as cnms, salecs from v_segments"))
+def read_segments(spark, sf_dir):
+    rows = views.segments(spark, sf_dir).select("ord", "tic", "srcdate", "gvkey", *blank("conm", "cid"), "cnms", "salecs", *blank("sid"))
+    return readers.read_segments(spark, csv_of(spark, rows, "segments", "ord")).drop("ord")
+
+
+@query(using(f"select tic, '' as gvkey, conm, {NORM.format('conm')} as norm_name, true as active from v_firms"))
+def read_metadata(spark, sf_dir):
+    """Each firm is named again further on, in other letters; the first line stays."""
+    firms = views.firms(spark, sf_dir)
+    both = firms.select(F.lit(0).alias("again"), "ord", "tic", "conm").union(firms.select(F.lit(1), "ord", F.concat(F.lit("X"), "tic"), F.lower("conm")))
+    rows = both.select("again", "ord", F.lit("A").alias("costat"), *blank("curcd", "datafmt", "indfmt", "consol"), "tic", *blank("datadate", "gvkey"), "conm")
+    return readers.read_metadata(spark, csv_of(spark, rows, "metadata", "again", "ord")).drop("ord")
+
+
+@query(using("select gvkey, datadate, floor(2 * sale * 10000.0 + 0.5) / 10000.0 as sale from v_fundamentals"))
+def read_fundamentals(spark, sf_dir):
+    """Three lines for each key: the last sale that is positive counts."""
+    sales = F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), (F.col("sale") * x).alias("sale")) for k, x in enumerate((1, 2, -1))))).alias("s")
+    lines = views.fundamentals(spark, sf_dir).select("gvkey", "datadate", sales).select("s.turn", "datadate", "gvkey", "s.sale")
+    rows = lines.select("turn", *blank("costat", "curcd", "datafmt", "indfmt", "consol", "tic"), "datadate", "gvkey", *blank("conm", "fyr", "gsector", "at"), "sale", *blank("sich"))
+    return rounded(readers.read_fundamentals(spark, csv_of(spark, rows, "fundamentals", "turn")), "sale", places=4)
 
-    return edge_rows(graph(spark, sf_dir))
+
+@query(using("select * from v_earnings"))
+def read_earnings(spark, sf_dir):
+    """Two lines for each key: the last report date counts, also where it is the earlier one."""
+    dates = F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.date_add("rdq", d).alias("rdq")) for k, d in enumerate((5, 0))))).alias("d")
+    lines = views.earnings(spark, sf_dir).select("tic", "datadate", dates)
+    rows = lines.select("d.turn", *blank("costat", "curcdq", "datafmt", "indfmt", "consol"), "tic", "datadate", *blank("gvkey"), "d.rdq")
+    return readers.read_earnings(spark, csv_of(spark, rows, "earnings", "turn"))
+
+
+@query(using("select gvkey, date, floor((r) * 1000000.0 + 0.5) / 1000000.0 as r from v_returns"))
+def read_returns(spark, sf_dir):
+    """Of several rows of a day the last one in the order of the files counts."""
+    path = new_path(spark, "returns")
+    rows = views.table(spark, sf_dir, "events").orderBy("ts", "event_id").select(F.col("user_id").alias("gvkey"), F.col("ts").alias("date"), ((F.col("value") - 50.0) / 1000.0).alias("RET"))
+    rows.write.parquet(path)
+    return rounded(readers.read_returns(spark, path), "r")
+
+
+@query(using("select customer_gvkey, supplier_gvkey, date, floor((weight_wji) * 1000000.0 + 0.5) / 1000000.0 as weight_wji from v_edges where abs(weight_wji) >= 0.2"))
+def read_merged_edges(spark, sf_dir):
+    as_float = lambda c: F.concat(F.col(c).cast("long").cast("string"), F.lit(".0")).alias(c)
+    rows = views.edges(spark, sf_dir).select("date", F.col("date").alias("srcdate"), F.col("supplier_gvkey").cast("long").alias("supplier_gvkey"), as_float("customer_gvkey"), "weight_wji")
+    return rounded(readers.read_merged_edges(spark, csv_of(spark, rows, "merged", "date"), min_weight=0.2).drop("ord"), "weight_wji")
+
+
+@query(using("select customer_gvkey as i, supplier_gvkey as j, floor(max(weight_wji) * 1000000.0 + 0.5) / 1000000.0 as value from v_edges group by 1, 2"))
+def read_matrix(spark, sf_dir):
+    path = new_path(spark, "matrix")
+    writers.write_table(views.edges(spark, sf_dir).groupBy(F.col("customer_gvkey").alias("i"), F.col("supplier_gvkey").alias("j")).agg(F.max("weight_wji").alias("value")), path)
+    return rounded(readers.read_matrix(spark, path), "value")
+
+
+def text_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).csv(path)
+
+
+@query(using(f"select {EDGE_TEXT}, '1' as match_tier from v_graph", FIRMS, CLASSIFIED, VALID))
+def write_edge_list(spark, sf_dir):
+    path = new_path(spark, "edges")
+    writers.write_edge_list(graph(spark, sf_dir), path)
+    return text_of(spark, path)
+
+
+@query(using("select strftime(date, '%Y-%m-%d') as date, supplier_tic, string_agg(concat(customer_tic, ':', printf('%.6f', weight_wji)), '|' order by ord, customer_tic, weight_wji) as neighbors from v_graph group by date, supplier_tic", FIRMS, CLASSIFIED, VALID))
+def write_adjacency(spark, sf_dir):
+    path = new_path(spark, "adjacency")
+    writers.write_adjacency(edges.adjacency(graph(spark, sf_dir)), path)
+    return text_of(spark, path)
+
+
+@query(using("select tic, strftime(datadate, '%Y-%m-%d') as fiscal_period_end, strftime(rdq, '%Y-%m-%d') as report_date_rdq from v_earnings where tic in (select customer_tic from v_graph)", FIRMS, CLASSIFIED, VALID))
+def write_calendar(spark, sf_dir):
+    path = new_path(spark, "calendar")
+    writers.write_calendar(edges.earnings_calendar(views.earnings(spark, sf_dir), graph(spark, sf_dir)), path)
+    return text_of(spark, path)
+
+
+# Reports on tables of results, here with balances and prices in the place of coefficients and eigenvalues
+
+
+@query(f"select c_nationkey as h, {r6('avg(c_acctbal)', 'beta')}, {r6('stddev_samp(c_acctbal)', 'se')}, {r6('avg(c_acctbal) - 1.96 * stddev_samp(c_acctbal)', 'low')}, {r6('avg(c_acctbal) + 1.96 * stddev_samp(c_acctbal)', 'high')} from customer group by 1")
+def profile_band(spark, sf_dir):
+    results = views.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("h")).agg(F.avg("c_acctbal").alias("beta"), F.stddev_samp("c_acctbal").alias("se"))
+    return rounded(panelreg.horizon_profile(results), "beta", "se", "low", "high")
+
+
+@query(f"""with b as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders)
+select cast(least({spectral.BINS - 1}, floor({spectral.BINS} * (o_totalprice - lo) / (hi - lo))) as int) as bin, count(*) as n from orders, b group by 1""")
+def histogram_of_values(spark, sf_dir):
+    return spectral.histogram(views.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("null_maxeig")))
+
+
+@query(f"select 200000.0::double as obs_maxeig, count(*) filter (o_totalprice >= 200000.0) as exceed, count(*) as n_perm, {r6('(1 + count(*) filter (o_totalprice >= 200000.0)) / (1 + count(*))', 'p_value')} from orders")
+def p_value_of_values(spark, sf_dir):
+    return rounded(spectral.permutation_p(views.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("null_maxeig")), 200000.0), "p_value")
 
 
 # Panels
@@ -328,10 +471,8 @@ def panel_logret(spark, sf_dir):
 
 @query(using("select customer_gvkey, supplier_gvkey, date, floor((weight_wji) * 1000000.0 + 0.5) / 1000000.0 as weight_wji from v_edges where abs(weight_wji) >= 0.2"))
 def min_weight_edges(spark, sf_dir):
-    from tidelag.sources.readers import clean_edges
-
     raw = views.edges(spark, sf_dir).withColumnRenamed("date", "srcdate").withColumn("customer_gvkey", F.concat(F.col("customer_gvkey").cast("int").cast("string"), F.lit(".0")))
-    return rounded(clean_edges(raw, min_weight=0.2).drop("ord"), "weight_wji")
+    return rounded(readers.clean_edges(raw, min_weight=0.2).drop("ord"), "weight_wji")
 
 
 # Statistics

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidelag.functions.text import zero_fill
 
 
+#: From the last order dates to the days after the first returns.
+DAYS_ON = 8227
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,14 +25,17 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(customer_gvkey, supplier_gvkey, date, weight_wji) of urgent first lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_extendedprice")
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    """(customer_gvkey, supplier_gvkey, date, weight_wji) of all lines, by customer, supplier and day.
+
+    Firms have the numbers of users, so those with returns grow with ``events``; order dates are
+    moved on by one number of days, so that the last of them lie in and after the days of returns.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    key = lambda c: zero_fill((F.col(c) % 150).cast("string"))
+    key = lambda c: zero_fill(F.col(c).cast("string"))
     return joined.groupBy(
-        key("o_custkey").alias("customer_gvkey"), key("l_suppkey").alias("supplier_gvkey"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_orderkey") % 40).cast("int")).alias("date"),
+        key("o_custkey").alias("customer_gvkey"), key("l_suppkey").alias("supplier_gvkey"), F.date_add(F.to_date("o_orderdate"), DAYS_ON).alias("date"),
     ).agg((F.max("l_extendedprice") / 200000.0).alias("weight_wji"))
 
 
@@ -82,9 +89,9 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "v_returns": """select lpad(cast(user_id as varchar), 6, '0') as gvkey, d as date, (value - 50.0) / 1000.0 as r
 from (select user_id, cast(ts as date) as d, value, row_number() over (partition by user_id, cast(ts as date) order by ts desc, event_id desc) as rn from events) q where rn = 1""",
-    "v_edges": """select lpad(cast(o_custkey % 150 as varchar), 6, '0') as customer_gvkey, lpad(cast(l_suppkey % 150 as varchar), 6, '0') as supplier_gvkey,
-cast(date '2024-01-01' + cast(l_orderkey % 40 as int) as date) as date, max(l_extendedprice) / 200000.0 as weight_wji
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and o_orderpriority = '1-URGENT' group by 1, 2, 3""",
+    "v_edges": f"""select lpad(cast(o_custkey as varchar), 6, '0') as customer_gvkey, lpad(cast(l_suppkey as varchar), 6, '0') as supplier_gvkey,
+cast(cast(o_orderdate as date) + {DAYS_ON} as date) as date, max(l_extendedprice) / 200000.0 as weight_wji
+from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3""",
     "v_firms": """select c_custkey as ord, concat('C', cast(c_custkey as varchar)) as tic, c_name as conm from customer
 union all select 1000000 + s_suppkey, concat('S', cast(s_suppkey as varchar)), s_name from supplier""",
     "v_segments": """select l_orderkey * 10 + l_linenumber as ord, concat('S', cast(l_suppkey as varchar)) as tic, cast(date_trunc('year', o_orderdate) as date) as srcdate,

@@ -12,6 +12,11 @@ from tidelag.functions.text import normalise, trim_blanks, zero_fill
 from tidelag.sources import schemas
 
 
+def line_order() -> F.Column:
+    """Sorts rows as their files hold them: by file, block, and place in the block."""
+    return F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block_start"), F.monotonically_increasing_id().alias("id"))
+
+
 def read_positional(spark: SparkSession, path: str, schema: T.StructType, least_fields: int, allow_missing: bool = False) -> DataFrame:
     """Trimmed text columns of a CSV with a header of any names, read by position.
 
@@ -24,9 +29,8 @@ def read_positional(spark: SparkSession, path: str, schema: T.StructType, least_
         if not allow_missing:
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("ord", schemas.PLACE), *schema.fields]))
-    ord_ = F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block_start"), F.monotonically_increasing_id().alias("id"))
     rows = lines.select(
-        ord_.alias("ord"), F.from_csv("value", ", ".join(f"{c.name} string" for c in schema.fields), {"quote": '"', "escape": '"'}).alias("f"),
+        line_order().alias("ord"), F.from_csv("value", ", ".join(f"{c.name} string" for c in schema.fields), {"quote": '"', "escape": '"'}).alias("f"),
         F.size(F.split(F.regexp_replace("value", r'"[^"]*"', ""), ",")).alias("fields"),
     )
     # only the first block of a file is numbered, to leave out its first line
@@ -70,12 +74,17 @@ def read_segments(spark: SparkSession, path: str, allow_missing: bool = False) -
 
 
 def clean_returns(rows: DataFrame, log: bool = False, finite_only: bool = False, order: str | None = None) -> DataFrame:
-    """(gvkey, date, r): filled ids, dates without time, no missing return, the last row of each day."""
+    """(gvkey, date, r): filled ids, dates without time, no missing return, the last row of each day.
+
+    "Last" is by the column ``order`` (``ord`` where rows have one); rows without an order have
+    none that is last, so the largest return of the day stays.
+    """
     from tidelag.operators.dedupe import keep_last
 
     value = F.col("RET").try_cast("double")
     value = finite(value) if finite_only else F.when(~F.isnan(value), value)
-    ord_ = F.col(order) if order else F.monotonically_increasing_id()
+    order = order or ("ord" if "ord" in rows.columns else None)
+    ord_ = F.col(order) if order else value
     rows = rows.select(zero_fill(F.col("gvkey").cast("string")).alias("gvkey"), F.to_date("date").alias("date"), value.alias("RET"), ord_.alias("ord"))
     kept = keep_last(rows.where(F.col("RET").isNotNull()), ["gvkey", "date"], "ord")
     return kept.select("gvkey", "date", (log_return(F.col("RET")) if log else F.col("RET")).alias("r"))
@@ -89,17 +98,20 @@ def clean_edges(rows: DataFrame, min_weight: float | None = None, require_finite
     weight = finite(weight) if require_finite else F.when(~F.isnan(weight), weight)
     plain = F.trim(F.col("supplier_gvkey").cast("string"))
     supplier = F.when(plain.contains("."), float_text_id(plain)).otherwise(zero_fill(plain))
-    rows = rows.select(float_text_id(F.col("customer_gvkey").cast("string")).alias("customer_gvkey"), supplier.alias("supplier_gvkey"), F.to_date("srcdate").alias("date"), weight.alias("weight_wji"), F.monotonically_increasing_id().alias("ord"))
+    rows = rows.select(float_text_id(F.col("customer_gvkey").cast("string")).alias("customer_gvkey"), supplier.alias("supplier_gvkey"), F.to_date("srcdate").alias("date"), weight.alias("weight_wji"), *([F.col("ord")] if "ord" in rows.columns else []))
     rows = rows.where("weight_wji is not null and customer_gvkey is not null")
     return rows if min_weight is None else rows.where(F.abs("weight_wji") >= min_weight)
 
 
 def read_returns(spark: SparkSession, path: str, **how) -> DataFrame:
-    return clean_returns(spark.read.parquet(path), **how)
+    rows = spark.read.parquet(path)
+    return clean_returns(rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("ord")), **how)
 
 
 def read_merged_edges(spark: SparkSession, path: str, **how) -> DataFrame:
-    return clean_edges(spark.read.option("header", True).csv(path), **how)
+    """Edges of CSV files with a header; ``ord`` is the order of their lines."""
+    rows = spark.read.option("header", True).csv(path)
+    return clean_edges(rows.select("*", line_order().alias("ord")), **how)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
