@@ -20,18 +20,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, read_table, texts
+from tidelag.llm.common import blocks, read_table, staged, texts
 
 K1, B = 1.2, 0.75
 MATCH = 0.8
 OVERLAP = 0.6
-#: Postings in one index; more items than that are searched index by index.
+#: Words of items in one index, and indices that one pass over the documents searches.
 INDEX_WORDS = 20_000
+INDICES = 16
 POSTING_BLOCK = 4
 #: Share of the items above which a term counts as common.
 COMMON = 0.05
 WORDS = re.compile(r"[^\W_]+")
+#: Characters of text, and cells of passages by blocks of items, that are held at once.
 BLOCK_CHARS = 1_000_000
+CELLS = 4_000_000
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -63,7 +66,7 @@ class Index:
     block_max: list[list[float]]
     upper: list[float]
     terms: dict[str, int]
-    longest: int
+    window: int
     parts: list[tuple[set, set]]
     common: np.ndarray  # terms of many items
     bounds: np.ndarray  # by term and block of items, the largest impact
@@ -120,15 +123,20 @@ class Index:
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
 
+def window_of(n_words: int) -> int:
+    """Half the length of the passages that an item is looked for in: the next power of two."""
+    return 1 << max(0, n_words - 1).bit_length()
+
+
 def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float) -> Index:
-    """Index of some items, with document frequencies over all of them."""
+    """Index of some items of one window, with document frequencies over all items."""
     terms: dict[str, int] = {}
     lists: list[list[tuple[int, float]]] = []
     parts = []
     longest = 1
     for place, (_, text) in enumerate(items):
         words = item_words(text)
-        longest = max(longest, len(words))
+        longest = max(longest, window_of(len(words)))
         counts: dict[str, int] = {}
         for w in words:
             counts[w] = counts.get(w, 0) + 1
@@ -158,96 +166,123 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int,
     return Index(items, [p.tolist() for p in places], [v.tolist() for v in impacts], [m.tolist() for m in block_max], upper.tolist(), terms, longest, parts, common, bounds, common_most)
 
 
+def segments(text: str, window: int, most: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(words, starts, ends of passages) of a text, about ``most`` words at a time.
+
+    Passages are two windows long and one window apart, so one of them holds any item whole.
+    """
+    size = max(1, most // window) * window
+    held: list[str] = []
+    first = True
+    at = 0
+    while at < len(text) or first:
+        stop = at + BLOCK_CHARS
+        while stop < len(text) and not text[stop].isspace():
+            stop += 1
+        held += item_words(text[at:stop])
+        at = stop
+        while len(held) > size + window or at >= len(text):
+            words = held[: size + window]
+            starts = np.arange(0, min(size, max(int(first), len(words) - window)), window)
+            if len(words) and len(starts):
+                yield words, starts, np.minimum(starts + 2 * window, len(words))
+            first = False
+            held = held[size:]
+            if not held:
+                break
+
+
 def find_leaks(index: Index, batch: list[tuple[int, str]]) -> list[tuple[int, int, float, float, float]]:
     """The best passage of each (document, item) pair that is retrieved and verified.
 
-    Passages are two windows long and one window apart, so one of them holds any item whole.
-    Each is bounded first, for all passages at once, by the block maxima of its rarer terms
-    plus the most that common terms give an item of the block; only passages that may reach
-    the threshold in some block are searched.
+    Passages are bounded first, many at once, by the block maxima of their rarer terms plus the
+    most that common terms give an item of the block; only passages that may reach the threshold
+    in some block are searched.
     """
-    window, get = index.longest, index.terms.get
+    most = max(2 * index.window, CELLS // index.bounds.shape[1])
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
     words: list[str] = []
     starts, ends, owner = [], [], []
+
+    def search() -> None:
+        begin, end, doc = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
+        ids = np.fromiter(map(index.terms.get, words, repeat(-1)), np.int64, len(words))
+        kept = np.flatnonzero((ids >= 0) & ~index.common[ids])
+        sums = np.zeros((len(kept) + 1, index.bounds.shape[1]), np.float64)
+        np.cumsum(index.bounds[ids[kept]], axis=0, out=sums[1:])
+        bound = sums[np.searchsorted(kept, end)] - sums[np.searchsorted(kept, begin)] + index.common_most
+        for k in np.flatnonzero((bound >= 1.0 - 1e-6).any(axis=1)).tolist():
+            s, e = int(begin[k]), int(end[k])
+            query = np.unique(ids[s:e])
+            held = None
+            for place, score in index.search(query[query >= 0].tolist()):
+                held = held or trigrams(words[s:e])
+                question, answer = index.parts[place]
+                q = len(question & held) / max(1, len(question))
+                a = len(answer & held) / len(answer) if answer else q
+                if q >= OVERLAP and a >= OVERLAP and (score, q, a) > best.get((int(doc[k]), place), (0.0,)):
+                    best[int(doc[k]), place] = (score, q, a)
+
     for k, (_, text) in enumerate(batch):
-        at = len(words)
-        words += item_words(text)
-        s = np.arange(at, max(at + 1, len(words) - window), window)
-        starts.append(s)
-        ends.append(np.minimum(s + 2 * window, len(words)))
-        owner.append(np.full(len(s), k))
-    ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-    begin, end, doc = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-    kept = np.flatnonzero((ids >= 0) & ~index.common[ids])
-    sums = np.zeros((len(kept) + 1, index.bounds.shape[1]), np.float64)
-    np.cumsum(index.bounds[ids[kept]], axis=0, out=sums[1:])
-    bound = sums[np.searchsorted(kept, end)] - sums[np.searchsorted(kept, begin)] + index.common_most
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for k in np.flatnonzero((bound >= 1.0 - 1e-6).any(axis=1)).tolist():
-        s, e = int(begin[k]), int(end[k])
-        query = np.unique(ids[s:e])
-        held = None
-        for place, score in index.search(query[query >= 0].tolist()):
-            held = held or trigrams(words[s:e])
-            question, answer = index.parts[place]
-            q = len(question & held) / max(1, len(question))
-            a = len(answer & held) / len(answer) if answer else q
-            if q >= OVERLAP and a >= OVERLAP and (score, q, a) > best.get((int(doc[k]), place), (0.0,)):
-                best[int(doc[k]), place] = (score, q, a)
+        for part, s, e in segments(text, index.window, most):
+            if words and len(words) + len(part) > most:
+                search()
+                words, starts, ends, owner = [], [], [], []
+            starts.append(s + len(words))
+            ends.append(e + len(words))
+            owner.append(np.full(len(s), k))
+            words += part
+    if words:
+        search()
     return [(batch[k][0], index.items[p][0], *x) for (k, p), x in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        words = [item_words(t) for t in batch.text]
+        yield batch.assign(n=[len(w) for w in words], half=[window_of(len(w)) for w in words], words=[sorted(set(w)) for w in words])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, score, overlaps): documents that hold a test item; score 1 is the threshold.
 
-    Null and empty texts hold nothing; items without words match nothing; repeated documents
-    each give their rows; an empty benchmark gives no rows.
+    Statistics are those of all items, and the length of passages is that of the item, whatever
+    other items there are and however many indices they fill. Null and empty texts hold nothing;
+    items without words match nothing; an item without item_id is reported under NULL; repeated
+    documents each give their rows; an empty benchmark gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = items.select("item_id", F.size(F.split("text", r"\s+")).alias("n"))
-    total, n_items = words.agg(F.sum("n"), F.count("*")).first()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = staged(items.mapInPandas(_item_rows, "item_id long, text string, n long, half long, words array<string>").where("n > 0"), "benchmark")
+    whole = items.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+    if not whole.n:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    df = staged(items.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")), "benchmark-words")
+    sizes = items.groupBy("half").agg(F.sum("n").alias("words")).orderBy("half").collect()
+    shards = [(r.half, -(-r.words // index_words), k) for r in sizes for k in range(-(-r.words // index_words))]
     out = None
-    shards = max(1, math.ceil((total or 0) / INDEX_WORDS))
-    stats: tuple[dict[str, int], int, float] | None = None
-    for shard in range(shards):
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        rows = [(r.item_id, r.text) for r in own.collect() if item_words(r.text)]
-        rows.sort(key=lambda r: (len(item_words(r[1])), r))
-        if shards == 1:
-            df: dict[str, int] = {}
-            for _, text in rows:
-                for w in set(item_words(text)):
-                    df[w] = df.get(w, 0) + 1
-            stats = (df, len(rows), sum(len(item_words(t)) for _, t in rows) / max(1, len(rows)))
-        else:
-            stats = _shared_stats(items, own, n_items, total)
-        index = build_index(rows, *stats)
-        found = _search_all(docs, index)
+    for at in range(0, len(shards), INDICES):
+        indices = [_index_of(items, df, *shard, whole.n, whole.mean) for shard in shards[at : at + INDICES]]
+        found = _search_all(docs, indices)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _shared_stats(items: DataFrame, own: DataFrame, n_items: int, total: int) -> tuple[dict[str, int], int, float]:
-    """Document frequencies over all items of the words of some of them."""
-    split = lambda x: x.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("w"))
-    df = split(items).groupBy("w").count().join(split(own).select("w").distinct(), "w").collect()
-    found: dict[str, int] = {r.w: r["count"] for r in df}
-
-    class Counts(dict):
-        def __missing__(self, key: str) -> int:
-            return 1
-
-    return Counts(found), n_items, max(1.0, total / n_items)
+def _index_of(items: DataFrame, df: DataFrame, half: int, shards: int, shard: int, n_items: int, mean: float) -> Index:
+    """The index of one shard; about ``INDEX_WORDS`` words come to the driver."""
+    own = items.where((F.col("half") == half) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard))
+    counts = own.select(F.explode("words").alias("w")).distinct().join(df, "w").collect()
+    rows = sorted(((r.item_id, r.text) for r in own.select("item_id", "text").collect()), key=lambda r: (r[1], r[0] is None, r[0]))
+    return build_index(rows, {r.w: r.df for r in counts}, n_items, mean)
 
 
-def _search_all(docs: DataFrame, index: Index) -> DataFrame:
+def _search_all(docs: DataFrame, indices: list[Index]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, all_texts = batch.doc_id.tolist(), batch.text.tolist()
             for part in blocks(all_texts, BLOCK_CHARS):
-                rows = find_leaks(index, list(zip(ids[part], all_texts[part], strict=True)))
+                rows = [r for index in indices for r in find_leaks(index, list(zip(ids[part], all_texts[part], strict=True)))]
                 if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"item_id": "Int64"})
 
     return texts(docs).mapInPandas(run, SCHEMA)
 
