@@ -7,6 +7,8 @@ strings behind patterns of high confidence are found as further identifiers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,33 @@ CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 #: Seeds besides the base entities: digests as they stand in credentials.
 DIGEST = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 CONTEXT_CHARS = 48
+#: Values of a running sum, and code points of a text, that are walked through at once.
+BLOCK, PIECE = 128, 256
 ROUNDS = 3
 CONFIDENCE = 0.7
 SUPPORT = 3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, levels: int = 2) -> Column:
+    """array<int>: for each value the sum of those before it; blocks of blocks, so that the cost stays near linear."""
+    none = F.array().cast("array<int>")
+    each = lambda block, start: F.aggregate(
+        block, F.struct(start.alias("at"), none.alias("found")),
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")), lambda acc: acc["found"],
+    )
+    if not levels:
+        return each(values, F.lit(0))
+    cut = lambda v: F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))).otherwise(F.array().cast("array<array<int>>"))
+    sums = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    joined = lambda blocks: let(running(sums(blocks), levels - 1), lambda at: F.flatten(F.transform(blocks, lambda b, i: each(b, F.get(at, i)))))
+    return let(values, lambda v: let(cut(v), joined))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of leftmost matches that do not overlap, in code points.
 
@@ -39,13 +63,38 @@ def located(text: Column, pattern: str) -> Column:
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("found"),
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["value"]))
+    place = lambda x: F.struct(
+        (x["before"] + F.length(x["p"]["gap"])).alias("start"), (x["before"] + F.length(x["p"]["gap"]) + F.length(x["p"]["value"])).alias("end"), x["p"]["value"].alias("value")
     )
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    pairs = let(values, lambda v: F.arrays_zip(F.slice(gaps, 1, F.size(v)).alias("gap"), v.alias("value")))
+    return let(pairs, lambda p: F.transform(F.arrays_zip(p.alias("p"), running(sizes(p)).alias("before")), place))
+
+
+def adds_before(adds: Column, queries: Column, strictly: bool) -> Column:
+    """array<int>: for each of the ascending queries how many of ``adds`` are smaller (or as large, unless ``strictly``)."""
+    one, zero = F.lit(1), F.lit(0)
+    event = lambda turn, add: lambda x: F.struct(x.alias("at"), turn.alias("turn"), add.alias("add"))
+    both = F.array_sort(F.concat(F.transform(adds, event(one if strictly else zero, one)), F.transform(queries, event(zero if strictly else one, zero))))
+    counted = lambda e: F.arrays_zip(e.alias("e"), running(F.transform(e, lambda x: x["add"])).alias("n"))
+    return let(both, lambda e: F.transform(F.filter(counted(e), lambda z: z["e"]["add"] == 0), lambda z: z["n"]))
+
+
+def touched(spans: Column, base: Column) -> Column:
+    """array<boolean>: whether each of the spans, in order and apart, overlaps one of ``base``."""
+    part = lambda x, c: F.transform(x, lambda s: s[c])
+    begun, over = adds_before(part(base, "start"), part(spans, "end"), True), adds_before(part(base, "end"), part(spans, "start"), False)
+    return F.zip_with(begun, over, lambda a, b: a > b)
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, from which any part is taken without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, start: Column, length: Column) -> Column:
+    whole = F.array_join(F.slice(pieces, F.floor(start / PIECE).cast("int") + 1, F.floor(length / PIECE).cast("int") + 2), "")
+    return F.substring(whole, start % PIECE + 1, length)
 
 
 def digits(value: Column) -> Column:
@@ -87,11 +136,15 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     whole = F.concat(*KINDS)
-    before = lambda x: F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] + 1 - CONTEXT_CHARS), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-    context = lambda x: F.regexp_replace(F.lower(F.regexp_extract(before(x), r"(?<!\S)\S+\s+\S*\s*$", 0)), "[0-9]+", "#")
-    seed = lambda x: x["value"].rlike(DIGEST) | F.exists(whole, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    candidates = F.transform(located(F.col("text"), CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("value"), context(x).alias("context"), seed(x).alias("seed")))
-    none = F.array().cast("array<struct<start:int,end:int,value:bigint,context:string,seed:boolean>>")
+    before = lambda p, x: part_of(p, F.greatest(F.lit(0), x["start"] - CONTEXT_CHARS), F.least(x["start"], F.lit(CONTEXT_CHARS)))
+    context = lambda p, x: F.regexp_replace(F.lower(F.regexp_extract(before(p, x), r"(?<!\S)\S+\s+\S*\s*$", 0)), "[0-9]+", "#")
+    candidate = lambda p: lambda x, hit: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("value"), context(p, x).alias("context"),
+        (x["value"].rlike(DIGEST) | hit).alias("seed"), hit.alias("touches"),
+    )
+    found = lambda p: let(located(F.col("text"), CANDIDATE), lambda c: F.zip_with(c, touched(c, whole), candidate(p)))
+    candidates = let(pieces_of(F.col("text")), found)
+    none = F.array().cast("array<struct<start:int,end:int,value:bigint,context:string,seed:boolean,touches:boolean>>")
     return rows.select("row", "doc_id", *KINDS, F.when(F.col("text").rlike("[0-9]"), candidates).otherwise(none).alias("candidates"))
 
 
@@ -124,8 +177,7 @@ def find(docs: DataFrame) -> DataFrame:
     table = staged(extract(docs), "pii-spans")
     single = table.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     contexts = confident_contexts(single)
-    whole = F.concat(*KINDS)
-    open_ = F.filter("candidates", lambda x: ~F.exists(whole, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    open_ = F.filter("candidates", lambda x: ~x["touches"])
     free = table.select("row", F.explode(open_).alias("c")).select("row", "c.start", "c.end", "c.context")
     found = free.join(contexts, "context", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("further"))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -136,26 +188,37 @@ def as_text(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
 
+def merged(spans: Column) -> Column:
+    """array<struct<start, end, kind>>: sorted spans, those that overlap as one of the first one's kind."""
+    opens = lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("step"), x["end"].alias("end"), x["kind"].alias("kind"))
+    closes = lambda x: F.struct(x["end"].alias("at"), F.lit(-1).alias("step"), x["end"].alias("end"), x["kind"].alias("kind"))
+    steps = F.array_sort(F.concat(F.transform(spans, opens), F.transform(spans, closes)))
+    depths = lambda e: F.arrays_zip(e.alias("e"), running(F.transform(e, lambda x: x["step"])).alias("depth"))
+    first = lambda z: F.filter(z, lambda x: (x["e"]["step"] == 1) & (x["depth"] == 0))
+    last = lambda z: F.filter(z, lambda x: (x["e"]["step"] == -1) & (x["depth"] == 1))
+    return let(let(steps, depths), lambda z: F.zip_with(first(z), last(z), lambda a, b: F.struct(a["e"]["at"].alias("start"), b["e"]["at"].alias("end"), a["e"]["kind"].alias("kind"))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; spans that overlap become one."""
+    """``docs`` with every span replaced by its kind in angle brackets; spans that overlap become one.
+
+    Null texts stay null; rows without personal data, repeated rows and rows without doc_id stay;
+    ``n_chars`` is counted anew; an empty table gives no rows.
+    """
     of_kind = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     keyed = staged(docs.select(F.monotonically_increasing_id().alias("_key"), "*"), "pii-docs")
     spans = find(keyed.select(F.col("_key").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("_key"),
-        F.array_sort(F.concat(*(F.transform(k, of_kind(k)) for k in (*KINDS, "further")))).alias("_spans"),
+        F.col("doc_id").alias("_key"), F.concat(*(F.transform(k, of_kind(k)) for k in (*KINDS, "further"))).alias("_spans")
     ).where(F.size("_spans") > 0)
-    merged = F.aggregate(
-        F.col("_spans"), F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"), F.try_element_at(acc, F.lit(-1))["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    joined = keyed.join(spans, "_key", "left").withColumn("_merged", F.when(F.col("_spans").isNotNull(), merged))
-    end_before = lambda i: F.when(i > 0, F.get(F.col("_merged"), i - 1)["end"]).otherwise(0)
-    pieces = F.transform("_merged", lambda x, i: F.concat(F.substring(F.col("text"), end_before(i) + 1, x["start"] - end_before(i)), F.lit("<"), F.upper(F.when(x["kind"] == "further", "id").otherwise(x["kind"])), F.lit(">")))
-    tail = F.substring(F.col("text"), F.get(F.col("_merged"), F.size("_merged") - 1)["end"] + 1, F.length("text"))
-    text = F.when(F.col("_merged").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    joined = keyed.join(spans, "_key", "left")
+    label = lambda x: F.concat(F.lit("<"), F.upper(F.when(x["kind"] == "further", "id").otherwise(x["kind"])), F.lit(">"))
+    end_before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
+    shown = lambda p, m: F.concat(
+        F.array_join(F.transform(m, lambda x, i: F.concat(part_of(p, end_before(m, i), x["start"] - end_before(m, i)), label(x))), ""),
+        let(F.get(m, F.size(m) - 1)["end"], lambda end: part_of(p, end, F.length("text") - end)),
+    )
+    replaced = let(pieces_of(F.col("text")), lambda p: let(merged(F.col("_spans")), lambda m: shown(p, m)))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced)
     columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns)
 
