@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelag.sources.shared import new_path
+
 #: Word characters of every word-based operator: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -33,19 +33,10 @@ def texts(docs: DataFrame) -> DataFrame:
     ).where(F.col("doc_id").isNotNull())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -134,6 +125,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def small(counts: np.ndarray) -> bytes:
+    """One byte for each count under 255; larger ones follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def large(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data[:n], np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[n:], "<i8")
+    return counts
+
+
+def planes(numbers: np.ndarray, dtype: str = "<i8") -> bytes:
+    """All first bytes, then all second ones and so on, which compresses well where numbers are alike."""
+    whole = np.ascontiguousarray(numbers, dtype)
+    return whole.view(np.uint8).reshape(len(whole), whole.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: str = "<i8") -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, vectorised."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import Numbers, blocks, read_table, release_memory, staged, tasks_for, texts, words_of
+from tidelag.llm.common import Numbers, blocks, large, read_table, release_memory, small, staged, tasks_for, texts, words_of
 from tidelag.llm.features import hash_of, remainder5
 
 SWEEPS, KEPT = 3, 2
@@ -172,17 +172,6 @@ def dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(side[order], np.arange(buckets + 1))
 
 
-def small(counts: np.ndarray) -> bytes:
-    """One byte for each count under 255; larger ones follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-
-
-def large(data: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(data[:n], np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data[n:], "<i8")
-    return counts
-
-
 @dataclass
 class Chunk:
     """Tokens of some documents: distinct words, and for each token its document, word and context."""

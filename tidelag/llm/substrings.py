@@ -2,7 +2,8 @@
 
 Every window of 100 bytes has one anchor, the 24-byte gram of least hash in it, so equal
 windows have equal anchors. Windows in a row with one anchor form a segment. Segments are
-brought together by their anchor; of segments with equal bytes only the first can be new.
+brought together by their anchor; of segments with equal bytes (told by a 64-bit hash of their
+content, like anchors) only the first can be new.
 Where segments with one anchor differ, their common runs of windows are sorted in a suffix
 array, and of equal windows all but the first are marked.
 """
@@ -18,13 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, mix64, ragged, read_table, staged, tasks_for, texts
+from tidelag.llm.common import blocks, from_planes, large, mix64, planes, ragged, read_table, release_memory, small, staged, tasks_for, texts
 from tidelag.llm.suffixes import suffix_array
 
 WINDOW = 100
 GRAM = 24
 CHUNK_CHARS = 1_000_000
+#: Segments that a task gathers before it sends them; characters of text behind a bucket of anchors and a part of compared segments.
+UNIT_SEGMENTS = 400_000
 BUCKET_CHARS = 24_000_000
+PART_CHARS = 12_000_000
 #: Bytes of runs that share one suffix array; runs of one anchor always do.
 SORTED_BYTES = 20_000
 _BASE = 0x2545F4914F6CDD1D
@@ -74,8 +78,8 @@ def segments(documents: list[bytes]) -> tuple[np.ndarray, ...]:
     hashes = Hashes(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = hashes.of(at, at + GRAM)
-    packed = (gram >> np.uint64(28) << np.uint64(28)) | at.astype(np.uint64)
-    anchor = (least_of(packed, WINDOW - GRAM + 1)[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    packed = (gram >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    anchor = (least_of(packed, WINDOW - GRAM + 1)[starts] & np.uint64((1 << 32) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     last = np.r_[first[1:], len(starts)] - 1
     doc = np.searchsorted(begins, starts[first], side="right") - 1
@@ -84,45 +88,90 @@ def segments(documents: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, lo - begins[doc], hi - begins[doc], gram[anchor[first]], hashes.of(lo, hi + WINDOW)
 
 
-def repeated_segments(docs: DataFrame) -> DataFrame:
+def units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, ordinal, anchor, content hash) of all segments of units of whole documents."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
+            ids = batch.doc_id.iloc[part].to_numpy("<i8")
+            doc, _, _, gram, content = segments([t.encode("utf-8", "surrogatepass") for t in all_texts[part]])
+            count = np.bincount(doc, minlength=len(ids))
+            ordinal = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype("<u4")
+            held.append((ids[doc], ordinal, gram, content))
+            if sum(len(h[0]) for h in held) >= UNIT_SEGMENTS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+ROWS = "kind int, bucket int, gram binary, content binary, doc binary, counts binary, ordinal binary"
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
+ASKED, MARKED = 0, 1
+
+
+def marks_of(doc: np.ndarray, ordinal: np.ndarray, flag: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of flags for the buckets of their documents."""
+    side = np.abs(doc) % buckets
+    order = np.argsort(side, kind="stable")
+    cut = np.searchsorted(side[order], np.arange(buckets + 1))
+    own = [(int(b), order[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
+    return [(MARKED, b, flag[o].tobytes(), b"", planes(doc[o]), b"", planes(ordinal[o], "<u4")) for b, o in own]
+
+
+def unit_rows(doc: np.ndarray, ordinal: np.ndarray, gram: np.ndarray, content: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Of equal segments of a unit the first, by buckets of anchors; the others are marked at once.
+
+    A row names only documents that have a segment in its bucket, so rows grow in proportion to
+    the segments, whatever the number of buckets; and of a segment that very many documents hold
+    each unit sends one.
+    """
+    order = np.lexsort((ordinal, doc, content, gram))
+    doc, ordinal, gram, content = doc[order], ordinal[order], gram[order], content[order]
+    differ = lambda *x: np.r_[True, np.any([c[1:] != c[:-1] for c in x], axis=0)] if len(doc) else np.zeros(0, bool)
+    new, place = differ(gram, content), differ(gram, content, doc, ordinal)
+    again = place & ~new  # a repeated row names its places again; none is earlier than itself
+    rows = marks_of(doc[again], ordinal[again], np.ones(int(again.sum()), np.uint8), buckets)
+    doc, ordinal, gram, content = doc[new], ordinal[new], gram[new], content[new]
+    bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((ordinal, doc, bucket))
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        own = order[cut[b] : cut[b + 1]]
+        ids, counts = np.unique(doc[own], return_counts=True)
+        short = (gram[own] & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        rows.append((ASKED, b, short, content[own].tobytes(), planes(ids), small(counts), planes(ordinal[own], "<u4")))
+    return pd.DataFrame(rows, columns=NAMES)
+
+
+def repeated_segments(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, ordinals binary (u4), flags binary (u1): 1 for segments whose bytes came before,
     2 for the first ones of their bytes whose anchor has other segments too."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(tasks_for(spark), -(-total // BUCKET_CHARS))
-    kinds = ("gram", "content", "doc", "ordinal")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
-                ids = batch.doc_id.iloc[part].to_numpy(np.int64)
-                doc, lo, hi, gram, content = segments([t.encode("utf-8", "surrogatepass") for t in all_texts[part]])
-                count = np.bincount(doc, minlength=len(ids))
-                ordinal = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype("<u4")
-                bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for b in range(buckets):
-                    own = order[ends[b] : ends[b + 1]]
-                    if len(own):
-                        rows.append((b, (gram[own] & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), content[own].tobytes(), ids.astype("<i8").tobytes(), np.bincount(doc[own], minlength=len(ids)).astype("<u4").tobytes(), ordinal[own].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "gram", "content", "doc", "counts", "ordinal"])
+        for unit in units(batches):
+            yield unit_rows(*unit, buckets)
+            release_memory()
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [tuple(r[1:]) for r in batch[batch.kind == MARKED].itertuples()]
+        batch = batch[batch.kind == ASKED]
+        if not len(batch):
+            return pd.DataFrame(rows, columns=NAMES)
         short = np.frombuffer(b"".join(batch.gram), np.uint8).reshape(-1, 5)
         gram = np.zeros((len(short), 8), np.uint8)
         gram[:, :5] = short
         gram = gram.view(np.uint64).ravel()
         content = np.frombuffer(b"".join(batch.content), np.uint64)
-        ordinal = np.frombuffer(b"".join(batch.ordinal), "<u4")
-        doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")) for d, c in zip(batch.doc, batch.counts, strict=True)])
+        ordinal = np.concatenate([from_planes(x, "<u4") for x in batch.ordinal])
+        ids = [from_planes(x) for x in batch.doc]
+        doc = np.concatenate([np.repeat(d, large(c, len(d))) for d, c in zip(ids, batch.counts, strict=True)])
         by_gram = np.argsort(gram, kind="stable")
         same = gram[by_gram][1:] == gram[by_gram][:-1]
-        shared = np.r_[same, False] | np.r_[False, same] if len(gram) else same
+        shared = np.r_[same, False] | np.r_[False, same]
         at = by_gram[shared]
         at = at[np.lexsort((ordinal[at], doc[at], content[at], gram[at]))]
-        if len(at):  # a repeated row names its places again; none is earlier than itself
+        if len(at):
             at = at[np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in (ordinal, doc, content, gram)], axis=0)]]
         g, c = gram[at], content[at]
         new_gram = np.r_[True, g[1:] != g[:-1]] if len(at) else np.zeros(0, bool)
@@ -131,26 +180,21 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
         several = np.bincount(group, new_content)[group] > 1 if len(at) else new_gram
         flag = np.where(new_content, np.where(several, 2, 0), 1).astype(np.uint8)
         keep = flag > 0
-        at, flag = at[keep], flag[keep]
-        side = np.abs(doc[at]) % buckets
-        rows = []
-        for s in np.unique(side):
-            own = side == s
-            rows.append((int(s), doc[at][own].astype("<i8").tobytes(), ordinal[at][own].tobytes(), flag[own].tobytes()))
-        return pd.DataFrame(rows, columns=["side", "doc", "ordinals", "flags"])
+        rows += marks_of(doc[at[keep]], ordinal[at[keep]], flag[keep], buckets)
+        release_memory()
+        return pd.DataFrame(rows, columns=NAMES)
 
     def gather(batch: pd.DataFrame) -> pd.DataFrame:
-        doc = np.frombuffer(b"".join(batch.doc), "<i8")
-        ordinal, flag = np.frombuffer(b"".join(batch.ordinals), "<u4"), np.frombuffer(b"".join(batch["flags"]), np.uint8)
+        doc = np.concatenate([from_planes(x) for x in batch.doc])
+        ordinal, flag = np.concatenate([from_planes(x, "<u4") for x in batch.ordinal]), np.frombuffer(b"".join(batch.gram), np.uint8)
         order = np.lexsort((ordinal, doc))
         doc, ordinal, flag = doc[order], ordinal[order], flag[order]
         cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         ends = np.r_[cut[1:], len(doc)]
         return pd.DataFrame({"doc_id": doc[cut], "ordinals": [ordinal[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], "flags": [flag[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]})
 
-    sent = docs.mapInPandas(send, "bucket int, gram binary, content binary, doc binary, counts binary, ordinal binary")
-    found = sent.groupBy("bucket").applyInPandas(compare, "side int, doc binary, ordinals binary, flags binary")
-    return found.groupBy("side").applyInPandas(gather, "doc_id long, ordinals binary, flags binary")
+    found = docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(compare, ROWS)
+    return found.groupBy("bucket").applyInPandas(gather, "doc_id long, ordinals binary, flags binary")
 
 
 def intervals_and_segments(marked: DataFrame, parts: int) -> DataFrame:
@@ -259,8 +303,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other where their texts are equal; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     docs = texts(docs)
-    parts = tasks_for(docs.sparkSession) * 4
-    marks = staged(repeated_segments(docs), "substring-marks")
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = tasks_for(docs.sparkSession)
+    parts = max(tasks * 4, -(-total // PART_CHARS))
+    marks = staged(repeated_segments(docs, max(tasks, -(-total // BUCKET_CHARS))), "substring-marks")
     rows = staged(intervals_and_segments(docs.join(marks, "doc_id"), parts), "substring-rows")
     compared = compare_segments(rows.where("part >= 0"))
     removed = rows.where("part < 0").select("doc_id", "data").union(compared).groupBy("doc_id").agg(F.collect_list("data").alias("cuts"))
