@@ -256,6 +256,47 @@ def test_pii(spark, empty):
     assert pii.redact(frame(spark, rows)).columns == frame(spark, []).columns
 
 
+def brute_redacted(text, spans):
+    merged = []
+    for start, end, kind in sorted(spans):
+        if merged and merged[-1][1] > start:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end, kind])
+    out, at = [], 0
+    for start, end, kind in merged:
+        out += [text[at:start], f"<{'ID' if kind == 'further' else kind.upper()}>"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def test_pii_redaction_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    monkeypatch.setattr(pii, "PIECE", 5)
+    rng = np.random.default_rng(8)
+    bits = ["a.b@c.de", "10.2.3.4", "+1 (555) 123-4567", "4111 1111 1111 1111", "é😀", "id-77x9z", "name", "@", ".", " ", " ", "\n", "+49 4111111111111111"]
+    rows = [(i, "".join(rng.choice(bits, rng.integers(1, 60)))) for i in range(150)]
+    found = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    cleaned = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    for i, text in rows:
+        spans = [(x.start, x.end, k) for k in (*pii.KINDS, "further") for x in found[i][k]]
+        assert cleaned[i] == brute_redacted(text, spans), i
+        for kind, pattern in KINDS:
+            assert [(x.start, x.end) for x in found[i][kind]] == [(m.start(), m.end()) for m in re.finditer(pattern, text) if counts(kind, m[0])]
+
+
+def test_pii_long_text_of_matches(spark):
+    """A hundred thousand identifiers in one text; the cost is near linear."""
+    import time
+
+    text = " ".join(f"user{i % 977}@mail{i % 89}.org 10.0.{i % 256}.{i % 199} key-{i:07d}" for i in range(40_000))
+    began = time.time()
+    row = pii.find(frame(spark, [(1, text), (2, None)])).where("doc_id = 1").select(*(F.size(k).alias(k) for k in pii.KINDS)).first()
+    assert (row.email, row.ip) == (40_000, 40_000) and len(text) > 1_500_000
+    short = pii.redact(frame(spark, [(1, text)])).select(F.length("text").alias("n"), F.substring("text", -60, 40).alias("end")).first()
+    assert short.n < len(text) and "<IP>" in short.end and time.time() - began < 60
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, "What is the colour of a clear sky at noon in summer when no cloud stands in the way? It is a deep and even blue all over."), (2, None), (3, ""), (4, "Seven brown foxes. They jumped over eleven lazy hounds before breakfast.")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -281,12 +322,60 @@ def test_wand_finds_all_that_full_scoring_finds():
         assert {p for p, _ in index.search(query)} == expected
 
 
-def test_decontamination_index_by_index(spark, monkeypatch):
-    items = [(i, " ".join(f"q{i}x{k}" for k in range(12))) for i in range(20)]
+def brute_leaks(docs, items):
+    """Every passage against every item, scored in full."""
+    items = [(i, decontaminate.item_words(t or ""), t) for i, t in items if decontaminate.item_words(t or "")]
+    df = collections.Counter(w for _, ws, _ in items for w in set(ws))
+    mean = sum(len(ws) for _, ws, _ in items) / len(items)
+    out = []
+    for doc, text in docs:
+        own = decontaminate.item_words(text or "")
+        for i, ws, t in items:
+            window = 1 << max(0, len(ws) - 1).bit_length()
+            norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
+            impact = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + norm) for w, c in collections.Counter(ws).items()}
+            best = None
+            question, answer = map(decontaminate.trigrams, decontaminate.question_and_answer(t))
+            for s in [k for k in range(0, len(own), window) if k == 0 or k < len(own) - window]:
+                passage = own[s : s + 2 * window]
+                score = sum(v for w, v in impact.items() if w in set(passage)) / (0.8 * sum(impact.values()))
+                held = decontaminate.trigrams(passage)
+                q = len(question & held) / max(1, len(question))
+                a = len(answer & held) / len(answer) if answer else q
+                if score >= 1 and min(q, a) >= 0.6:
+                    best = max(best or (0,), (score, q, a))
+            if best:
+                out.append((doc, i if i is not None else -1, *(round(x, 6) for x in best)))
+    return sorted(out)
+
+
+def test_decontamination_equals_full_scoring_for_any_number_of_indices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(150)] + ["Straße", "don't", "a_b"]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 40))) + ". " + " ".join(rng.choice(vocabulary, rng.integers(0, 9)))) for i in range(60)]
+    items += [(None, items[3][1]), (7, items[7][1]), (90, ""), (91, None)]
+    docs = []
+    for d in range(80):
+        text = list(rng.choice(vocabulary, rng.integers(0, 300)))
+        for k in rng.choice(60, 2):
+            held = items[k][1].split()
+            for x in rng.choice(len(held), len(held) * (d % 4) // 8, replace=False):
+                held[x] = "other"
+            at = rng.integers(0, len(text) + 1)
+            text[at:at] = held
+        docs.append((d, " ".join(text)))
+    docs += [(100, None), (101, ""), (5, docs[5][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = [(i, f"before {t} after") for i, t in items]
-    monkeypatch.setattr(decontaminate, "INDEX_WORDS", 60)
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()) == [(i, i) for i in range(20)]
+    expected = brute_leaks(docs, items)
+
+    def found(**how):
+        return sorted((r.doc_id, r.item_id if r.item_id is not None else -1, *(round(r[c], 6) for c in ("score", "question_overlap", "answer_overlap"))) for r in decontaminate.leaks(frame(spark, docs), bench, **how).collect())
+
+    assert len(expected) > 40 and found() == expected
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(decontaminate, "CELLS", 500)
+    monkeypatch.setattr(decontaminate, "INDICES", 3)
+    assert found(index_words=150) == expected
 
 
 def test_language_model(spark, docs, empty):

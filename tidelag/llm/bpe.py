@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelag.llm.common import Numbers, blocks, ragged, read_table, release_memory, texts
 
@@ -207,24 +208,32 @@ def default_vocabulary() -> str:
 def encode_column(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids array<int>, decoded: every whole text encoded and decoded again.
 
-    Null and empty texts give no ids and an empty text; equal texts give equal rows; columns
-    other than doc_id and text are not read.
+    Null and empty texts give no ids and an empty text; equal texts give equal rows; rows without
+    doc_id are encoded too; an empty table gives no rows; columns other than doc_id and text are
+    not read.
     """
     path = path or default_vocabulary()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = load(path)
         for batch in batches:
             for part in blocks(all_texts := batch.text.tolist(), block_chars):
                 ids = vocabulary.encode(all_texts[part])
-                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "ids": [x.astype(np.int32) for x in ids], "decoded": [vocabulary.decode(x) for x in ids]})
+                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "named": batch.named.iloc[part].to_numpy(), "ids": [x.astype(np.int32) for x in ids], "decoded": [vocabulary.decode(x) for x in ids]})
                 release_memory()
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    # a long with nulls would come as doubles, so nulls travel as a flag
+    coded = named.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text").mapInPandas(run, "doc_id long, named boolean, ids array<int>, decoded string")
+    return coded.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "ids", "decoded")
 
 
 def encoding_digest(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Digests of ids and decoded texts, made where they are encoded."""
+    """Digests of ids and decoded texts, made where they are encoded.
+
+    Null and empty texts have no ids; equal texts give equal values; repeated rows stay; an empty
+    table gives no rows; columns other than doc_id and text are not read.
+    """
     path = path or default_vocabulary()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

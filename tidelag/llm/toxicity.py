@@ -116,11 +116,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words
     return SeverityModel(words, weights, cuts)
 
 
+def text_key(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
-    """doc_id, expected_severity, p_toxic, grade, toxic for every document.
+    """doc_id, text_key (a digest of the text), expected_severity, p_toxic, grade, toxic for every document.
 
-    Null and empty texts have no word that counts; equal texts score the same; columns other
-    than doc_id and text are not read.
+    Null and empty texts have no word that counts; equal texts score the same; repeated rows are
+    scored each; an empty table gives no rows; columns other than doc_id and text are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,12 +133,12 @@ def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
                 chunk = all_texts[part]
                 reach = model.reach(*word_hashes(chunk), len(chunk))
                 yield pd.DataFrame({
-                    "doc_id": batch.doc_id.iloc[part], "expected_severity": reach.sum(1), "p_toxic": reach[:, 0],
+                    "doc_id": batch.doc_id.iloc[part], "text_key": batch.text_key.iloc[part], "expected_severity": reach.sum(1), "p_toxic": reach[:, 0],
                     "grade": (reach >= 0.5).sum(1), "toxic": (reach[:, 0] >= THRESHOLD).astype(int),
                 })
             release_memory()
 
-    return docs.mapInPandas(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic int")
+    return docs.withColumn("text_key", text_key(docs.text)).mapInPandas(run, "doc_id long, text_key long, expected_severity double, p_toxic double, grade int, toxic int")
 
 
 def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
