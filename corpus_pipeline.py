@@ -15,32 +15,43 @@ ORACLE_SQL: str | None = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model rejects go; those without doc_id stay."""
+    """Documents that the severity model rejects go.
+
+    Rows are judged one by one: of rows with one doc_id only those with a rejected text go. Null
+    and empty texts and rows without doc_id stay; an empty table gives no rows.
+    """
     model = toxicity.fit(texts(docs), read_table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(texts(docs), model).where("toxic = 1").select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id == rejected.doc_id, "left_anti")
+    rejected = staged(toxicity.score(texts(docs), model).where("toxic = 1").select("doc_id", "text_key").distinct(), "toxic")
+    return docs.join(rejected, (docs.doc_id == rejected.doc_id) & (toxicity.text_key(docs.text) == rejected.text_key), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at 0.75 or more, the one with the smallest doc_id stays."""
+    """Of documents that five-word shingles link at 0.75 or more, the one with the smallest doc_id stays.
+
+    Of rows with one doc_id all stay or go together. Null and empty texts are linked with nothing
+    and stay, as do rows without doc_id; an empty table gives no rows.
+    """
     classes = jaccard.components(docs)
     gone = staged(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, docs.doc_id == gone.doc_id, "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and rows without doc_id stay; an empty benchmark or table removes nothing.
+    """
     found = staged(decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, docs.doc_id == found.doc_id, "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data gives way to its kind."""
+    """Every span of personal data gives way to its kind; no row goes, null texts stay null."""
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the number of tokens and whether decoding gives the text again."""
+    """Token ids of every document, with the number of tokens and a digest of the decoded text; no row goes."""
     coded = bpe.encode_column(docs)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"))
 
