@@ -130,10 +130,10 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(needs[k], F.filter(located(text, patterns[k]), checked(k))).otherwise(none) for k in KINDS}
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans by kind, and candidates (start, end, value, context, seed); no texts."""
+def extract(docs: DataFrame, kept: Column) -> DataFrame:
+    """row, doc_id, ``kept``, base spans by kind, and candidates (start, end, value, context, seed)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("kept"), text.alias("text"))
     rows = rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     whole = F.concat(*KINDS)
     before = lambda p, x: part_of(p, F.greatest(F.lit(0), x["start"] - CONTEXT_CHARS), F.least(x["start"], F.lit(CONTEXT_CHARS)))
@@ -145,7 +145,7 @@ def extract(docs: DataFrame) -> DataFrame:
     found = lambda p: let(located(F.col("text"), CANDIDATE), lambda c: F.zip_with(c, touched(c, whole), candidate(p)))
     candidates = let(pieces_of(F.col("text")), found)
     none = F.array().cast("array<struct<start:int,end:int,value:bigint,context:string,seed:boolean,touches:boolean>>")
-    return rows.select("row", "doc_id", *KINDS, F.when(F.col("text").rlike("[0-9]"), candidates).otherwise(none).alias("candidates"))
+    return rows.select("row", "doc_id", "kept", *KINDS, F.when(F.col("text").rlike("[0-9]"), candidates).otherwise(none).alias("candidates"))
 
 
 def confident_contexts(candidates: DataFrame) -> DataFrame:
@@ -168,13 +168,14 @@ def confident_contexts(candidates: DataFrame) -> DataFrame:
     return contexts.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("context")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans by kind, and ``further``: spans found by context that touch no base span.
+def find(docs: DataFrame, kept: Column | None = None) -> DataFrame:
+    """doc_id, base spans by kind, and ``further``: spans found by context that touch no base span;
+    and, for callers that need more of a row than its spans, ``kept``.
 
-    Null and empty texts have none; repeated rows are treated each; an empty table gives no
-    rows; columns other than doc_id and text are not read.
+    Null and empty texts have none; repeated rows and rows without doc_id are treated each; an
+    empty table gives no rows; columns other than doc_id and text are not read.
     """
-    table = staged(extract(docs), "pii-spans")
+    table = staged(extract(docs, F.lit(True) if kept is None else kept), "pii-spans")
     single = table.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     contexts = confident_contexts(single)
     open_ = F.filter("candidates", lambda x: ~x["touches"])
@@ -206,21 +207,18 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars`` is counted anew; an empty table gives no rows.
     """
     of_kind = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
-    keyed = staged(docs.select(F.monotonically_increasing_id().alias("_key"), "*"), "pii-docs")
-    spans = find(keyed.select(F.col("_key").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("_key"), F.concat(*(F.transform(k, of_kind(k)) for k in (*KINDS, "further"))).alias("_spans")
-    ).where(F.size("_spans") > 0)
-    joined = keyed.join(spans, "_key", "left")
+    # whole rows are kept beside their spans, so that only the few spans found by context are joined to them
+    joined = find(docs, F.struct("*")).select("kept", F.col("kept.text").cast("string").alias("text"), F.concat(*(F.transform(k, of_kind(k)) for k in (*KINDS, "further"))).alias("_spans"))
     label = lambda x: F.concat(F.lit("<"), F.upper(F.when(x["kind"] == "further", "id").otherwise(x["kind"])), F.lit(">"))
     end_before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
     shown = lambda p, m: F.concat(
         F.array_join(F.transform(m, lambda x, i: F.concat(part_of(p, end_before(m, i), x["start"] - end_before(m, i)), label(x))), ""),
-        let(F.get(m, F.size(m) - 1)["end"], lambda end: part_of(p, end, F.length("text") - end)),
+        let(F.get(m, F.size(m) - 1)["end"], lambda end: part_of(p, end, F.length(F.col("text")) - end)),
     )
     replaced = let(pieces_of(F.col("text")), lambda p: let(merged(F.col("_spans")), lambda m: shown(p, m)))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced)
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    changed = joined.select("kept", F.when(F.size("_spans") == 0, F.col("text")).otherwise(replaced).alias("text"))
+    columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("kept").getField(c).alias(c) for c in docs.columns]
+    return changed.select(*columns)
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
