@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, read_table, staged, texts
+from tidelag.llm.common import Numbers, blocks, read_table, staged, texts
 
 K1, B = 1.2, 0.75
 MATCH = 0.8
@@ -166,75 +166,64 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int,
     return Index(items, [p.tolist() for p in places], [v.tolist() for v in impacts], [m.tolist() for m in block_max], upper.tolist(), terms, longest, parts, common, bounds, common_most)
 
 
-def segments(text: str, window: int, most: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(words, starts, ends of passages) of a text, about ``most`` words at a time.
+def numbered_words(all_texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the number of every word in order, how many words each text has).
 
-    Passages are two windows long and one window apart, so one of them holds any item whole.
+    A long text is read about ``BLOCK_CHARS`` characters at a time, so that its words are never
+    all there as strings.
     """
-    size = max(1, most // window) * window
-    held: list[str] = []
-    first = True
-    at = 0
-    while at < len(text) or first:
-        stop = at + BLOCK_CHARS
-        while stop < len(text) and not text[stop].isspace():
-            stop += 1
-        held += item_words(text[at:stop])
-        at = stop
-        while len(held) > size + window or at >= len(text):
-            words = held[: size + window]
-            starts = np.arange(0, min(size, max(int(first), len(words) - window)), window)
-            if len(words) and len(starts):
-                yield words, starts, np.minimum(starts + 2 * window, len(words))
-            first = False
-            held = held[size:]
-            if not held:
-                break
-
-
-def find_leaks(index: Index, batch: list[tuple[int, str]]) -> list[tuple[int, int, float, float, float]]:
+    known, rows, lengths = Numbers(), [np.zeros(0, np.int32)], []
+    for text in all_texts:
+        at = count = 0
+        while at < len(text):
+            stop = at + BLOCK_CHARS
+            while stop < len(text) and not text[stop].isspace():
+                stop += 1
+            rows.append(np.fromiter(map(known.__getitem__, item_words(text[at:stop])), np.int32))
+            at, count = stop, count + len(rows[-1])
+        lengths.append(count)
+    return list(known), np.concatenate(rows), np.array(lengths, np.int64)
+
+
+def find_leaks(index: Index, ids: list[int], distinct: list[str], words: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """The best passage of each (document, item) pair that is retrieved and verified.
 
-    Passages are bounded first, many at once, by the block maxima of their rarer terms plus the
-    most that common terms give an item of the block; only passages that may reach the threshold
-    in some block are searched.
+    Passages are two windows long and one window apart, so one of them holds any item whole.
+    They are bounded first, many at once, by the block maxima of their rarer terms plus the most
+    that common terms give an item of the block; only passages that may reach the threshold in
+    some block are searched.
     """
-    most = max(2 * index.window, CELLS // index.bounds.shape[1])
+    window = index.window
+    first = np.cumsum(lengths) - lengths
+    starts = [np.arange(f, max(f + 1, f + n - window), window) if n else np.zeros(0, np.int64) for f, n in zip(first.tolist(), lengths.tolist(), strict=True)]
+    doc = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
+    begin = np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int64)
+    end = np.minimum(begin + 2 * window, (first + lengths)[doc])
+    terms = np.fromiter(map(index.terms.get, distinct, repeat(-1)), np.int32, len(distinct))[words] if len(words) else words
+    kept = np.flatnonzero((terms >= 0) & ~index.common[terms])
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    words: list[str] = []
-    starts, ends, owner = [], [], []
-
-    def search() -> None:
-        begin, end, doc = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-        ids = np.fromiter(map(index.terms.get, words, repeat(-1)), np.int64, len(words))
-        kept = np.flatnonzero((ids >= 0) & ~index.common[ids])
-        sums = np.zeros((len(kept) + 1, index.bounds.shape[1]), np.float64)
-        np.cumsum(index.bounds[ids[kept]], axis=0, out=sums[1:])
-        bound = sums[np.searchsorted(kept, end)] - sums[np.searchsorted(kept, begin)] + index.common_most
-        for k in np.flatnonzero((bound >= 1.0 - 1e-6).any(axis=1)).tolist():
+    most = max(1, CELLS // index.bounds.shape[1])
+    at = 0
+    while at < len(begin):
+        upto = max(at + 1, int(np.searchsorted(end, begin[at] + most, side="right")))
+        own = slice(at, upto)
+        low, high = np.searchsorted(kept, (begin[at], end[upto - 1]))
+        sums = np.zeros((high - low + 1, index.bounds.shape[1]), np.float64)
+        np.cumsum(index.bounds[terms[kept[low:high]]], axis=0, out=sums[1:])
+        bound = sums[np.searchsorted(kept, end[own]) - low] - sums[np.searchsorted(kept, begin[own]) - low] + index.common_most
+        for k in (at + np.flatnonzero((bound >= 1.0 - 1e-6).any(axis=1))).tolist():
             s, e = int(begin[k]), int(end[k])
-            query = np.unique(ids[s:e])
+            query = np.unique(terms[s:e])
             held = None
             for place, score in index.search(query[query >= 0].tolist()):
-                held = held or trigrams(words[s:e])
+                held = held or trigrams([distinct[w] for w in words[s:e].tolist()])
                 question, answer = index.parts[place]
                 q = len(question & held) / max(1, len(question))
                 a = len(answer & held) / len(answer) if answer else q
                 if q >= OVERLAP and a >= OVERLAP and (score, q, a) > best.get((int(doc[k]), place), (0.0,)):
                     best[int(doc[k]), place] = (score, q, a)
-
-    for k, (_, text) in enumerate(batch):
-        for part, s, e in segments(text, index.window, most):
-            if words and len(words) + len(part) > most:
-                search()
-                words, starts, ends, owner = [], [], [], []
-            starts.append(s + len(words))
-            ends.append(e + len(words))
-            owner.append(np.full(len(s), k))
-            words += part
-    if words:
-        search()
-    return [(batch[k][0], index.items[p][0], *x) for (k, p), x in sorted(best.items())]
+        at = upto
+    return [(ids[k], index.items[p][0], *x) for (k, p), x in sorted(best.items())]
 
 
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +269,8 @@ def _search_all(docs: DataFrame, indices: list[Index]) -> DataFrame:
         for batch in batches:
             ids, all_texts = batch.doc_id.tolist(), batch.text.tolist()
             for part in blocks(all_texts, BLOCK_CHARS):
-                rows = [r for index in indices for r in find_leaks(index, list(zip(ids[part], all_texts[part], strict=True)))]
+                numbered = numbered_words(all_texts[part])
+                rows = [r for index in indices for r in find_leaks(index, ids[part], *numbered)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"item_id": "Int64"})
 
