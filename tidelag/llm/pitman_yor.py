@@ -446,4 +446,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read_table(spark, sf_dir, "documents"))
+    """Every document has at least its end as a token, so its perplexity is defined."""
+    scored = score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,12 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words
     return SeverityModel(words, weights, cuts)
 
 
-def text_key(text: F.Column) -> F.Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
-    """doc_id, text_key (a digest of the text), expected_severity, p_toxic, grade, toxic for every document.
+    """doc_id, expected_severity, p_toxic, grade, toxic for every document.
 
     Null and empty texts have no word that counts; equal texts score the same; repeated rows are
     scored each; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -133,12 +130,28 @@ def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
                 chunk = all_texts[part]
                 reach = model.reach(*word_hashes(chunk), len(chunk))
                 yield pd.DataFrame({
-                    "doc_id": batch.doc_id.iloc[part], "text_key": batch.text_key.iloc[part], "expected_severity": reach.sum(1), "p_toxic": reach[:, 0],
+                    "doc_id": batch.doc_id.iloc[part], "expected_severity": reach.sum(1), "p_toxic": reach[:, 0],
                     "grade": (reach >= 0.5).sum(1), "toxic": (reach[:, 0] >= THRESHOLD).astype(int),
                 })
             release_memory()
 
-    return docs.withColumn("text_key", text_key(docs.text)).mapInPandas(run, "doc_id long, text_key long, expected_severity double, p_toxic double, grade int, toxic int")
+    return docs.mapInPandas(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic int")
+
+
+def without_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
+    """``docs`` without the rows whose text the model finds toxic, judged row by row where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_texts = [t or "" for t in batch.column("text").to_pylist()]
+            toxic = np.zeros(len(all_texts), bool)
+            for part in blocks(all_texts, BLOCK_CHARS):
+                chunk = all_texts[part]
+                toxic[part] = model.reach(*word_hashes(chunk), len(chunk))[:, 0] >= THRESHOLD
+            yield batch.filter(pa.array(~toxic))
+            release_memory()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
