@@ -21,8 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and empty texts and rows without doc_id stay; an empty table gives no rows.
     """
     model = toxicity.fit(texts(docs), read_table(spark, sf_dir, "labels"))
-    rejected = staged(toxicity.score(texts(docs), model).where("toxic = 1").select("doc_id", "text_key").distinct(), "toxic")
-    return docs.join(rejected, (docs.doc_id == rejected.doc_id) & (toxicity.text_key(docs.text) == rejected.text_key), "left_anti")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
