@@ -38,8 +38,8 @@ SIGNATURE_BITS = 1024
 #: Documents and shingles of a tile that are compared in one task; larger tiles are dealt as pairs of blocks.
 TILE_BLOCK = 1000
 TILE_SHINGLES = 1_000_000
-#: After the first, rounds of pivots go on while there are more open pairs than this for each open row, and a quarter of their pairs links.
-PAIRS_EACH = 20
+#: After the first, rounds of pivots go on while there are more open pairs than this for each open row, and a fifth of their pairs links.
+PAIRS_EACH = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -271,21 +271,27 @@ def tiles(candidates: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the pairs that link: bit counts first, then the exact intersection."""
-    side = lambda x: candidates.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "own", "sig", "shared")))
+    side = lambda x, *columns: candidates.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    both = lambda rows, *columns: rows.join(side("a", *columns), "a").join(side("b", *columns), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s1, s2 = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+            n1, n2, own1, own2 = (batch[c].to_numpy() for c in ("n_a", "n_b", "own_a", "own_b"))
+            yield batch[["a", "b"]][may_link(n1, n2, own1, own2, s1, s2, percent)]
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                s1, s2 = np.frombuffer(r.sig_a, np.uint64), np.frombuffer(r.sig_b, np.uint64)
-                if may_link(r.n_a, r.n_b, r.own_a, r.own_b, s1, s2, percent):
-                    x, y = np.frombuffer(r.shared_a, np.uint64), np.frombuffer(r.shared_b, np.uint64)
-                    if linked(r.n_a, r.n_b, overlaps(x, [y])[0], percent):
-                        rows.append((r.a, r.b))
+                x, y = np.frombuffer(r.shared_a, np.uint64), np.frombuffer(r.shared_b, np.uint64)
+                if linked(r.n_a, r.n_b, overlaps(x, [y])[0], percent):
+                    rows.append((r.a, r.b))
             if rows:
                 yield pd.DataFrame(rows, columns=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    near = staged(both(pairs, "n", "own", "sig").mapInPandas(bounded, "a long, b long"), "jaccard-near")
+    return both(near, "n", "shared").mapInPandas(exact, "a long, b long")
 
 
 def open_members(members: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
@@ -406,7 +412,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     classes = staged(
         table.select("doc_id", "n", "stands", *sets).join(by_standing, ["stands", *sets], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "jaccard-classes"
     )
-    one_each = standing.where("prefix is not null").join(first, sets).where("doc_id = first").dropDuplicates(["doc_id", *sets])
+    one_each = standing.where("prefix is not null").join(first, sets).where("doc_id = first")  # a repeated row may stand twice; it only meets itself
     candidates = staged(one_each.drop("first", "stands"), "jaccard-candidates")
     members = staged(tiles(candidates), "jaccard-tiles")
     several = classes.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
@@ -417,7 +423,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         rows, pairs = open_.agg(F.count("*"), F.sum(F.col("pairs") / F.col("size"))).first()
         if not rows:
             break
-        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 4 * linked_pairs < asked):
+        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs < asked):
             new = staged(tile_links(open_, candidates, percent), "jaccard-links")
         else:
             drawn = staged(star_pairs(open_), "jaccard-pairs")
