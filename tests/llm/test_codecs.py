@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from tidelag.llm import bpe, mpeg
 from tidelag.llm.common import words_of
-from tidelag.llm.jaccard import linked, may_link, prefix_length, signature
+from tidelag.llm.jaccard import alike, linked, may_link, prefix_length, signature
 from tidelag.llm.media import pad
 from tidelag.llm.suffixes import suffix_array
 
@@ -96,6 +96,15 @@ def test_words(text):
     assert words_of(text) == re.findall(r"[^\x20\x09-\x0D]+", lower)
 
 
+@pytest.mark.parametrize(("small", "large", "common"), [(400, 520, 400), (2000, 2600, 1990), (9000, 9100, 8000), (3000, 3000, 1000)])
+def test_signatures_of_several_lengths(small, large, common):
+    rng = np.random.default_rng(small)
+    keys = rng.integers(0, 1 << 62, small + large, dtype=np.uint64)
+    x, y = keys[:small], keys[small - common : small - common + large]
+    got = may_link(small, large, small, large, *alike([signature(x).tobytes(), signature(y).tobytes()]))
+    assert got == linked(small, large, common)  # none lost, and those far from the threshold are told apart
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)))
 def test_signatures_never_lose_a_link(x, y):

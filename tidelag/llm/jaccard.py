@@ -10,8 +10,8 @@
    with the same members one is kept. In each round every document is compared with one pivot,
    drawn anew, outside its component; the tiles that still hold several components after that
    are compared in tasks that join what links at once and send links that span it, never pairs.
-4. Pairs are bounded by the bit counts of hashed bitmap signatures before the sorted arrays
-   are intersected.
+4. Pairs are bounded by the bit counts of hashed bitmap signatures, whose length grows with the
+   document, before the sorted arrays are intersected.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ BLOCK_CHARS = 1_500_000
 #: Shingles that a task gathers before it sends them, and characters of text behind a range of hashes.
 UNIT_SHINGLES = 1_500_000
 BUCKET_CHARS = 24_000_000
+#: The least bits of a signature.
 SIGNATURE_BITS = 1024
 #: Documents and shingles of a tile that are compared in one task; larger tiles are dealt as pairs of blocks.
 TILE_BLOCK = 1000
@@ -76,11 +77,21 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
-    """A bitmap in which each key flips one bit; unequal bits never outnumber unequal keys."""
-    flips = np.bincount((mix64(keys) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    """A bitmap in which each key flips one bit; unequal bits never outnumber unequal keys.
+
+    It has at least two bits for each key, a power of two, so that long documents are told apart too.
+    """
+    bits = max(SIGNATURE_BITS, 1 << (2 * len(keys) - 1).bit_length())
+    flips = np.bincount((mix64(keys) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def alike(signatures: list[bytes]) -> np.ndarray:
+    """Signatures, one in a row, folded to the shortest of them: the bits that a shorter one would hold."""
+    shortest = min(map(len, signatures)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, shortest), axis=0) for s in signatures])
+
+
 def may_link(n1, n2, own1, own2, sig1, sig2, percent: int = PERCENT):
     """Whether the overlap can be large enough: of ``own`` keys that others have too, so many differ at least."""
     differ = np.bitwise_count(sig1 ^ sig2).sum(axis=-1).astype(np.int64)
@@ -269,29 +280,24 @@ def tiles(candidates: DataFrame) -> DataFrame:
     return members.join(kept, "tile")
 
 
-def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs that link: bit counts first, then the exact intersection."""
-    side = lambda x, *columns: candidates.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    both = lambda rows, *columns: rows.join(side("a", *columns), "a").join(side("b", *columns), "b")
+def compared(dealt: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all that links among the rows of each task.
 
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s1, s2 = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-            n1, n2, own1, own2 = (batch[c].to_numpy() for c in ("n_a", "n_b", "own_a", "own_b"))
-            yield batch[["a", "b"]][may_link(n1, n2, own1, own2, s1, s2, percent)]
+    First the bit counts tell which documents may link; what they join is a group, named by its
+    members, so that a group which many tasks hold is compared once. Only documents of groups
+    bring their shingles, and those that have been linked are not compared again.
+    """
+    in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
+    bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
+    groups = bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "component"), "task long, doc_id long, component long")
+    near = staged(groups.distinct(), "jaccard-near")
+    return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                x, y = np.frombuffer(r.shared_a, np.uint64), np.frombuffer(r.shared_b, np.uint64)
-                if linked(r.n_a, r.n_b, overlaps(x, [y])[0], percent):
-                    rows.append((r.a, r.b))
-            if rows:
-                yield pd.DataFrame(rows, columns=["a", "b"])
 
-    near = staged(both(pairs, "n", "own", "sig").mapInPandas(bounded, "a long, b long"), "jaccard-near")
-    return both(near, "n", "shared").mapInPandas(exact, "a long, b long")
+def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the pairs that link; each pair is a task."""
+    ends = pairs.select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("doc_id"))
+    return compared(ends.select("*", F.lit(False).alias("guest"), F.col("doc_id").alias("component"), F.lit(0).alias("block"), F.lit(True).alias("inner")), candidates, percent)
 
 
 def open_members(members: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
@@ -320,17 +326,13 @@ def tile_links(members: DataFrame, candidates: DataFrame, percent: int = PERCENT
     """(a, b): links that join all that links in each tile, at most one for each member of a task.
 
     A tile of many documents or shingles is dealt to tasks as pairs of blocks, which are held one
-    at a time. First the bit counts tell which documents have a possible partner; only those
-    bring their shingles. Documents that a task has linked are not compared again.
+    at a time.
     """
     blocks_ = F.greatest(F.ceil(F.col("size") / TILE_BLOCK), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks_).cast("int")
     dealt = members.select("tile", "doc_id", "guest", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
     dealt = dealt.select("doc_id", "guest", "component", "block", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("inner"))
-    in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
-    bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
-    near = staged(bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "guest", "component", "block", "inner"), dealt.schema), "jaccard-near")
-    return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
+    return compared(dealt, candidates, percent)
 
 
 def _by_task(compare: Callable[[list], Iterator[tuple]], *columns: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -354,14 +356,15 @@ def _by_task(compare: Callable[[list], Iterator[tuple]], *columns: str) -> Calla
     return run
 
 
-def _candidates(rows: list, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(rows: list, label: np.ndarray, percent: int, meets: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(place, later places whose bit counts allow a link); ``label`` tells components apart and may change on the way."""
-    n, k, block = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own", "block"))
-    guest, inner = (np.array([getattr(r, c) for r in rows], bool) for c in ("guest", "inner"))
-    sig = np.frombuffer(b"".join(r.sig for r in rows), np.uint64).reshape(len(rows), -1)
+    n, k = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own"))
+    sig = alike([r.sig for r in rows])
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
-        j = j[(label[j] != label[i]) & ~(guest[j] & guest[i]) & (inner[i] | (block[j] != block[i]))]
+        j = j[label[j] != label[i]]
+        if meets is not None:
+            j = j[meets(i, j)]
         if len(j):
             j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
         if len(j):
@@ -372,15 +375,20 @@ def _labels(rows: list) -> np.ndarray:
     return np.unique([r.component for r in rows], return_inverse=True)[1]
 
 
-def _near(rows: list, percent: int) -> list[tuple]:
-    """The rows that have a partner by their bit counts."""
+def _near(rows: list, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(group, doc_id, component) of the rows that have a partner by their bit counts."""
     if len(rows) == 1:
-        return []
-    near = np.zeros(len(rows), bool)
-    for i, j in _candidates(rows, _labels(rows), percent):
-        near[i] = True
-        near[j] = True
-    return [(r.task, r.doc_id, r.guest, r.component, r.block, r.inner) for r, x in zip(rows, near, strict=True) if x]
+        return
+    block, guest, inner = np.array([r.block for r in rows]), np.array([r.guest for r in rows], bool), rows[0].inner
+    group = np.arange(len(rows))
+    for i, j in _candidates(rows, _labels(rows), percent, lambda i, j: ~(guest[j] & guest[i]) & (inner | (block[j] != block[i]))):
+        group[np.isin(group, group[j])] = group[i]
+    order = np.argsort(group, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(own) > 1:
+            ids = np.array([rows[x].doc_id for x in own.tolist()], "<i8")
+            name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield from ((name, rows[x].doc_id, rows[x].component) for x in own.tolist())
 
 
 def _join(rows: list, percent: int) -> Iterator[tuple[int, int]]:
@@ -423,7 +431,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         rows, pairs = open_.agg(F.count("*"), F.sum(F.col("pairs") / F.col("size"))).first()
         if not rows:
             break
-        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs < asked):
+        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs <= asked):
             new = staged(tile_links(open_, candidates, percent), "jaccard-links")
         else:
             drawn = staged(star_pairs(open_), "jaccard-pairs")
