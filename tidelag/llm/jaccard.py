@@ -79,9 +79,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def signature(keys: np.ndarray) -> np.ndarray:
     """A bitmap in which each key flips one bit; unequal bits never outnumber unequal keys.
 
-    It has at least two bits for each key, a power of two, so that long documents are told apart too.
+    It has at least four bits for each key, a power of two, so that long documents are told apart too.
     """
-    bits = max(SIGNATURE_BITS, 1 << (2 * len(keys) - 1).bit_length())
+    bits = max(SIGNATURE_BITS, 1 << (4 * len(keys) - 1).bit_length())
     flips = np.bincount((mix64(keys) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
@@ -92,6 +92,17 @@ def alike(signatures: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, shortest), axis=0) for s in signatures])
 
 
+def folded(signatures: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(length of each signature; by length, a table of the signatures that long or longer, folded to it)."""
+    lengths = np.array(list(map(len, signatures)))
+    tables = {}
+    for length in np.unique(lengths).tolist():
+        longer = np.flatnonzero(lengths >= length)
+        tables[length] = np.zeros((len(signatures), length // 8), np.uint64)
+        tables[length][longer] = alike([signatures[x] for x in longer.tolist()])
+    return lengths, tables
+
+
 def may_link(n1, n2, own1, own2, sig1, sig2, percent: int = PERCENT):
     """Whether the overlap can be large enough: of ``own`` keys that others have too, so many differ at least."""
     differ = np.bitwise_count(sig1 ^ sig2).sum(axis=-1).astype(np.int64)
@@ -359,14 +370,17 @@ def _by_task(compare: Callable[[list], Iterator[tuple]], *columns: str) -> Calla
 def _candidates(rows: list, label: np.ndarray, percent: int, meets: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(place, later places whose bit counts allow a link); ``label`` tells components apart and may change on the way."""
     n, k = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own"))
-    sig = alike([r.sig for r in rows])
+    lengths, tables = folded([r.sig for r in rows])
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
         j = j[label[j] != label[i]]
         if meets is not None:
             j = j[meets(i, j)]
-        if len(j):
-            j = j[may_link(n[i], n[j], k[i], k[j], sig[i], sig[j], percent)]
+        near = np.zeros(len(j), bool)
+        for length in np.unique(shorter := np.minimum(lengths[i], lengths[j])).tolist():
+            own = j[at := shorter == length]
+            near[at] = may_link(n[i], n[own], k[i], k[own], tables[length][i], tables[length][own], percent)
+        j = j[near]
         if len(j):
             yield i, j
 
