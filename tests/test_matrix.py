@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tidelag.operators import matrix, spectral
+from tidelag.operators import lanczos, matrix, spectral
 
 
 def test_cells_without_scores_vanish(spark):
@@ -39,18 +39,140 @@ def skew(spark):
 def test_spectrum(spark, skew):
     values = [r.eigval for r in spectral.eigenvalues(skew).orderBy("rank").collect()]
     assert values == pytest.approx([5**0.5, 0.0, -(5**0.5)], abs=1e-12)
-    assert spectral.largest(spectral.dense(skew)[1]) == pytest.approx(5**0.5)
+    assert spectral.largest(skew) == pytest.approx(5**0.5)
     assert spectral.eigenvectors(skew, 2).count() == 6 and spectral.embedding(skew).count() == 3
 
 
+def random_skew(n, cells, seed=0):
+    """(r, c, value) above the diagonal, and the dense matrix."""
+    rng = np.random.default_rng(seed)
+    r, c = np.triu_indices(n, 1)
+    at = np.sort(rng.choice(len(r), min(cells, len(r)), replace=False))
+    r, c, value = r[at], c[at], rng.standard_normal(len(at))
+    dense = np.zeros((n, n))
+    dense[r, c], dense[c, r] = value, -value
+    return r, c, value, dense
+
+
+@pytest.mark.parametrize(("n", "cells", "k", "block"), [(150, 3000, 50, 8), (150, 11175, 10, 8), (300, 900, 1, 1), (5, 10, 5, 8), (40, 30, 40, 8), (200, 150, 120, 8), (12, 0, 3, 8)])
+def test_leading_pairs_equal_dense_ones(n, cells, k, block):
+    r, c, value, dense = random_skew(n, cells)
+    space = lanczos.Held(r, c, value, n)
+    found, u = lanczos.leading(space, n, k, block)
+    v = space.q @ u
+    assert np.allclose(found, np.linalg.eigvalsh(1j * dense)[::-1][:k], atol=1e-8)
+    assert np.abs(1j * dense @ v - v * found).max() < 1e-7 and np.allclose(v.conj().T @ v, np.eye(k), atol=1e-8)
+
+
+def test_repeated_eigenvalues_are_all_found():
+    value = np.r_[np.full(20, 3.0), np.ones(5)]
+    r = 2 * np.arange(25)
+    found, _ = lanczos.leading(lanczos.Held(r, r + 1, value, 80), 80, 30, 8)
+    assert np.allclose(found, [3.0] * 20 + [1.0] * 5 + [0.0] * 5, atol=1e-8)
+
+
+def as_matrix(spark, r, c, value):
+    name = lambda x: f"n{x:05d}"
+    rows = [x for i, j, v in zip(r.tolist(), c.tolist(), value.tolist(), strict=True) for x in ((name(i), name(j), v), (name(j), name(i), -v))]
+    return spark.createDataFrame(rows, "i string, j string, value double")
+
+
+def test_tables_and_one_task_agree(spark):
+    r, c, value, dense = random_skew(40, 300, 3)
+    held = spectral.Skew(as_matrix(spark, r, c, value))
+    wanted = np.linalg.eigvalsh(1j * dense)[::-1]
+    for spread in (False, True):
+        listed, vectors = spectral.pairs(held, 3, spread=spread)
+        assert [x.eigval for x in listed.orderBy("k").collect()] == pytest.approx(wanted[:3], abs=1e-8)
+        v = np.zeros((40, 3), complex)
+        for x in vectors.collect():
+            v[x["at"], x.k - 1] = complex(x.re, x.im)
+        assert np.abs(1j * dense @ v - v * wanted[:3]).max() < 1e-6 and np.allclose(v.conj().T @ v, np.eye(3), atol=1e-8)
+
+
+def test_many_nodes_need_no_dense_matrix(spark):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    cells = {(min(x), max(x)) for x in rng.integers(0, n, (30_000, 2)).tolist() if x[0] != x[1]} | {(k, k + 1) for k in range(n - 1)}
+    r, c = np.array(sorted(cells)).T
+    value = np.r_[50.0, 40.0, rng.standard_normal(len(r) - 2)]
+    held = spectral.Skew(as_matrix(spark, r, c, value))
+    assert held.n == n
+    first = spectral.largest(held)
+    listed, vectors = spectral.pairs(held, 2)
+    assert [x.eigval for x in listed.orderBy("k").collect()][0] == pytest.approx(first, abs=1e-6)
+    v = np.zeros(n, complex)
+    for x in vectors.where("k = 1").collect():
+        v[x["at"]] = complex(x.re, x.im)
+    image = np.zeros(n, complex)
+    np.add.at(image, r, 1j * value * v[c])
+    np.add.at(image, c, -1j * value * v[r])
+    assert np.abs(image - first * v).max() < 1e-5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 45, 100, 1000, 4950])
+def test_moved_is_a_permutation(n):
+    for perm_id in range(3):
+        assert sorted(spectral.moved(np.arange(n), n, 7, perm_id).tolist()) == list(range(n))
+    assert n < 10 or spectral.moved(np.arange(n), n, 7, 0).tolist() != spectral.moved(np.arange(n), n, 7, 1).tolist()
+
+
+def test_places_above_the_diagonal():
+    for n in (2, 3, 7, 50):
+        r, c = np.triu_indices(n, 1)
+        assert spectral.place_of(r, c, n).tolist() == list(range(len(r)))
+        assert [x.tolist() for x in spectral.cell_of(np.arange(len(r)), n)] == [r.tolist(), c.tolist()]
+    n = 1_000_000_000
+    for place in (0, n - 2, n - 1, n * (n - 1) // 2 - 1, 123_456_789_012_345_678):
+        r, c = spectral.cell_of(np.array([place]), n)
+        assert 0 <= r[0] < c[0] < n and spectral.place_of(r, c, n)[0] == place
+
+
+def test_places_move_evenly():
+    """Each of 12 places is equally likely to be sent to each, over 2,000 permutations."""
+    counts = np.zeros((12, 12))
+    for b in range(2000):
+        counts[np.arange(12), spectral.moved(np.arange(12), 12, 1, b)] += 1
+    assert ((counts - 2000 / 12) ** 2 / (2000 / 12)).sum() < 200  # 121 degrees of freedom: mean 121, deviation 15.6
+
+
+def test_null_agrees_with_dense_permutations(spark):
+    r, c, value, dense = random_skew(20, 60, 5)
+    held = spectral.Skew(as_matrix(spark, r, c, value))
+    ours = np.array([x.null_maxeig for x in spectral.permutation_null(held, 400, 1).collect()])
+    rng, upper = np.random.default_rng(2), np.triu_indices(held.n, 1)
+    theirs = []
+    for _ in range(400):
+        s = np.zeros((held.n, held.n))
+        s[upper] = rng.permutation(np.r_[value, np.zeros(len(upper[0]) - len(value))])
+        theirs.append(np.linalg.eigvalsh(1j * (s - s.T))[-1])
+    both = np.sort(np.r_[ours, theirs])
+    apart = np.abs(np.searchsorted(np.sort(ours), both, side="right") - np.searchsorted(np.sort(theirs), both, side="right")).max() / 400
+    assert apart < 0.12  # two-sample Kolmogorov-Smirnov: 0.096 at 5 %, 0.137 at 0.1 %
+
+
 def test_permutations(spark, skew):
-    s = spectral.dense(skew)[1]
-    shuffled = spectral.permuted(s, np.random.default_rng(0))
-    assert np.allclose(shuffled, -shuffled.T)
-    assert sorted(np.abs(shuffled[np.triu_indices(3, 1)])) == sorted(np.abs(s[np.triu_indices(3, 1)]))
-    one = spectral.permutation_null(spark, s, 20, 1).orderBy("perm_id").collect()
-    assert one == spectral.permutation_null(spark, s, 20, 1).orderBy("perm_id").collect()
-    assert spectral.permutation_null(spark, s, 5, 1, "sequential").count() == 5
+    one = spectral.permutation_null(skew, 20, 1).orderBy("perm_id").collect()
+    assert one == spectral.permutation_null(skew, 20, 1).orderBy("perm_id").collect()
+    assert spectral.permutation_null(skew, 5, 1, "sequential").count() == 5
+    held = spectral.Skew(skew)
+    moved = spectral.permuted_cells(held, 1, 3).collect()
+    assert sorted(abs(x.value) for x in moved) == [1.0, 2.0] and all(0 <= x.r < x.c < 3 for x in moved)
     null = spark.createDataFrame([(float(k < 73),) for k in range(1000)], "null_maxeig double")
     assert spectral.permutation_p(null, 1.0).first().p_value == pytest.approx(0.0739261, abs=1e-7)
     assert sum(r.n for r in spectral.histogram(null).collect()) == 1000
+
+
+def test_centrality(spark, skew):
+    got = {x.node: x.centrality for x in spectral.centrality(skew).collect()}
+    a = np.array([[1, 2, 0], [2, 1, 1], [0, 1, 1.0]])
+    wanted = np.abs(np.linalg.eigh(a)[1][:, -1])
+    assert [got[k] for k in "123"] == pytest.approx(wanted, abs=1e-6)
+
+
+def test_spectrum_of_nothing(spark, skew):
+    none = skew.limit(0)
+    assert spectral.largest(none) == 0.0 and spectral.eigenvalues(none).count() == spectral.eigenvectors(none).count() == spectral.eigenvalues(none, 3).count() == 0
+    flat = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0)], "i string, j string, value double")
+    assert [x.eigval for x in spectral.eigenvalues(flat).collect()] == [0.0, 0.0]
+    assert spectral.eigenvectors(flat, 2).count() == 4 and spectral.permutation_null(flat, 2).first().null_maxeig == 0.0

@@ -71,10 +71,10 @@ def run_spectrum(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.embed:
         writers.write_table(spectral.embedding(s, seed=a.seed), f"{a.out}/embedding")
     if a.permtest:
-        dense = spectral.dense(s)[1]
-        writers.write_table(spectral.permutation_null(spark, dense, a.n_perm, a.seed), f"{a.out}/null")
+        cells = spectral.Skew(s)
+        writers.write_table(spectral.permutation_null(cells, a.n_perm, a.seed), f"{a.out}/null")
         null = spark.read.parquet(f"{a.out}/null")
-        writers.write_table(spectral.permutation_p(null, spectral.largest(dense)), f"{a.out}/permutation")
+        writers.write_table(spectral.permutation_p(null, spectral.largest(cells)), f"{a.out}/permutation")
         writers.write_table(spectral.histogram(null), f"{a.out}/histogram")
 
 

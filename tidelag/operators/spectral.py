@@ -1,7 +1,9 @@
 """Spectrum of i times a skew matrix, and a permutation test of its largest eigenvalue.
 
-The matrix is square in the number of firms of a market, and is dense work by nature: it is
-gathered only below ``MOST_NODES``. Permutations are spread over tasks.
+Matrices stay in coordinate form. Leading eigenpairs come from block Lanczos, in one task for a
+matrix of a counted, bounded size and over tables beyond it. Permutations move only the values
+that are not 0, by a keyed bijection on the places above the diagonal; each is one small task.
+Only the whole spectrum is dense work; it is refused for more than ``MOST_NODES`` nodes.
 """
 
 from __future__ import annotations
@@ -13,76 +15,202 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelag.operators.lanczos import Held, Spread, leading, long_form
 from tidelag.operators.matrix import nodes
 from tidelag.sources.shared import staged
 
+#: Nodes of a whole spectrum.
 MOST_NODES = 4000
+#: Cells above the diagonal (of 24 bytes) and numbers of vectors (of 8) of a matrix that one task holds.
+TASK_CELLS, TASK_NUMBERS = 2_000_000, 20_000_000
 BINS = 40
 SAMPLE = 2000
+#: Rounds of the bijection on places, and its least bits on each side.
+ROUNDS, LEAST_BITS = 8, 3
+BLOCK = 8
+
+
+class Skew:
+    """A skew matrix as tables: ``names`` (node, at) in the order of nodes, ``cells`` (r, c, value) with r < c, none 0."""
+
+    def __init__(self, matrix: DataFrame):
+        spark = matrix.sparkSession
+        matrix = staged(matrix.select("i", "j", "value"), "matrix")
+        ordered = nodes(matrix).orderBy("node").rdd.zipWithIndex().map(lambda x: (x[0].node, x[1]))
+        self.names = staged(spark.createDataFrame(ordered, "node string, at long"), "matrix-names")
+        side = lambda old, new: self.names.select(F.col("node").alias(old), F.col("at").alias(new))
+        placed = matrix.where("value <> 0").join(side("i", "r"), "i").join(side("j", "c"), "j").where("r < c")
+        self.cells = staged(placed.select("r", "c", "value"), "matrix-cells")
+        self.n, self.count = self.names.count(), self.cells.count()
+        self.spark = spark
+
+    def fits(self, vectors: int) -> bool:
+        """Whether one task may hold the cells and so many vectors."""
+        return self.count <= TASK_CELLS and self.n * vectors <= TASK_NUMBERS
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells, at most ``TASK_CELLS`` of them, in the order of their places."""
+        if self.count > TASK_CELLS:
+            raise ValueError(f"more than {TASK_CELLS} cells are not gathered")
+        cells = self.cells.toPandas().sort_values(["r", "c"])
+        return cells.r.to_numpy(np.int64), cells.c.to_numpy(np.int64), cells.value.to_numpy(np.float64)
+
+    def in_task(self, run, schema: str) -> DataFrame:
+        """Rows that ``run`` makes of all cells in one task; only where they fit."""
+        return self.cells.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda cells: run(*(cells.sort_values(["r", "c"])[c].to_numpy() for c in ("r", "c", "value"))), schema)
+
+
+def pairs(s: Skew, top_k: int, seed: int = 0, spread: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """((k, eigval), (at, k, re, im)) of the first ``top_k``, by tables if they do not fit a task or ``spread`` is set."""
+    n, k = s.n, min(top_k, s.n)
+    vectors = n if 2 * k > n else max(60, 2 * (k + BLOCK) + 6 * BLOCK)
+    if (spread if spread is not None else not s.fits(2 * vectors)):
+        space = Spread(s.cells, s.names.select("at"), seed)
+        values, u = leading(space, n, k, BLOCK)
+        listed = s.spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "k int, eigval double")
+        return listed, space.vectors(u)
+    if not s.count:
+        none = s.names.select("at", F.explode(F.sequence(F.lit(1), F.lit(max(1, k)))).alias("k")).select("at", "k", (F.col("at") == F.col("k") - 1).cast("double").alias("re"), F.lit(0.0).alias("im"))
+        return none.select("k", F.lit(0.0).alias("eigval")).distinct(), none
+
+    def run(r: np.ndarray, c: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        space = Held(r, c, value, n, seed)
+        values, u = leading(space, n, k, BLOCK)
+        return pd.concat([pd.DataFrame({"at": -1, "k": np.arange(1, k + 1, dtype=np.int32), "re": values, "im": 0.0}), long_form(np.arange(n), space.q @ u)])
+
+    found = staged(s.in_task(run, "at long, k int, re double, im double"), "eigenpairs")
+    return found.where("at < 0").select("k", F.col("re").alias("eigval")), found.where("at >= 0")
+
+
+def largest(matrix: DataFrame | Skew, seed: int = 0) -> float:
+    """The largest eigenvalue of i*S; 0 for a matrix without cells."""
+    s = matrix if isinstance(matrix, Skew) else Skew(matrix)
+    return largest_of(*s.arrays(), s.n, seed) if s.fits(120) else float(pairs(s, 1, seed)[0].first().eigval)
+
+
+def largest_of(r: np.ndarray, c: np.ndarray, value: np.ndarray, n: int, seed: int = 0) -> float:
+    return max(0.0, float(leading(Held(r, c, value, n, seed), n, 1, 1, every=8)[0][0])) if len(value) else 0.0
+
+
+def eigenvalues(matrix: DataFrame, top_k: int | None = None, spread: bool | None = None) -> DataFrame:
+    """(rank, eigval), from 1 in descending order: the first ``top_k``, or all of at most ``MOST_NODES``."""
+    s = Skew(matrix)
+    if top_k is not None:
+        return pairs(s, top_k, spread=spread)[0].select(F.col("k").alias("rank"), "eigval") if s.n else s.spark.createDataFrame([], "rank int, eigval double")
+    if (n := s.n) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes: ask for the first eigenvalues by top_k")
+    if not s.count:
+        return s.names.select((F.col("at") + 1).cast("int").alias("rank"), F.lit(0.0).alias("eigval"))
+
+    def run(r: np.ndarray, c: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        dense = np.zeros((n, n), complex)
+        dense[r, c], dense[c, r] = 1j * value, -1j * value
+        return pd.DataFrame({"rank": np.arange(1, n + 1, dtype=np.int32), "eigval": np.linalg.eigvalsh(dense)[::-1]})
+
+    return s.in_task(run, "rank int, eigval double")
+
+
+def eigenvectors(matrix: DataFrame, top_k: int = 50, spread: bool | None = None) -> DataFrame:
+    """(node, k, re, im) of the first ``top_k`` eigenvectors; their phase is arbitrary."""
+    s = Skew(matrix)
+    if not s.n:
+        return s.names.select("node", F.lit(0).alias("k"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    return pairs(s, top_k, spread=spread)[1].join(s.names, "at").select("node", "k", "re", "im")
 
 
-def dense(matrix: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Sorted nodes and the dense matrix; an error beyond ``MOST_NODES``."""
-    matrix = staged(matrix.select("i", "j", "value"), "matrix")
-    names = sorted(r.node for r in nodes(matrix).limit(MOST_NODES + 1).collect())
-    if len(names) > MOST_NODES:
-        raise ValueError(f"more than {MOST_NODES} nodes: dense eigenvalues are not for this size")
-    cells, place = matrix.toPandas(), pd.Series(range(len(names)), index=names, dtype="int64")
-    out = np.zeros((len(names), len(names)))
-    out[place[cells.i].to_numpy(), place[cells.j].to_numpy()] = cells.value
-    return names, out
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def largest(skew: np.ndarray) -> float:
-    """The largest eigenvalue of i*S: the root of the largest one of the symmetric S transposed times S."""
-    return float(np.sqrt(max(0.0, np.linalg.eigvalsh(skew.T @ skew)[-1]))) if skew.size else 0.0
+def moved(places: np.ndarray, n_places: int, seed: int, perm_id: int) -> np.ndarray:
+    """Where a permutation of 0..n_places-1, named by (seed, perm_id), sends these places.
 
+    A Feistel network permutes the numbers of an even number of bits; who lands beyond the last
+    place is sent on until it lands inside, which keeps it a permutation and lists nothing.
+    """
+    half = np.uint64(max(LEAST_BITS, -(-max(1, n_places - 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.SeedSequence((seed, perm_id)).generate_state(ROUNDS, np.uint64)
+    out, open_ = places.astype(np.uint64), np.arange(len(places))
+    while len(open_):
+        left, right = out[open_] >> half, out[open_] & mask
+        for key in keys:
+            left, right = right, left ^ (mixed(right + key) & mask)
+        out[open_] = left << half | right
+        open_ = open_[out[open_] >= n_places]
+    return out.astype(np.int64)
 
-def spectrum(skew: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues of i*S in descending order, with eigenvectors as columns."""
-    values, vectors = np.linalg.eigh(1j * skew)
-    return values[::-1], vectors[:, ::-1]
 
+def place_of(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Number of a place above the diagonal, row by row from 0."""
+    return r * n - r * (r + 1) // 2 + c - r - 1
 
-def eigenvalues(matrix: DataFrame) -> DataFrame:
-    """(rank, eigval), from 1."""
-    values = spectrum(dense(matrix)[1])[0]
-    return matrix.sparkSession.createDataFrame([(k + 1, float(v)) for k, v in enumerate(values)], "rank int, eigval double")
 
+def cell_of(place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.clip(((2 * n - 1 - np.sqrt(np.maximum(0.0, (2.0 * n - 1) ** 2 - 8.0 * place))) / 2).astype(np.int64), 0, max(0, n - 2))
+    r -= place < place_of(r, r + 1, n)  # rounding moves it by one at most
+    r += place >= place_of(r + 1, r + 2, n)
+    return r, place - place_of(r, r + 1, n) + r + 1
 
-def eigenvectors(matrix: DataFrame, top_k: int = 50) -> DataFrame:
-    """(node, k, re, im) of the first ``top_k`` eigenvectors; their phase is arbitrary."""
-    names, s = dense(matrix)
-    vectors = spectrum(s)[1][:, :top_k]
-    rows = [(n, k + 1, float(v.real), float(v.imag)) for n, row in zip(names, vectors, strict=True) for k, v in enumerate(row)]
-    return matrix.sparkSession.createDataFrame(rows, "node string, k int, re double, im double")
 
+def permuted(r: np.ndarray, c: np.ndarray, value: np.ndarray, n: int, seed: int, perm_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values above the diagonal, zeros included, in random places: only those that are not 0 are named."""
+    return *cell_of(moved(place_of(r, c, n), n * (n - 1) // 2, seed, perm_id), n), value
 
-def permuted(skew: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The values above the diagonal, zeros included, in random places."""
-    upper = np.triu_indices(len(skew), 1)
-    values = rng.permutation(skew[upper])
-    out = np.zeros_like(skew)
-    out[upper] = values
-    return out - out.T
 
+def permuted_cells(s: Skew, seed: int, perm_id: int) -> DataFrame:
+    """The same for cells in a table."""
+    n = s.n
 
-def permutation_null(spark: SparkSession, s: np.ndarray, n_perm: int = 500, seed: int = 0, rng: str = "per_perm") -> DataFrame:
-    """(perm_id, null_maxeig). ``per_perm`` seeds each permutation by (seed, id) and spreads them
-    over tasks; ``sequential`` draws all from one stream on the driver."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            r, c, value = permuted(*(batch[x].to_numpy() for x in ("r", "c", "value")), n, seed, perm_id)
+            yield pd.DataFrame({"r": r, "c": c, "value": value})
+
+    return s.cells.mapInPandas(run, "r long, c long, value double")
+
+
+def drawn_from_one_stream(s: Skew, n_perm: int, seed: int) -> list[float]:
+    """All permutations from one generator over all places, one after another: for at most ``MOST_NODES`` nodes."""
+    if s.n > MOST_NODES:
+        raise ValueError(f"one stream lists all places, for at most {MOST_NODES} nodes")
+    r, c, value = s.arrays()
+    stream, places = np.random.default_rng(seed), np.zeros(s.n * (s.n - 1) // 2)
+    places[place_of(r, c, s.n)] = value
+    found = []
+    for _ in range(n_perm):
+        at = np.flatnonzero(drawn := stream.permutation(places))
+        found.append(largest_of(*cell_of(at, s.n), drawn[at], s.n))
+    return found
+
+
+def permutation_null(matrix: DataFrame | Skew, n_perm: int = 500, seed: int = 0, rng: str = "per_perm") -> DataFrame:
+    """(perm_id, null_maxeig). ``per_perm`` names each permutation by (seed, id); those of a matrix
+    that fits a task are spread over tasks, others are done one after another over tables.
+    ``sequential`` draws all from one stream on the driver."""
+    s = matrix if isinstance(matrix, Skew) else Skew(matrix)
+    spark, n, schema = s.spark, s.n, "perm_id long, null_maxeig double"
     if rng == "sequential":
-        stream = np.random.default_rng(seed)
-        return spark.createDataFrame([(b, largest(permuted(s, stream))) for b in range(n_perm)], "perm_id long, null_maxeig double")
+        return spark.createDataFrame(list(enumerate(drawn_from_one_stream(s, n_perm, seed))), schema)
     if rng != "per_perm":
         raise ValueError("rng must be per_perm or sequential")
-    shared = spark.sparkContext.broadcast(s)  # at most MOST_NODES squared numbers
+    if not s.fits(120):
+        found = []
+        for b in range(n_perm):
+            values, _ = leading(Spread(permuted_cells(s, seed, b), s.names.select("at")), n, 1, 2)
+            found.append((b, max(0.0, float(values[0]))))
+        return spark.createDataFrame(found, schema)
+    shared = spark.sparkContext.broadcast(s.arrays())  # at most TASK_CELLS of 24 bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [largest(permuted(shared.value, np.random.default_rng((seed, int(b))))) for b in batch.perm_id]
+            found = [largest_of(*permuted(*shared.value, n, seed, int(b)), n) for b in batch.perm_id]
             yield pd.DataFrame({"perm_id": batch.perm_id, "null_maxeig": found})
 
-    return spark.range(0, n_perm, numPartitions=max(1, min(n_perm, spark.sparkContext.defaultParallelism * 4))).withColumnRenamed("id", "perm_id").mapInPandas(run, "perm_id long, null_maxeig double")
+    return spark.range(0, n_perm, numPartitions=max(1, min(n_perm, spark.sparkContext.defaultParallelism * 4))).withColumnRenamed("id", "perm_id").mapInPandas(run, schema)
 
 
 def permutation_p(null: DataFrame, observed: float) -> DataFrame:
@@ -105,14 +233,16 @@ def embedding(matrix: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFra
 
 
 def centrality(matrix: DataFrame, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """(node, centrality): an extension; power iteration on absolute weights, of length 1."""
-    names, s = dense(matrix)
-    a = np.abs(s) + np.eye(len(names))
-    v = np.full(len(names), 1 / np.sqrt(max(1, len(names))))
+    """(node, centrality): an extension; power iteration on absolute weights, of length 1, a pass over the cells each round."""
+    cells = staged(matrix.select("i", "j", F.abs("value").alias("value")), "centrality-cells")
+    held = staged(nodes(cells).select("node", F.lit(1.0).alias("x")), "centrality")
     for _ in range(rounds):
-        w = a.T @ v
-        w /= np.linalg.norm(w)
-        if np.abs(w - v).max() < tolerance:
+        moved_on = cells.join(held.withColumnRenamed("node", "i"), "i").select(F.col("j").alias("node"), (F.col("value") * F.col("x")).alias("x"))
+        new = staged(moved_on.union(held).groupBy("node").agg(F.sum("x").alias("x")), "centrality")
+        length = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        new = new.withColumn("x", F.col("x") / length)
+        change = new.join(held.withColumnRenamed("x", "old"), "node").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
+        held = new
+        if change is None or change < tolerance:
             break
-        v = w
-    return matrix.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(names, v, strict=True)], "node string, centrality double")
+    return held.select("node", F.col("x").alias("centrality"))

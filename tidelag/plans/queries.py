@@ -611,14 +611,41 @@ def eigenvalues(spark, sf_dir):
     return spectral.eigenvalues(skewed(spark, sf_dir))
 
 
+@query(using("""select count(distinct a.i) as n, floor(log10(sum(a.value * a.value)) * 1000000.0 + 0.5) / 1000000.0 as log_squares,
+floor(log10((select sum(v * v) from (select x.i, y.j, sum(x.value * y.value) as v from v_s x join v_s y on x.j = y.i group by 1, 2))) * 1000000.0 + 0.5) / 1000000.0 as log_fourths from v_s a""", *MATRIX, SCORED, C, S))
+def spectrum_moments(spark, sf_dir):
+    """Sums of the squares and fourth powers of all eigenvalues, which are those of the cells of S and of S squared."""
+    found = spectral.eigenvalues(skewed(spark, sf_dir))
+    sums = found.agg(F.count("*").alias("n"), F.log10(F.sum(F.pow("eigval", F.lit(2)))).alias("log_squares"), F.log10(F.sum(F.pow("eigval", F.lit(4)))).alias("log_fourths"))
+    return rounded(sums, "log_squares", "log_fourths")
+
+
 @query()
 def eigenvectors_topk(spark, sf_dir):
-    return spectral.eigenvectors(skewed(spark, sf_dir), 10)
+    return spectral.eigenvectors(skewed(spark, sf_dir))
+
+
+@query(using("select k, cast(1.0 as double) as length, cast(0.0 as double) as residual from (select cast(unnest(range(1, 1 + least(10, count(distinct i)))) as int) as k from v_s)", *MATRIX, SCORED, C, S))
+def leading_eigenpairs(spark, sf_dir):
+    """Length and residual of the first ten eigenvectors, from S as a table: i S v - eigval v."""
+    s = matrix.skew(matrix.score_matrix(scores(spark, sf_dir)))
+    v = spectral.eigenvectors(s, 10).join(spectral.eigenvalues(s, 10).withColumnRenamed("rank", "k"), "k")
+    image = s.join(v.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node"), "k").agg(F.sum(-F.col("value") * F.col("im")).alias("x"), F.sum(F.col("value") * F.col("re")).alias("y"))
+    away = F.sum(F.pow(F.coalesce("x", F.lit(0.0)) - F.col("eigval") * F.col("re"), F.lit(2)) + F.pow(F.coalesce("y", F.lit(0.0)) - F.col("eigval") * F.col("im"), F.lit(2)))
+    checked = v.join(image, ["node", "k"], "left").groupBy("k").agg(F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("length"), F.sqrt(away).alias("residual"))
+    return rounded(checked, "length", "residual")
+
+
+@query(using("select count(*) as places, floor(log10(sum(value * value)) * 1000000.0 + 0.5) / 1000000.0 as log_squares from v_s where i < j and value <> 0", *MATRIX, SCORED, C, S))
+def permuted_matrix(spark, sf_dir):
+    """Distinct places above the diagonal, and squares, of one permutation as a table: as many as before it."""
+    cells = spectral.permuted_cells(spectral.Skew(skewed(spark, sf_dir)), SEED, 1)
+    return rounded(cells.where("r < c").agg(F.count_distinct("r", "c").alias("places"), F.log10(F.sum(F.col("value") * F.col("value"))).alias("log_squares")), "log_squares")
 
 
 def null_of(spark: SparkSession, sf_dir: str) -> tuple[float, DataFrame]:
-    s = spectral.dense(skewed(spark, sf_dir))[1]
-    return spectral.largest(s), spectral.permutation_null(spark, s, PERMUTATIONS, SEED)
+    s = spectral.Skew(skewed(spark, sf_dir))
+    return spectral.largest(s), spectral.permutation_null(s, PERMUTATIONS, SEED)
 
 
 @query()
