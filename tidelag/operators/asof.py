@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.operators.dedupe import keep_last
+from tidelag.sources.shared import staged
 
 PAIR = ["customer_gvkey", "supplier_gvkey"]
+#: Returns are kept by source in blocks of two to this power of days.
+BLOCK_BITS = 5
 
 
 def intervals(edges: DataFrame) -> DataFrame:
@@ -16,21 +18,27 @@ def intervals(edges: DataFrame) -> DataFrame:
     Of several weights of one date the last by ``ord`` counts, the largest where rows have no
     order; the last weight has no end.
     """
-    once = keep_last(edges, [*PAIR, "date"], "ord" if "ord" in edges.columns else "weight_wji")
-    following = F.lead("date").over(Window.partitionBy(*PAIR).orderBy("date"))
-    return once.select(*PAIR, "weight_wji", F.col("date").alias("lo"), following.alias("hi"))
+    order = "ord" if "ord" in edges.columns else "weight_wji"
+    following = F.lead("date").over(Window.partitionBy(*PAIR).orderBy("date", order))
+    rows = edges.select(*PAIR, "weight_wji", F.col("date").alias("lo"), following.alias("hi"))
+    return rows.where("hi is null or hi <> lo")  # the last row of a date is followed by another date
 
 
 def signal(returns: DataFrame, edges: DataFrame, entity: str, source: str, name: str) -> DataFrame:
     """(entity, date, name): sum of weight times the source's return of the day.
 
-    Weights of sources with returns are put on the days that they hold, then meet the returns by
-    source and day: no firm's history is one key, and no interval meets a day outside it.
+    Returns lie in blocks of days by source, and an interval asks for the blocks that it touches:
+    no firm's history is one key, and what is shuffled is one row for each block, not each day.
     """
-    days = returns.select(F.col("gvkey").alias(source), "date", "r")
-    known = edges.join(days.select(source).distinct(), source, "left_semi")
-    held = weights_on(known, returns.select("date").distinct()).join(days, [source, "date"])
-    return held.groupBy(entity, "date").agg(F.coalesce(F.sum(F.col("weight_wji") * F.col("r")), F.lit(0.0)).alias(name))
+    known = edges.join(returns.select(F.col("gvkey").alias(source)).distinct(), source, "left_semi")
+    held, index = places(known, returns.select("date").distinct())
+    days = index.where("open").select("day", "date")
+    by_block = returns.join(days, "date").groupBy(F.col("gvkey").alias(source), F.shiftright("day", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("day", "r")).alias("days"))
+    asked = held.withColumn("block", F.explode(F.sequence(F.shiftright("first", BLOCK_BITS), F.shiftright(F.col("end") - 1, BLOCK_BITS))))
+    inside = F.filter("days", lambda d: (d["day"] >= F.col("first")) & (d["day"] < F.col("end")))
+    met = asked.join(by_block, [source, "block"]).select(entity, "weight_wji", F.inline(inside))
+    sums = met.groupBy(entity, "day").agg(F.coalesce(F.sum(F.col("weight_wji") * F.col("r")), F.lit(0.0)).alias(name))
+    return sums.join(days, "day").select(entity, "date", name)
 
 
 def calendar(returns: DataFrame) -> DataFrame:
@@ -39,12 +47,31 @@ def calendar(returns: DataFrame) -> DataFrame:
     return dates.withColumn("t_idx", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
 
 
-def weights_on(edges: DataFrame, dates: DataFrame) -> DataFrame:
-    """(pair, date, weight_wji) on every calendar date from a weight's date on.
+def day_index(dates: DataFrame, more: DataFrame) -> DataFrame:
+    """(date, day, open): for each date of both tables the number of calendar dates before it, and
+    whether it is one itself. Days, thousands at most whatever the number of rows, so that one window may hold them.
+    """
+    both = dates.select("date", F.lit(1).alias("n")).union(more.select("date", F.lit(0))).groupBy("date").agg(F.max("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    return both.select("date", F.coalesce(before, F.lit(0)).cast("int").alias("day"), (F.col("n") == 1).alias("open"))
+
+
+def places(edges: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((pair, weight_wji, first, end), day index): intervals by the numbers of their calendar days.
 
-    The calendar is one array, thousands of days at most whatever the number of pairs.
+    The ends of an interval look up their place; an interval without a day goes.
     """
-    days = dates.agg(F.sort_array(F.collect_set("date")).alias("days"))
-    spread = intervals(edges).join(F.broadcast(days))
-    inside = F.filter("days", lambda d: (d >= F.col("lo")) & (F.col("hi").isNull() | (d < F.col("hi"))))
-    return spread.select(*PAIR, F.explode(inside).alias("date"), "weight_wji")
+    held = staged(intervals(edges.where("date is not null")), "intervals")
+    index = staged(day_index(dates.where("date is not null").distinct(), held.select(F.col("lo").alias("date")).distinct()), "day-index")
+    last = index.where("open").count()
+    starts = index.select(F.col("date").alias("lo"), F.col("day").alias("first"))
+    ends = index.select(F.col("date").alias("hi"), F.col("day").alias("end"))
+    found = held.join(starts, "lo").join(ends, "hi", "left").withColumn("end", F.coalesce("end", F.lit(last)))
+    return found.where("end > first").select(*PAIR, "weight_wji", "first", "end"), index
+
+
+def weights_on(edges: DataFrame, dates: DataFrame) -> DataFrame:
+    """(pair, date, weight_wji) on every calendar date from a weight's date on; the work is as large as the output."""
+    held, index = places(edges, dates)
+    spread = held.select(*PAIR, "weight_wji", F.explode(F.sequence("first", F.col("end") - 1)).alias("day"))
+    return spread.join(index.where("open").select("day", "date"), "day").select(*PAIR, "date", "weight_wji")

@@ -89,7 +89,7 @@ def largest(matrix: DataFrame | Skew, seed: int = 0) -> float:
 
 
 def largest_of(r: np.ndarray, c: np.ndarray, value: np.ndarray, n: int, seed: int = 0) -> float:
-    return max(0.0, float(leading(Held(r, c, value, n, seed), n, 1, 1, every=8)[0][0])) if len(value) else 0.0
+    return max(0.0, float(leading(Held(r, c, value, n, seed), n, 1, 1, every=12)[0][0])) if len(value) else 0.0
 
 
 def eigenvalues(matrix: DataFrame, top_k: int | None = None, spread: bool | None = None) -> DataFrame:
