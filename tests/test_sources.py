@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelag.operators import edges, resolve
 from tidelag.sources import readers, writers
@@ -62,15 +63,85 @@ def test_order_of_rows_is_that_of_files_not_of_splits(spark, tmp_path):
     assert edges.orderBy("ord").tail(1)[0].weight_wji == 2.0002 and edges.count() == 4004
 
 
-def test_exact_quantiles_narrow_to_the_value(spark, monkeypatch):
+def test_exact_quantiles_narrow_to_the_value(spark):
     import numpy as np
 
     from tidelag.operators import stats
 
-    monkeypatch.setattr(stats, "FEW", 5)
-    monkeypatch.setattr(stats, "BINS", 7)
     values = [0.0] * 40 + [float(v) for v in np.random.default_rng(2).normal(size=60)] + [None]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     shares = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
     assert np.allclose(stats.exact_quantiles(rows, "v", shares), np.quantile(values[:-1], shares), atol=1e-15)
     assert stats.exact_quantiles(rows.where("false"), "v", [0.5]) == [None]
+
+
+def test_quantiles_of_any_doubles_end(spark):
+    import numpy as np
+
+    from tidelag.operators import stats
+
+    base = spark.range(20_000).select(F.sin(F.col("id").cast("double")).alias("v"))
+    rows = base.union(spark.createDataFrame([(float("inf"),)], "v double"))
+    values = sorted(r.v for r in rows.collect())
+    n, at = stats.values_at(rows, "v", lambda n: [0, 1, 7, n // 2, n - 2, n - 1])
+    assert n == 20_001 and at == {k: values[k] for k in (0, 1, 7, n // 2, n - 2, n - 1)}
+    assert stats.exact_quantiles(rows, "v", [1.0]) == [float("inf")] and stats.exact_quantiles(rows, "v", [0.5]) == [values[10_000]]
+    assert stats.winsorize(rows, "v").agg(F.max("v")).first()[0] == pytest.approx(np.quantile(values, 0.99))
+    odd = [float("-inf"), -1.7e308, -5e-324, -0.0, 0.0, 5e-324, 1.7e308, float("inf")]
+    few = spark.createDataFrame([(v,) for v in reversed(odd)], "v double")
+    assert list(stats.values_at(few, "v", lambda n: range(n))[1].values()) == odd
+    assert stats.exact_quantiles(few, "v", [0.05, 0.5]) == [float("-inf"), 0.0]
+    bits = stats.ordered_bits(np.array([*odd, float("nan")]))
+    assert (np.diff(bits) >= 0).all() and [stats.from_ordered_bits(b) for b in bits.tolist()][:8] == odd
+
+
+def test_quotes_toggle(spark, tmp_path):
+    lines = [
+        'A,2020-01-01,1,x,1,Ab"c,d"e,6,1', 'B,2020-01-01,1,x,1,"Say ""Hi"" Inc",7,1', 'C,2020-01-01,1,"x,1",y', 'D,2020-01-01,1,"open, to the end,1,n,8,1',
+        'E,2020-01-01,1,,, padded\t,"9",1,more', '"F",2020-01-01,"1"2,x,1,"","",', "G,2020-01-01,1,x,1,n\rm,10,1\r", "",
+    ]
+    path = write(tmp_path, "parts.csv", "h\n" + "\n".join(lines) + "\n")
+    got = [(r.tic, r.gvkey, r.cnms, r.salecs) for r in readers.read_segments(spark, path).orderBy("ord").collect()]
+    assert got == [("A", "1", "Abc,de", "6"), ("B", "1", "Say Hi Inc", "7"), ("E", "1", "padded", "9"), ("F", "12", "", ""), ("G", "1", "n\rm", "10")]
+
+
+def test_sales_are_read_from_the_front(spark):
+    firms = resolve.dictionary(spark.createDataFrame([(1, "ACM", "Acme")], "ord long, tic string, conm string"))
+    funds = spark.createDataFrame([("1", dt.date(2020, 1, 1), 100.0)], "gvkey string, datadate date, sale double")
+    texts = ["12 USD", "+3e1x", ".5", "5.", "USD 12", "", "-4", "nan", "1e999", "0", "7,000"]
+    rows = spark.createDataFrame([(k, "S", dt.date(2020, 1, 1), "1", "acme", t) for k, t in enumerate(texts)], "ord long, tic string, srcdate date, gvkey string, cnms string, salecs string")
+    got = {r.ord: (r.disposition, r.sales) for r in edges.classify(rows, firms, funds).collect()}
+    assert [got[k] for k in range(4)] == [("valid", 12.0), ("valid", 30.0), ("valid", 0.5), ("valid", 5.0)] and got[10] == ("valid", 7.0)
+    assert {got[k][0] for k in range(4, 10)} == {"no_sale"}
+
+
+def test_a_hot_customer_is_no_hot_key(spark):
+    """Half of all rows name one firm; the task that reads most of them reads under three times the median."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        name = F.when(F.col("id") % 2 == 0, "Hot Inc").otherwise(F.concat(F.lit("firm "), (F.col("id") % 997).cast("string")))
+        rows = spark.range(40_000).select(F.col("id").alias("ord"), name.alias("name"), (F.col("id") % 10 > 0).alias("reaches"))
+        counts = rows.where("reaches").groupBy("name").agg(F.count("*").alias("n"))
+        found = counts.select("name", F.upper("name").alias("customer_tic"), F.lit(1).alias("match_tier"))
+        joined = edges.with_firms(rows, found, counts)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 40_000 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+        assert joined.where("not (customer_tic <=> case when ord % 10 > 0 then upper(name) end)").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_scores_are_written_in_order(spark, tmp_path):
+    score = F.when(F.col("id") % 11 == 0, F.lit(None).cast("double")).otherwise(F.sin(F.col("id").cast("double")))
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("customer_gvkey"), F.lit("s").alias("supplier_gvkey"), *(F.lit(1.0).alias(c) for c in ("w", "beta_fwd", "t_fwd", "beta_rev", "t_rev")), F.lit(30).cast("long").alias("n"), score.alias("score"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    writers.write_edge_scores(rows, str(tmp_path / "scores"))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "scores").glob("part-*"))) > 1
+    got = [r.score for r in readers.read_edge_scores(spark, str(tmp_path / "scores")).orderBy("rank").collect()]
+    numbers = [s for s in got if s is not None]
+    assert len(got) == 5000 and numbers == sorted(numbers, reverse=True) and got[len(numbers) :] == [None] * (5000 - len(numbers))

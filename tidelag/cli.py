@@ -4,26 +4,30 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.operators import edges, matrix, panel, panelreg, resolve, spectral, stats
 from tidelag.sources import readers, writers
+from tidelag.sources.shared import staged
 
 
 def build_edges(spark: SparkSession, a: argparse.Namespace) -> None:
     """Raw files to edges, adjacency, earnings calendar, counters, and edges between firm ids."""
     metadata = readers.read_metadata(spark, a.metadata)
-    rows = edges.classify(
-        readers.read_segments(spark, a.segments), resolve.dictionary(metadata), readers.read_fundamentals(spark, a.fundamentals, allow_missing=True), mode=a.mode
-    ).persist()
+    firms, seen = resolve.dictionary(metadata), Observation("segments")
+    found = edges.classify(readers.read_segments(spark, a.segments), firms, readers.read_fundamentals(spark, a.fundamentals, allow_missing=True), mode=a.mode)
+    writers.write_table(found.observe(seen, *edges.counters()), f"{a.out}/classified")
+    rows = spark.read.parquet(f"{a.out}/classified")
     graph = edges.edge_list(rows)
     writers.write_edge_list(graph, f"{a.out}/edges")
     writers.write_adjacency(edges.adjacency(graph), f"{a.out}/adjacency")
     writers.write_calendar(edges.earnings_calendar(readers.read_earnings(spark, a.earnings, allow_missing=True), graph), f"{a.out}/calendar")
     writers.write_table(edges.dispositions(rows), f"{a.out}/dispositions")
+    names = resolve.stats(rows.where("disposition not in ('ignore', 'no_sale')").select("norm", F.col("match_tier").alias("tier")))
+    ends = edges.graph_summary(graph).first()
+    writers.write_text(spark, edges.report(seen.get, {r.tier: r.names for r in names.collect()}, ends.customers, ends.suppliers), f"{a.out}/report.txt")
     writers.write_table(edges.to_ids(graph, metadata), f"{a.out}/merged_edges")
-    rows.unpersist()
 
 
 def load_edges(spark: SparkSession, path: str, min_weight: float | None = None) -> DataFrame:
@@ -53,19 +57,22 @@ def run_tests(spark: SparkSession, a: argparse.Namespace) -> None:
 def build_matrix(spark: SparkSession, a: argparse.Namespace) -> None:
     returns = readers.read_returns(spark, a.returns, finite_only=True)
     scores = matrix.edge_scores(returns, load_edges(spark, a.edges), a.horizon, a.min_obs, a.winsor_q, a.score)
-    writers.write_table(scores, f"{a.out}/edge_scores")
-    scores = spark.read.parquet(f"{a.out}/edge_scores")
+    scores = staged(scores, "edge-scores")
+    writers.write_edge_scores(scores, f"{a.out}/edge_scores")
     if not scores.limit(1).count():
         raise SystemExit("no edge has enough observations for a score: check the ids and min-obs")
     c = matrix.score_matrix(scores)
     writers.write_table(c, f"{a.out}/C")
     writers.write_table(matrix.skew(c), f"{a.out}/S")
-    writers.write_table(matrix.leadingness(matrix.skew(c)), f"{a.out}/leadingness")
+    writers.write_leadingness(matrix.leadingness(matrix.skew(c)), f"{a.out}/leadingness")
 
 
 def run_spectrum(spark: SparkSession, a: argparse.Namespace) -> None:
     s = readers.read_matrix(spark, a.matrix)
-    writers.write_table(matrix.asymmetry(s), f"{a.out}/sanity")
+    sanity = matrix.asymmetry(s)
+    writers.write_table(sanity, f"{a.out}/sanity")
+    found = sanity.first()
+    writers.write_text(spark, [f"max|S + S^T| = {found.max_abs:.6g}", f"shape = ({found.n_nodes}, {found.n_nodes})"], f"{a.out}/sanity.txt")
     writers.write_table(spectral.eigenvalues(s), f"{a.out}/eigenvalues")
     writers.write_table(spectral.eigenvectors(s, a.top_k), f"{a.out}/eigenvectors")
     if a.embed:
@@ -74,8 +81,15 @@ def run_spectrum(spark: SparkSession, a: argparse.Namespace) -> None:
         cells = spectral.Skew(s)
         writers.write_table(spectral.permutation_null(cells, a.n_perm, a.seed), f"{a.out}/null")
         null = spark.read.parquet(f"{a.out}/null")
-        writers.write_table(spectral.permutation_p(null, spectral.largest(cells)), f"{a.out}/permutation")
+        summary = spectral.permutation_p(null, spectral.largest(cells))
+        writers.write_table(summary, f"{a.out}/permutation")
+        p = summary.first()
+        writers.write_text(spark, [f"obs_maxeig={p.obs_maxeig:.6g}", f"p_value={p.p_value:.6g}"], f"{a.out}/perm_test.txt")
         writers.write_table(spectral.histogram(null), f"{a.out}/histogram")
+    if a.c:
+        writers.write_table(readers.read_matrix(spark, a.c), f"{a.out}/C_copy")
+    if a.edge_scores:
+        writers.write_edge_scores(readers.read_edge_scores(spark, a.edge_scores).drop("rank"), f"{a.out}/edge_scores_copy")
 
 
 def profile(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -116,6 +130,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--n-perm", type=int, default=500)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--embed", action="store_true")
+    p.add_argument("--c", help="a score matrix to keep beside the results")
+    p.add_argument("--edge-scores", help="edge scores to keep beside the results")
     stage("profile", profile, "results")
     return top
 

@@ -20,7 +20,7 @@ def to_number(value: Column) -> Column:
 
 def leading_number(value: Column) -> Column:
     """The number that a string starts with, as C's strtod reads decimals; else NULL."""
-    found = F.regexp_extract(value, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    found = F.regexp_extract(value, r"^[\s\x0b]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
     return finite(F.nullif(found, F.lit("")).try_cast("double"))
 
 

@@ -11,14 +11,16 @@ SUFFIX_WORDS = (
     "INTERNATIONAL", "INTL", "COMPANY", "COMPANIES", "THE", "OF", "AND",
 )
 
-# Normalised names of aggregates and governments that no firm stands behind.
-IGNORED_NAMES = (
-    "ALLOTHER", "AMERICAS", "ASIAPACIFIC", "CANADA", "CHINA", "COMMERCIAL", "CORPORATEANDOTHER", "DOMESTIC", "ELIMINATIONS",
-    "EUROPE", "EXPORT", "EXPORTS", "FEDERALGOVERNMENT", "FOREIGNSALES", "FRANCE", "GERMANY", "INDIA", "INTERCOMPANY",
-    "INTERNATIONAL", "INTERSEGMENT", "JAPAN", "LATINAMERICA", "MIDDLEEAST", "NONUS", "NOTREPORTED", "OTHER", "OTHERGOVERNMENT",
-    "OTHERGOVERNMENTANDDEFENSE", "RESTOFWORLD", "STATEANDLOCALGOVERNMENT", "UK", "UNALLOCATED", "UNITEDSTATES",
-    "USDEPARTMENTOFDEFENSE", "USGOVERNMENT",
+# Names of aggregates and governments that no firm stands behind.
+IGNORED = (
+    "US Government", "U.S. Government", "U.S. Department of Defense", "Foreign Sales", "Not Reported", "Commercial",
+    "Other Government and Defense", "Other Government", "Federal Government", "State and Local Government", "International",
+    "Domestic", "Export", "Exports", "Intercompany", "Intersegment", "Eliminations", "Corporate and Other", "All Other", "Other",
+    "Unallocated", "Non-US", "Asia Pacific", "Europe", "Americas", "United States", "Rest of World", "Middle East",
+    "Latin America", "Japan", "China", "Canada", "UK", "Germany", "France", "India",
 )
+#: The same as ``normalise`` gives them.
+IGNORED_NAMES = tuple(sorted({"".join(c for c in name.upper() if c.isascii() and c.isalnum()) for name in IGNORED}))
 
 
 def normalise(name: Column) -> Column:
@@ -48,6 +50,17 @@ def trim_blanks(value: Column) -> Column:
     return F.regexp_replace(value, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one line: every quote toggles and goes, commas between quotes stay.
+
+    Parts between quotes alternate: commas of the even ones are marked by a line end, which no
+    line holds, and the parts are joined again before they are cut. A quote that is not closed
+    lasts to the end of the line.
+    """
+    marked = F.transform(F.split(line, '"', -1), lambda part, i: F.when(i % 2 == 0, F.translate(part, ",", "\n")).otherwise(part))
+    return F.split(F.array_join(marked, ""), "\n", -1)
+
+
 def zero_fill(value: Column, width: int = 6) -> Column:
     """Zeros in front up to ``width``; longer values stay whole."""
     return F.when(F.length(value) < width, F.lpad(value, width, "0")).otherwise(value)

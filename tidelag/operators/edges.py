@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.functions.clean import capped_share, to_number
+from tidelag.functions.clean import capped_share, leading_number
 from tidelag.functions.text import IGNORED_NAMES, is_ignored, normalise, trim_blanks
 from tidelag.operators.resolve import resolve
+from tidelag.sources.shared import staged
 
 
 def classify(segments: DataFrame, firms: DataFrame, fundamentals: DataFrame, ignored: tuple[str, ...] = IGNORED_NAMES, mode: str = "compat") -> DataFrame:
@@ -17,15 +18,13 @@ def classify(segments: DataFrame, firms: DataFrame, fundamentals: DataFrame, ign
     Only names of rows that get as far reach the resolver, each distinct name once.
     """
     name = trim_blanks(F.coalesce("cnms", F.lit("")))
-    rows = segments.select("ord", "tic", "srcdate", "gvkey", name.alias("name"), to_number(trim_blanks(F.col("salecs"))).alias("sales"))
+    rows = segments.select("ord", "tic", "srcdate", "gvkey", name.alias("name"), leading_number(F.col("salecs")).alias("sales"))
     rows = rows.withColumn("norm", normalise(F.col("name"))).withColumn("ignored", is_ignored(F.col("norm"), ignored))
-    asked = rows.where("not ignored and sales > 0").select("name")
-    found = resolve(asked, firms, mode).select("name", F.col("tic").alias("customer_tic"), F.col("tier").alias("match_tier"))
-    funds = fundamentals.where("sale > 0").select("gvkey", F.col("datadate").alias("srcdate"), F.col("sale").alias("total_sale"))
-    # rows that need no firm get keys of their own that no name has, so that a name of many such rows is no hot key
     reaches = F.coalesce(~F.col("ignored") & (F.col("sales") > 0), F.lit(False))
-    keyed = rows.withColumn("key", F.when(reaches, F.col("name")).otherwise(F.concat(F.lit("\n"), F.xxhash64("ord").cast("string"))))
-    joined = keyed.join(found.withColumnRenamed("name", "key"), "key", "left").join(funds, ["gvkey", "srcdate"], "left").drop("key")
+    asked = staged(rows.where(reaches).groupBy("name").agg(F.count("*").alias("n")), "asked-names")
+    found = staged(resolve(asked, firms, mode).select("name", F.col("tic").alias("customer_tic"), F.col("tier").alias("match_tier")), "resolved-names")
+    funds = fundamentals.where("sale > 0").select("gvkey", F.col("datadate").alias("srcdate"), F.col("sale").alias("total_sale"))
+    joined = with_firms(rows.withColumn("reaches", reaches), found, asked).join(funds, ["gvkey", "srcdate"], "left")
     outcome = (
         F.when(F.col("ignored"), "ignore")
         .when(F.coalesce(F.col("sales") > 0, F.lit(False)) == False, "no_sale")  # noqa: E712
@@ -37,6 +36,45 @@ def classify(segments: DataFrame, firms: DataFrame, fundamentals: DataFrame, ign
     return joined.withColumn("disposition", outcome).withColumn("weight_wji", capped_share(F.col("sales"), F.col("total_sale")))
 
 
+def with_firms(rows: DataFrame, found: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (ord, name, reaches) with what ``found`` says of their names; ``reaches`` goes.
+
+    ``counts`` (name, n) tells the names that more than one of ``shuffle.partitions`` parts of all
+    rows have: they are fewer than the parts, so their firms are broadcast. Their rows, and those
+    that need no firm, get keys of their own that no name has, so that no key of the join is hot.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * parts > total).select("name")
+    of_hot = found.join(hot, "name", "left_semi").select(F.col("name").alias("hot_name"), F.col("customer_tic").alias("hot_tic"), F.col("match_tier").alias("hot_tier"))
+    marked = rows.join(F.broadcast(of_hot), F.col("reaches") & (F.col("name") == F.col("hot_name")), "left")  # fewer than parts rows
+    key = F.when(F.col("reaches") & F.col("hot_name").isNull(), F.col("name")).otherwise(F.concat(F.lit("\n"), F.xxhash64("ord").cast("string")))
+    joined = marked.withColumn("key", key).join(found.withColumnRenamed("name", "key"), "key", "left")
+    known = joined.withColumns({"customer_tic": F.coalesce("hot_tic", "customer_tic"), "match_tier": F.coalesce("hot_tier", "match_tier")})
+    return known.drop("key", "reaches", "hot_name", "hot_tic", "hot_tier")
+
+
+OUTCOMES = ("ignore", "no_sale", "unresolved", "self_loop", "no_fund", "valid")
+
+
+def counters() -> list[Column]:
+    """What the report of a run counts, as aggregates of classified rows, to be observed as they are written."""
+    valid = F.col("disposition") == "valid"
+    weight = F.when(valid, F.col("weight_wji"))
+    return [
+        F.count("*").alias("rows"), *(F.count_if(F.col("disposition") == o).alias(o) for o in OUTCOMES),
+        F.sum(weight).alias("weight_sum"), F.max(weight).alias("weight_max"), *(F.count_if(valid & (F.col("match_tier") == k)).alias(f"edges_tier{k}") for k in (1, 2, 3)),
+    ]
+
+
+def report(figures: dict, names: dict[int, int], customers: int, suppliers: int) -> list[str]:
+    """Lines on a run: its rows by outcome, weights, distinct names by tier of their match, and the graph."""
+    n = figures["valid"]
+    lines = [("rows read", figures["rows"]), *((f"rows {o}", figures[o]) for o in OUTCOMES), ("mean weight", f"{(figures['weight_sum'] or 0.0) / n if n else 0.0:.4f}"), ("max weight", f"{figures['weight_max'] or 0.0:.4f}")]
+    lines += [(f"names tier {k}" if k else "names unresolved", names.get(k, 0)) for k in (1, 2, 3, 0)] + [(f"edges tier {k}", figures[f"edges_tier{k}"]) for k in (1, 2, 3)]
+    return [f"{what}: {value}" for what, value in (*lines, ("customers", customers), ("suppliers", suppliers), ("edges", n))]
+
+
 def edge_list(classified: DataFrame) -> DataFrame:
     return classified.where("disposition = 'valid'").select(
         "ord", F.col("srcdate").alias("date"), "customer_tic", F.col("tic").alias("supplier_tic"), F.col("gvkey").alias("supplier_gvkey"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from functools import cache
+import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelag.functions.clean import clip
@@ -13,45 +16,64 @@ from tidelag.sources.shared import staged
 #: Fewest pairs of a regression, and the least spread of its regressor.
 LEAST_PAIRS = 10
 LEAST_SPREAD = 1e-20
-#: Bins of a counting pass, and the most values that are sorted at its end.
-BINS, FEW = 2000, 10_000
 #: Of the spread of y: a smaller residual counts as none.
 EXACT_FIT = 1e-12
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Quantiles interpolated between neighbours, as ``percentile`` gives them, in counting passes.
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; both zeros are one, NaN is the largest."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = values.view(np.int64)
+    return bits ^ (bits >> 63 & np.int64((1 << 63) - 1))
+
+
+def from_ordered_bits(bits: int) -> float:
+    return float((np.array([bits], np.int64) ^ (np.array([bits], np.int64) >> 63 & np.int64((1 << 63) - 1))).view(np.float64)[0])
+
+
+def values_at(rows: DataFrame, column: str, ranks_of: Callable[[int], list[int]]) -> tuple[int, dict[int, float]]:
+    """(number of values, value by rank) for the ranks, from 0, that are asked for that number of values.
 
-    The range that holds a rank is cut into equal bins and counted until few values or one value
-    are left, so that no task holds the values of the table. NULL for a table without values.
+    Radix selection on the ordered bits: each of four passes counts the next 16 bits of the values
+    that share their bits so far with an asked one, for all ranks at once. Any input takes four.
     """
-    values = staged(rows.select(F.col(column).cast("double").alias("v")).where("v is not null"), "quantiles")
-    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if not whole.n:
-        return [None for _ in shares]
-
-    @cache
-    def at(rank: int) -> float:
-        before, n, lo, hi = 0, whole.n, whole.lo, whole.hi
-        while lo < hi:
-            own = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            if n <= FEW:
-                return sorted(r.v for r in own.collect())[rank - before]
-            place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / (hi - lo) * BINS))
-            for b in own.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("bin").collect():
-                if rank < before + b.n:
-                    n, lo, hi = b.n, b.lo, b.hi
-                    break
-                before += b.n
-        return lo
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bits": ordered_bits(batch.v.to_numpy(np.float64))})
+
+    images = staged(rows.select(F.col(column).cast("double").alias("v")).where("v is not null").mapInPandas(run, "bits long"), "quantiles")
+    n = images.count()
+    open_ = {rank: (rank, None) for rank in ranks_of(n)}  # rank: (rank among those that share the bits so far, these bits)
+    for shift in (48, 32, 16, 0) if open_ else ():
+        prefix = F.shiftright("bits", shift + 16) if shift < 48 else F.lit(None).cast("long")
+        shared = images if shift == 48 else images.where(prefix.isin(*{p for _, p in open_.values()}))
+        counts = shared.groupBy(prefix.alias("prefix"), F.shiftright("bits", shift).alias("bits")).agg(F.count("*").alias("n"))
+        running = F.sum("n").over(Window.partitionBy("prefix").orderBy("bits"))
+        sums = counts.withColumn("upto", running)
+        asked = F.lit(False)
+        for rank, p in open_.values():
+            asked = asked | (F.col("prefix").eqNullSafe(F.lit(p)) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+        found = sums.where(asked).collect()  # one row for each rank at most
+        for rank, (left, p) in list(open_.items()):
+            own = next(r for r in found if r.prefix == p and r.upto - r.n <= left < r.upto)
+            open_[rank] = (left - (own.upto - own.n), own.bits)
+    return n, {rank: from_ordered_bits(bits) for rank, (_, bits) in open_.items()}
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Quantiles interpolated between neighbours, as ``percentile`` gives them, for any doubles.
+
+    NULL for a table without values; NaN where the neighbours are both infinities.
+    """
+    places = lambda n: [q * (n - 1) for q in shares] if n else []
+    n, at = values_at(rows, column, lambda n: sorted({k for p in places(n) for k in (int(p), min(int(p) + 1, n - 1))}))
     found = []
-    for q in shares:
-        place = q * (whole.n - 1)
+    for place in places(n):
         low = int(place)
-        one, two = at(low), at(min(low + 1, whole.n - 1))
-        found.append(one + (two - one) * (place - low) if two > one else one)
-    return found
+        one, two, part = at[low], at[min(low + 1, n - 1)], place - low
+        found.append(one if one == two or not part else one + (two - one) * part if math.isfinite(two - one) else one * (1 - part) + two * part)
+    return found or [None for _ in shares]
 
 
 def winsorize(rows: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -304,6 +304,18 @@ def read_segments(spark, sf_dir):
     return readers.read_segments(spark, csv_of(spark, rows, "segments", "ord")).drop("ord")
 
 
+@query(using("select tic, srcdate, gvkey, trim(concat(cnms, ', x')) as cnms, salecs from v_segments"))
+def read_quoted_segments(spark, sf_dir):
+    """Names with a quote inside a field, and commas between quotes; every tenth line has a field too few."""
+    dirty = F.concat(F.substring("cnms", 1, 3), F.lit('"'), F.expr("substring(cnms, 4)"), F.lit(', "x'))
+    line = F.concat_ws(",", "tic", F.col("srcdate").cast("string"), F.concat(F.lit('"'), "gvkey", F.lit('"')), F.lit('"a, b"'), F.lit(""), dirty, "salecs", F.lit(""))
+    rows = views.segments(spark, sf_dir).select("ord", line.alias("line"))
+    short = rows.where("ord % 10 = 0").select("ord", F.lit('"tic,srcdate",gvkey,"conm,cid","cnms,salecs",sid').alias("line"))
+    path = new_path(spark, "quoted")
+    rows.union(short).orderBy("ord").select(F.col("line").alias("header")).write.option("header", True).option("sep", "\x01").option("quote", "\x00").option("escapeQuotes", False).csv(path)
+    return readers.read_segments(spark, path).drop("ord")
+
+
 @query(using(f"select tic, '' as gvkey, conm, {NORM.format('conm')} as norm_name, true as active from v_firms"))
 def read_metadata(spark, sf_dir):
     """Each firm is named again further on, in other letters; the first line stays."""
@@ -557,6 +569,14 @@ def edge_scores_beta(spark, sf_dir):
     return rounded(scores(spark, sf_dir, "beta_diff"), *SCORE_COLUMNS)
 
 
+@query(using(f"select row_number() over (order by v_scored.score desc nulls last, customer_gvkey, supplier_gvkey, w) as rank, {r6('score', 'score')} from v_scored", *MATRIX, SCORED))
+def write_edge_scores(spark, sf_dir):
+    """Written in order of score, and numbered as the files hold them."""
+    path = new_path(spark, "edge-scores")
+    writers.write_edge_scores(scores(spark, sf_dir), path)
+    return rounded(readers.read_edge_scores(spark, path).select("rank", "score"), "score")
+
+
 @query(using(f"select i, j, {r6('value', 'value')} from v_c", *MATRIX, SCORED, C))
 def lead_lag_matrix_c(spark, sf_dir):
     return rounded(matrix.score_matrix(scores(spark, sf_dir)), "value")

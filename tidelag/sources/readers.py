@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelag.functions.clean import finite, float_text_id, log_return, to_number
-from tidelag.functions.text import normalise, trim_blanks, zero_fill
+from tidelag.functions.clean import finite, float_text_id, leading_number, log_return
+from tidelag.functions.text import csv_fields, normalise, trim_blanks, zero_fill
 from tidelag.sources import schemas
 
 
@@ -20,24 +20,21 @@ def line_order() -> F.Column:
 def read_positional(spark: SparkSession, path: str, schema: T.StructType, least_fields: int, allow_missing: bool = False) -> DataFrame:
     """Trimmed text columns of a CSV with a header of any names, read by position.
 
-    ``ord`` sorts rows as their files hold them: by file, block, and place in the block. Lines
-    with fewer than ``least_fields`` fields are dropped; fields beyond the schema are ignored.
+    ``ord`` sorts rows as their files hold them: by file, block, and place in the block. A line is
+    a row: every quote toggles, and none goes over the end of a line. Lines with fewer than ``least_fields`` fields are dropped; fields beyond the schema are ignored.
     """
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.option("lineSep", "\n").text(path)
     except AnalysisException:
         if not allow_missing:
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("ord", schemas.PLACE), *schema.fields]))
-    rows = lines.select(
-        line_order().alias("ord"), F.from_csv("value", ", ".join(f"{c.name} string" for c in schema.fields), {"quote": '"', "escape": '"'}).alias("f"),
-        F.size(F.split(F.regexp_replace("value", r'"[^"]*"', ""), ",")).alias("fields"),
-    )
+    rows = lines.select(line_order().alias("ord"), csv_fields(F.col("value")).alias("f"))
     # only the first block of a file is numbered, to leave out its first line
     begins = F.col("ord.file_block_start") == 0
     number = F.row_number().over(Window.partitionBy("ord.file_path").orderBy("ord.id"))
-    kept = rows.where(~begins).unionByName(rows.where(begins).withColumn("n", number).where("n > 1").drop("n")).where(F.col("fields") >= least_fields)
-    return kept.select("ord", *(trim_blanks(F.coalesce(F.col(f"f.{c.name}"), F.lit(""))).alias(c.name) for c in schema.fields))
+    kept = rows.where(~begins).unionByName(rows.where(begins).withColumn("n", number).where("n > 1").drop("n")).where(F.size("f") >= least_fields)
+    return kept.select("ord", *(trim_blanks(F.coalesce(F.get("f", F.lit(k)), F.lit(""))).alias(c.name) for k, c in enumerate(schema.fields)))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +51,7 @@ def read_fundamentals(spark: SparkSession, path: str, allow_missing: bool = Fals
     from tidelag.operators.dedupe import last_value
 
     rows = read_positional(spark, path, schemas.FUNDAMENTALS, schemas.LEAST_FIELDS["fundamentals"], allow_missing)
-    sales = rows.select("ord", "gvkey", F.col("datadate").try_cast("date").alias("datadate"), to_number(F.col("sale")).alias("sale"))
+    sales = rows.select("ord", "gvkey", F.col("datadate").try_cast("date").alias("datadate"), leading_number(F.col("sale")).alias("sale"))
     return last_value(sales.where("sale > 0"), ["gvkey", "datadate"], "sale", "ord")
 
 
@@ -117,3 +114,10 @@ def read_merged_edges(spark: SparkSession, path: str, **how) -> DataFrame:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, value) of a stored score matrix."""
     return spark.read.parquet(path).select(F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("double"))
+
+
+def read_edge_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of edges with ``rank``, from 1, in the order of their files."""
+    rows = spark.read.option("header", True).schema(schemas.EDGE_SCORES).csv(path).select("*", line_order().alias("ord"))
+    numbered = rows.orderBy("ord").drop("ord").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return spark.createDataFrame(numbered, T.StructType([*schemas.EDGE_SCORES.fields, T.StructField("rank", T.LongType())]))

@@ -38,3 +38,4 @@ def require(rows, schema: T.StructType) -> None:
     wrong = [f.name for f in schema.fields if held.get(f.name) != f.dataType]
     if wrong:
         raise ValueError("columns missing or of another type: " + ", ".join(wrong))
+EDGE_SCORES = typed_columns(customer_gvkey="string", supplier_gvkey="string", w="double", beta_fwd="double", t_fwd="double", beta_rev="double", t_rev="double", n="long", score="double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.functions.text import six_decimals
@@ -44,3 +44,19 @@ def regression_name(direction: str, winsorized: bool = False, nonzero: bool = Fa
 
 def write_regressions(results: DataFrame, folder: str, direction: str, winsorized: bool = False, nonzero: bool = False) -> None:
     results.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{regression_name(direction, winsorized, nonzero)}")
+
+
+def write_text(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A few lines as one text file."""
+    spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k int, line string").coalesce(1).sortWithinPartitions("k").select("line").write.mode("overwrite").text(path)
+
+
+def write_edge_scores(scores: DataFrame, path: str) -> None:
+    """Highest score first, missing ones last: rows are dealt to files by ranges of that order, so that
+    the files, by name, hold them in it, and no task sorts them all."""
+    scores.orderBy(F.desc_nulls_last("score"), "customer_gvkey", "supplier_gvkey", "w").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_leadingness(rows: DataFrame, path: str) -> None:
+    """Highest first, in the same way."""
+    rows.orderBy(F.desc_nulls_last("leadingness"), "node").write.mode("overwrite").option("header", True).csv(path)
