@@ -2,8 +2,9 @@
 
 Every window of 100 bytes has one anchor, the 24-byte gram of least hash in it, so equal
 windows have equal anchors. Windows in a row with one anchor form a segment. Segments are
-brought together by their anchor; of segments with equal bytes (told by a 64-bit hash of their
-content, like anchors) only the first can be new.
+brought together by their anchor; of segments with equal bytes only the first can be new. Equal
+bytes are told by a 128-bit BLAKE2b digest under a key drawn for each run, so that no text can be
+made to look like another; the plain hashes of anchors only say who meets.
 Where segments with one anchor differ, their common runs of windows are sorted in a suffix
 array, and of equal windows all but the first are marked.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
+from secrets import token_bytes
 
 import numpy as np
 import pandas as pd
@@ -67,14 +69,14 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(documents: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document index, first window, last window, anchor hash, content hash) of all segments in order."""
+    """(document index, first window, last window, anchor hash) of all segments in order."""
     sizes = np.array([len(d) for d in documents], np.int64)
     data = np.frombuffer(b"".join(documents), np.uint8)
     begins = np.cumsum(sizes) - sizes
     usable = np.maximum(0, sizes - WINDOW + 1)
     starts = ragged(begins, usable)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     hashes = Hashes(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = hashes.of(at, at + GRAM)
@@ -85,16 +87,24 @@ def segments(documents: list[bytes]) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(begins, starts[first], side="right") - 1
     # documents without bytes begin where the next one does
     lo, hi = starts[first], starts[last]
-    return doc, lo - begins[doc], hi - begins[doc], gram[anchor[first]], hashes.of(lo, hi + WINDOW)
+    return doc, lo - begins[doc], hi - begins[doc], gram[anchor[first]]
 
 
-def units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc_id, ordinal, anchor, content hash) of all segments of units of whole documents."""
+def digests_of(documents: list[bytes], doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: bytes) -> np.ndarray:
+    """Digests of the segments' bytes, as two numbers each."""
+    found = b"".join(blake2b(documents[d][a:b], digest_size=16, key=key).digest() for d, a, b in zip(doc.tolist(), lo.tolist(), (hi + WINDOW).tolist(), strict=True))
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
+def units(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, ordinal, anchor, digest) of all segments of units of whole documents."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for part in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
             ids = batch.doc_id.iloc[part].to_numpy("<i8")
-            doc, _, _, gram, content = segments([t.encode("utf-8", "surrogatepass") for t in all_texts[part]])
+            raw = [t.encode("utf-8", "surrogatepass") for t in all_texts[part]]
+            doc, lo, hi, gram = segments(raw)
+            content = digests_of(raw, doc, lo, hi, key)
             count = np.bincount(doc, minlength=len(ids))
             ordinal = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype("<u4")
             held.append((ids[doc], ordinal, gram, content))
@@ -126,10 +136,10 @@ def unit_rows(doc: np.ndarray, ordinal: np.ndarray, gram: np.ndarray, content: n
     the segments, whatever the number of buckets; and of a segment that very many documents hold
     each unit sends one.
     """
-    order = np.lexsort((ordinal, doc, content, gram))
+    order = np.lexsort((ordinal, doc, content[:, 1], content[:, 0], gram))
     doc, ordinal, gram, content = doc[order], ordinal[order], gram[order], content[order]
     differ = lambda *x: np.r_[True, np.any([c[1:] != c[:-1] for c in x], axis=0)] if len(doc) else np.zeros(0, bool)
-    new, place = differ(gram, content), differ(gram, content, doc, ordinal)
+    new, place = differ(gram, *content.T), differ(gram, *content.T, doc, ordinal)
     again = place & ~new  # a repeated row names its places again; none is earlier than itself
     rows = marks_of(doc[again], ordinal[again], np.ones(int(again.sum()), np.uint8), buckets)
     doc, ordinal, gram, content = doc[new], ordinal[new], gram[new], content[new]
@@ -147,9 +157,10 @@ def unit_rows(doc: np.ndarray, ordinal: np.ndarray, gram: np.ndarray, content: n
 def repeated_segments(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, ordinals binary (u4), flags binary (u1): 1 for segments whose bytes came before,
     2 for the first ones of their bytes whose anchor has other segments too."""
+    key = token_bytes(16)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for unit in units(batches):
+        for unit in units(batches, key):
             yield unit_rows(*unit, buckets)
             release_memory()
 
@@ -162,7 +173,7 @@ def repeated_segments(docs: DataFrame, buckets: int) -> DataFrame:
         gram = np.zeros((len(short), 8), np.uint8)
         gram[:, :5] = short
         gram = gram.view(np.uint64).ravel()
-        content = np.frombuffer(b"".join(batch.content), np.uint64)
+        content = np.frombuffer(b"".join(batch.content), np.uint64).reshape(-1, 2)
         ordinal = np.concatenate([from_planes(x, "<u4") for x in batch.ordinal])
         ids = [from_planes(x) for x in batch.doc]
         doc = np.concatenate([np.repeat(d, large(c, len(d))) for d, c in zip(ids, batch.counts, strict=True)])
@@ -170,12 +181,12 @@ def repeated_segments(docs: DataFrame, buckets: int) -> DataFrame:
         same = gram[by_gram][1:] == gram[by_gram][:-1]
         shared = np.r_[same, False] | np.r_[False, same]
         at = by_gram[shared]
-        at = at[np.lexsort((ordinal[at], doc[at], content[at], gram[at]))]
+        at = at[np.lexsort((ordinal[at], doc[at], content[at, 1], content[at, 0], gram[at]))]
         if len(at):
-            at = at[np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in (ordinal, doc, content, gram)], axis=0)]]
+            at = at[np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in (ordinal, doc, *content.T, gram)], axis=0)]]
         g, c = gram[at], content[at]
         new_gram = np.r_[True, g[1:] != g[:-1]] if len(at) else np.zeros(0, bool)
-        new_content = new_gram | np.r_[True, c[1:] != c[:-1]] if len(at) else new_gram
+        new_content = new_gram | np.r_[True, (c[1:] != c[:-1]).any(axis=1)] if len(at) else new_gram
         group = np.cumsum(new_gram) - 1
         several = np.bincount(group, new_content)[group] > 1 if len(at) else new_gram
         flag = np.where(new_content, np.where(several, 2, 0), 1).astype(np.uint8)
@@ -207,7 +218,7 @@ def intervals_and_segments(marked: DataFrame, parts: int) -> DataFrame:
             for block in blocks(all_texts := batch.text.tolist(), CHUNK_CHARS):
                 raw = [t.encode("utf-8", "surrogatepass") for t in all_texts[block]]
                 own = batch.iloc[block]
-                doc, lo, hi, gram, _ = segments(raw)
+                doc, lo, hi, gram = segments(raw)
                 at = np.searchsorted(doc, np.arange(len(raw)))
                 rows = []
                 for k, (doc_id, ordinals, flags) in enumerate(zip(own.doc_id, own.ordinals, own["flags"], strict=True)):
@@ -331,6 +342,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def digest(kept: DataFrame) -> DataFrame:
+    """The rows of ``remove_repeats`` with the SHA-256 of what is kept; of an empty table none."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.drop(columns="kept").assign(kept_sha256=[sha256(x).hexdigest() for x in batch.kept])
