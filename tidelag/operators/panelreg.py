@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,7 @@ class Panel:
             for batch in batches:
                 for t, v in zip(batch.t, batch.v, strict=True):
                     add(out, np.asarray(t, np.int64), np.asarray(v, float).reshape(-1, columns))
-            yield pd.DataFrame({"part": [int(np.abs(out).sum() * 1000) % 16], "sums": [out.tobytes()]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "sums": [out.tobytes()]})
 
         def merge(batch: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in batch.sums], axis=0).tobytes()]})
@@ -89,23 +90,26 @@ class Panel:
             return self.total(add, days * columns).reshape(shape)
 
         per_day = np.maximum(1.0, self.total(count, days))[:, None]
-        effects, left = np.zeros(shape), self.total(right, days * columns).reshape(shape)
-        goal = TOLERANCE * np.linalg.norm(left, axis=0)
+        effects, wanted = np.zeros(shape), self.total(right, days * columns).reshape(shape)
+        left, goal = wanted, TOLERANCE * np.linalg.norm(wanted, axis=0)
         # conjugate gradients on the equations of the dates, all columns at once: one pass for each step
         ready = left / per_day
         step, size = ready, (left * ready).sum(axis=0)
-        for _ in range(2 * days + 10):
+        for turn in range(1, 4 * days + 20):
             if (np.linalg.norm(left, axis=0) <= goal).all():
                 return effects
+            if turn % (days + 5) == 0:  # rounding has moved the running residual: start again from the true one
+                left = wanted - spread(effects)
+                ready = left / per_day
+                step, size = ready, (left * ready).sum(axis=0)
+                continue
             moved = spread(step)
             length = np.divide(size, (step * moved).sum(axis=0), out=np.zeros(columns), where=size > 0)
             effects, left = effects + length * step, left - length * moved
             ready = left / per_day
             now = (left * ready).sum(axis=0)
             step, size = ready + np.divide(now, size, out=np.zeros(columns), where=size > 0) * step, now
-        if (np.linalg.norm(left, axis=0) > 1e3 * goal).any():
-            raise ArithmeticError("the date effects did not settle")
-        return effects
+        raise ArithmeticError("the date effects did not settle")
 
 
 def within_ols(rows: DataFrame, ys: list[str], xs: list[str], entity: str, date: str = "date", debiased: bool = True, count_effects: bool = True) -> list[dict[str, float]]:
