@@ -27,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 #: Seeds besides the base entities: digests as they stand in credentials.
 DIGEST = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
-CONTEXT_CHARS = 48
+#: Characters of a pattern: two whole words in front that need more than this are none.
+CONTEXT_CHARS = 128
 #: Values of a running sum, and code points of a text, that are walked through at once.
 BLOCK, PIECE = 128, 256
 ROUNDS = 3
@@ -137,7 +138,9 @@ def extract(docs: DataFrame, kept: Column) -> DataFrame:
     rows = rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
     whole = F.concat(*KINDS)
     before = lambda p, x: part_of(p, F.greatest(F.lit(0), x["start"] - CONTEXT_CHARS), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-    context = lambda p, x: F.regexp_replace(F.lower(F.regexp_extract(before(p, x), r"(?<!\S)\S+\s+\S*\s*$", 0)), "[0-9]+", "#")
+    # the first word is whole: white space stands before it, or the text starts with it
+    words = lambda b, x: F.when(x["start"] <= CONTEXT_CHARS, F.regexp_extract(b, r"(?<!\S)\S+\s+\S*\s*$", 0)).otherwise(F.regexp_extract(b, r"(?<=\s)\S+\s+\S*\s*$", 0))
+    context = lambda p, x: F.regexp_replace(F.lower(let(before(p, x), lambda b: words(b, x))), "[0-9]+", "#")
     candidate = lambda p: lambda x, hit: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("value"), context(p, x).alias("context"),
         (x["value"].rlike(DIGEST) | hit).alias("seed"), hit.alias("touches"),
