@@ -25,9 +25,9 @@ from tidelag.llm.common import Numbers, blocks, read_table, staged, texts
 K1, B = 1.2, 0.75
 MATCH = 0.8
 OVERLAP = 0.6
-#: Words of items in one index, and indices that one pass over the documents searches.
+#: Words of items in one index; bytes of its bounds, and of all bounds that one pass over the documents searches by.
 INDEX_WORDS = 20_000
-INDICES = 16
+INDEX_BYTES, PASS_BYTES = 16_000_000, 64_000_000
 POSTING_BLOCK = 4
 #: Share of the items above which a term counts as common.
 COMMON = 0.05
@@ -246,16 +246,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS)
     if not whole.n:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     df = staged(items.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")), "benchmark-words")
-    sizes = items.groupBy("half").agg(F.sum("n").alias("words")).orderBy("half").collect()
-    shards = [(r.half, -(-r.words // index_words), k) for r in sizes for k in range(-(-r.words // index_words))]
-    out = None
-    for at in range(0, len(shards), INDICES):
-        indices = [_index_of(items, df, *shard, whole.n, whole.mean) for shard in shards[at : at + INDICES]]
+    sizes = items.groupBy("half").agg(F.sum("n").alias("words"), F.count("*").alias("items")).orderBy("half").collect()
+    shards = [(r.half, n, k) for r in sizes for n in [shards_of(r.words, r.items, index_words)] for k in range(n)]
+    out, at = None, 0
+    while at < len(shards):
+        indices, held = [], 0
+        while at < len(shards) and (not indices or held + INDEX_BYTES <= PASS_BYTES):
+            indices.append(_index_of(items, df, *shards[at], whole.n, whole.mean))
+            held, at = held + indices[-1].bounds.nbytes, at + 1
         found = _search_all(docs, indices)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def shards_of(words: int, items: int, index_words: int) -> int:
+    """Indices for items of one window: each has about ``index_words`` words at most, and bounds, one
+    number of 4 bytes for each term and block of items, of about ``INDEX_BYTES`` at most."""
+    return max(-(-words // index_words), math.ceil(math.sqrt(4 * words * -(-items // POSTING_BLOCK) / INDEX_BYTES)))
+
+
 def _index_of(items: DataFrame, df: DataFrame, half: int, shards: int, shard: int, n_items: int, mean: float) -> Index:
     """The index of one shard; about ``INDEX_WORDS`` words come to the driver."""
     own = items.where((F.col("half") == half) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard))
