@@ -139,23 +139,41 @@ def test_jaccard_rows_of_one_doc_id(spark):
     assert {c for (i, _), c in got.items() if i != 1} == {3} and got[1, 2] == 1
 
 
+SEED = bytes(range(16))
+
+
 def test_jaccard_sends_what_the_text_holds(spark):
     rows = [(i, " ".join(f"w{(i * 37 + k * k) % 5000}" for k in range(150))) for i in range(3000)]
-    ids, flat, sizes = next(jaccard.units(iter([frame(spark, rows).select("doc_id", "text").toPandas()]), 5))
+    ids, flat, sizes = next(jaccard.units(iter([frame(spark, rows).select("doc_id", "text").toPandas()]), SEED, 5))
 
     def size(buckets):
         sent = jaccard.unit_rows(0, ids, flat, sizes, buckets)
         return sum(len(zlib.compress(b"".join(sent[c]), 1)) for c in ("slots", "more", "low", "high", "counts")) + 40 * len(sent)
 
     assert size(512) < 1.1 * size(8)
-    few = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=3).drop("sig", "shared", "prefix", "own")
-    many = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=200).drop("sig", "shared", "prefix", "own")
+    few = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=3, seed=SEED).drop("sig", "shared", "prefix", "own")
+    many = jaccard.profile(frame(spark, rows).select("doc_id", "text"), buckets=200, seed=SEED).drop("sig", "shared", "prefix", "own")
     assert few.exceptAll(many).count() == 0
 
 
+def test_jaccard_deals_near_misses_once(spark, monkeypatch):
+    """Families that share most shingles and link nowhere: rows dealt grow with the family, not with its square."""
+    dealt, real = [], jaccard.compared
+    monkeypatch.setattr(jaccard, "compared", lambda rows, *a: dealt.append(rows.count()) or real(rows, *a))
+    counts = []
+    for m in (250, 500, 1000):
+        common = [f"w{k}" for k in range(100)]
+        rows = [(i, " ".join(common[:50] + [f"own{i}x{k}" for k in range(15)] + common[50:])) for i in range(m)]
+        dealt.clear()
+        got = jaccard.components(frame(spark, rows)).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+        counts.append(sum(dealt))
+    assert counts[0] > 0 and counts[1] <= 2.2 * counts[0] and counts[2] <= 2.2 * counts[1]
+
+
 def test_hashed_words_are_the_words():
     texts_ = [t or "" for _, t in TEXTS] + ["A a\x1cb Ünï\u00a0x\x0b\x0cz", " lead", "trail "]
-    hashes, lengths = hashed_words(texts_)
+    hashes, lengths = hashed_words(texts_, SEED)
     flat = [w for t in texts_ for w in words(t)]
     assert lengths.tolist() == [len(words(t)) for t in texts_]
     assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
@@ -385,7 +403,7 @@ def test_decontamination_equals_full_scoring_for_any_number_of_indices(spark, mo
     assert len(expected) > 40 and found() == expected
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     monkeypatch.setattr(decontaminate, "CELLS", 500)
-    monkeypatch.setattr(decontaminate, "INDICES", 3)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", decontaminate.INDEX_BYTES + 1)
     assert found(index_words=150) == expected
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,16 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = new_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: str) -> str:
@@ -82,23 +92,31 @@ def blocks(all_texts: list[str], chars: int) -> Iterator[slice]:
         yield slice(start, len(all_texts))
 
 
-_BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]  # A-Z count as a-z
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_PLACE = 0x2545F4914F6CDD1D
 
 
-def place_values(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), np.uint64(_PLACE))])
+@cache
+def drawn(seed: bytes) -> tuple[np.ndarray, np.uint64]:
+    """Random values of the bytes (A-Z count as a-z) and a random odd factor, from a seed that each run draws."""
+    rng = np.random.default_rng(np.frombuffer(seed, np.uint64))
+    values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values[65:91] = values[97:123]
+    return values, np.uint64(int(rng.integers(0, 1 << 61)) * 8 + 5)
+
+
+def place_values(n: int, factor: np.uint64) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), factor)])
 
 
-def hashed_words(all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(all_texts: list[str], seed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the lower-cased words of all texts in order, number of words of each text).
 
     Words are what stands between ASCII white space. All bytes are hashed at once: a word is a
-    number whose figures are random values of its bytes, mixed with its length.
+    number whose figures are random values of its bytes, mixed with its length. Values and place
+    value come from the seed, so that no text can be made beforehand whose words look like others.
     """
+    values, factor = drawn(seed)
     raw = [t.encode("utf-8", "surrogatepass") for t in all_texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     blank = _BLANK[data]
@@ -110,7 +128,7 @@ def hashed_words(all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.flatnonzero(~blank)
     ends = np.cumsum(size)
     offset = np.arange(len(inside)) - np.repeat(ends - size, size)
-    figures = _BYTE_VALUES[data[inside]] * place_values(int(size.max()))[offset]
+    figures = values[data[inside]] * place_values(int(size.max()), factor)[offset]
     hashes = mix64(np.add.reduceat(figures, ends - size) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     borders = np.cumsum([len(r) + 1 for r in raw])
     return hashes, np.diff(np.searchsorted(start, borders), prepend=0)
@@ -202,6 +220,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             heard.join(jump, "component", "left")
             .select("node", F.coalesce("further", "component").alias("component")), "labels"
         )
-        if (now := _sum(new)) == held:  # labels never grow, so an equal sum means equal labels
+        now = _sum(new)
+        spent(labels)
+        if now == held:  # labels never grow, so an equal sum means equal labels
+            spent(both)
             return new
         labels, held = new, now

@@ -36,6 +36,12 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> Data
     return docs.join(F.broadcast(chosen), "doc_id")
 
 
+def first_of(rows: DataFrame, most: int) -> DataFrame:
+    """Of labelled rows those that ``labelled`` chooses for a smaller number."""
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
 def numbered(texts: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens, the number of each token in order, and how many tokens each text has."""
     known = Numbers()

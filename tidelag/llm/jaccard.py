@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import count
+from secrets import token_bytes
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, connected_components, hashed_words, mix64, read_table, release_memory, staged, tasks_for, texts
+from tidelag.llm.common import blocks, connected_components, drawn, hashed_words, mix64, read_table, release_memory, spent, staged, tasks_for, texts
 
 WIDTH = 5
 PERCENT = 75
@@ -36,22 +37,24 @@ UNIT_SHINGLES = 1_500_000
 BUCKET_CHARS = 24_000_000
 #: The least bits of a signature.
 SIGNATURE_BITS = 1024
-#: Documents and shingles of a tile that are compared in one task; larger tiles are dealt as pairs of blocks.
-TILE_BLOCK = 1000
-TILE_SHINGLES = 1_000_000
+#: Documents of a tile, and shingles behind their bitmaps, that are compared in one task; larger tiles are dealt as pairs of blocks.
+TILE_BLOCK = 8000
+TILE_SHINGLES = 16_000_000
+#: Partners of a pivot that are compared with it in one task.
+STAR = 256
 #: After the first, rounds of pivots go on while there are more open pairs than this for each open row, and a fifth of their pairs links.
 PAIRS_EACH = 2
-_K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(all_texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(all_texts: list[str], seed: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(distinct 64-bit hashes of shingles, sorted in each text, one text after another; their numbers)."""
-    words, lengths = hashed_words(all_texts)
+    words, lengths = hashed_words(all_texts, seed)
+    factor = drawn(seed)[1]
     n = np.where(lengths, np.maximum(1, lengths - width + 1), 0)
     first = np.cumsum(lengths) - lengths
     combined = np.zeros(max(0, len(words) - width + 1), np.uint64) + np.uint64(width)
     for k in range(width if len(combined) else 0):
-        combined = combined * _K + words[k : k + len(combined)]
+        combined = combined * factor + words[k : k + len(combined)]
     hashes = np.zeros(int(n.sum()), np.uint64)
     at = np.cumsum(n) - n
     whole = np.repeat(lengths >= width, n)
@@ -60,7 +63,7 @@ def shingle_sets(all_texts: list[str], width: int = WIDTH) -> tuple[np.ndarray,
     for i in np.flatnonzero((lengths > 0) & (lengths < width)).tolist():
         short = np.full(1, lengths[i], np.uint64)  # an array, which wraps around
         for w in words[first[i] : first[i] + lengths[i]]:
-            short = short * _K + w
+            short = short * factor + w
         hashes[at[i]] = short[0]
     hashes = mix64(hashes)
     for i, j in zip(at.tolist(), (at + n).tolist(), strict=True):
@@ -134,12 +137,12 @@ def keys_of(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, "<u4")
 
 
-def units(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def units(batches: Iterator[pd.DataFrame], seed: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, shingles one document after another, their numbers) of units of whole documents."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         for part in blocks(all_texts := batch.text.tolist(), BLOCK_CHARS):
-            held.append((batch.doc_id.iloc[part].to_numpy("<i8"), *shingle_sets(all_texts[part], width)))
+            held.append((batch.doc_id.iloc[part].to_numpy("<i8"), *shingle_sets(all_texts[part], seed, width)))
             if sum(len(h[1]) for h in held) >= UNIT_SHINGLES:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
@@ -243,7 +246,7 @@ def unit_sets(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")])
 
 
-def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None, seed: bytes | None = None) -> DataFrame:
     """doc_id, n, set_a, set_b (a digest of the set), stands (the smallest doc_id with this set in
     the unit), and for documents that may have a partner: prefix, shared (sorted keys that occur
     more than once), sig. A key is the number of its range of hashes above 40 bits of its hash.
@@ -252,9 +255,11 @@ def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets
         total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
         buckets = max(tasks_for(docs.sparkSession), -(-total // BUCKET_CHARS))
 
+    seed = seed or token_bytes(16)
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit = TaskContext.get().partitionId() << 24
-        for ids, flat, sizes in units(batches, width):
+        for ids, flat, sizes in units(batches, seed, width):
             yield unit_rows(unit, ids, flat, sizes, buckets)
             unit += 1
             release_memory()
@@ -289,15 +294,21 @@ def compared(dealt: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
     """
     in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
     bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
-    groups = bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "component"), "task long, doc_id long, component long")
+    groups = bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "component", "pivot"), "task long, doc_id long, component long, pivot boolean")
     near = staged(groups.distinct(), "jaccard-near")
     return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
 
 
 def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs that link; each pair is a task."""
-    ends = pairs.select(F.xxhash64("a", "b").alias("task"), F.explode(F.array("a", "b")).alias("doc_id"))
-    return compared(ends.select("*", F.lit(False).alias("guest"), F.col("doc_id").alias("component"), F.lit(0).alias("block"), F.lit(True).alias("inner")), candidates, percent)
+    """(a, b) of the pairs that link. A task is a pivot ``a`` and about ``STAR`` of its partners, so
+    that a pivot which very many pairs name brings its row once for each task, and only pairs with
+    it are compared."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", part).alias("task"))
+    hubs = dealt.select("task", F.col("a").alias("doc_id"), F.lit(True).alias("pivot")).distinct()
+    ends = hubs.unionByName(dealt.select("task", F.col("b").alias("doc_id"), F.lit(False).alias("pivot")))
+    return compared(ends.select("*", F.lit(False).alias("guest"), F.col("doc_id").alias("component"), F.col("pivot").cast("int").alias("block"), F.lit(False).alias("inner")), candidates, percent)
 
 
 def open_members(members: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
@@ -331,7 +342,7 @@ def tile_links(members: DataFrame, candidates: DataFrame, percent: int = PERCENT
     blocks_ = F.greatest(F.ceil(F.col("size") / TILE_BLOCK), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks_).cast("int")
     dealt = members.select("tile", "doc_id", "guest", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "guest", "component", "block", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("inner"))
+    dealt = dealt.select("doc_id", "guest", "component", "block", F.lit(False).alias("pivot"), F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("inner"))
     return compared(dealt, candidates, percent)
 
 
@@ -376,26 +387,27 @@ def _labels(rows: list) -> np.ndarray:
 
 
 def _near(rows: list, percent: int) -> Iterator[tuple[int, int, int]]:
-    """(group, doc_id, component) of the rows that have a partner by their bit counts."""
+    """(group, doc_id, component, pivot) of the rows that have a partner by their bit counts."""
     if len(rows) == 1:
         return
     block, guest, inner = np.array([r.block for r in rows]), np.array([r.guest for r in rows], bool), rows[0].inner
     group = np.arange(len(rows))
-    for i, j in _candidates(rows, _labels(rows), percent, lambda i, j: ~(guest[j] & guest[i]) & (inner | (block[j] != block[i]))):
+    # who is in one group already needs no comparison
+    for i, j in _candidates(rows, _labels(rows), percent, lambda i, j: ~(guest[j] & guest[i]) & (inner | (block[j] != block[i])) & (group[j] != group[i])):
         group[np.isin(group, group[j])] = group[i]
     order = np.argsort(group, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(own) > 1:
             ids = np.array([rows[x].doc_id for x in own.tolist()], "<i8")
             name = int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-            yield from ((name, rows[x].doc_id, rows[x].component) for x in own.tolist())
+            yield from ((name, rows[x].doc_id, rows[x].component, rows[x].pivot) for x in own.tolist())
 
 
 def _join(rows: list, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join the components of these rows, by exact intersections."""
-    label = _labels(rows)
+    """Links that join the components of these rows, by exact intersections; with a pivot among them, only its own."""
+    label, pivot = _labels(rows), np.array([r.pivot for r in rows], bool)
     shared = [np.frombuffer(r.shared, np.uint64) for r in rows]
-    for i, j in _candidates(rows, label, percent):
+    for i, j in _candidates(rows, label, percent, (lambda i, j: pivot[i] | pivot[j]) if pivot.any() else None):
         n = np.array([rows[x].n for x in j.tolist()], np.int64)
         for x in j[linked(rows[i].n, n, overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
             if label[x] != label[i]:
@@ -423,6 +435,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     one_each = standing.where("prefix is not null").join(first, sets).where("doc_id = first")  # a repeated row may stand twice; it only meets itself
     candidates = staged(one_each.drop("first", "stands"), "jaccard-candidates")
     members = staged(tiles(candidates), "jaccard-tiles")
+    spent(table)
     several = classes.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
     links = staged(classes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-links")
     found = connected_components(links) if links.limit(1).count() else None
@@ -434,13 +447,18 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs <= asked):
             new = staged(tile_links(open_, candidates, percent), "jaccard-links")
         else:
-            drawn = staged(star_pairs(open_), "jaccard-pairs")
-            new = staged(verify(drawn, candidates, percent), "jaccard-links")
-            asked, linked_pairs = drawn.count(), new.count()
+            pairs_drawn = staged(star_pairs(open_), "jaccard-pairs")
+            new = staged(verify(pairs_drawn, candidates, percent), "jaccard-links")
+            asked, linked_pairs = pairs_drawn.count(), new.count()
+            spent(pairs_drawn)
+        spent(open_)
         links = links.union(new)
+        if found is not None:
+            spent(found)
         found = connected_components(links)
         if last:
             break
+    spent(members)
     if found is None:
         return classes.select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
     joined = classes.join(found.withColumnRenamed("node", "first"), "first", "left")

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, read_table, release_memory, texts
-from tidelag.llm.features import BLOCK_CHARS, class_counts, labelled, ngram_indicators, remainder5
+from tidelag.llm.common import blocks, read_table, release_memory, spent, staged, texts
+from tidelag.llm.features import BLOCK_CHARS, class_counts, first_of, labelled, ngram_indicators, remainder5
 
 BITS = 18
 LABELLED_ROWS = 20_000
@@ -83,7 +83,8 @@ def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Learn from ``labels.quality``; without labels of both kinds every score is the share of ones."""
-    rows = labelled(docs, labels, "quality", LABELLED_ROWS).select("doc_id", "text", "label")
+    # the labelled texts, of a bounded number, are read once
+    rows = staged(labelled(docs, labels, "quality", max(LABELLED_ROWS, fit_rows)).select("doc_id", "text", "label"), "quality-rows")
     negative, positive = class_counts(rows, bits)
     ratio = log_count_ratios(negative, positive)
 
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
                 found = [feature[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "label": batch.label.iloc[part], "features": found})
 
-    fitted = labelled(docs, labels, "quality", fit_rows).select("doc_id", "text", "label").mapInPandas(featurise, "doc_id long, label int, features binary").collect()
+    fitted = first_of(rows, fit_rows).mapInPandas(featurise, "doc_id long, label int, features binary").collect()
+    spent(rows)
     fitted.sort(key=lambda r: r.doc_id)
     order = np.random.default_rng(11).permutation(len(fitted))
     y = np.array([1.0 if fitted[i].label > 0 else -1.0 for i in order])

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, read_table, release_memory, tasks_for, texts
-from tidelag.llm.features import BLOCK_CHARS, labelled, word_counts, word_hashes
+from tidelag.llm.common import blocks, read_table, release_memory, spent, staged, tasks_for, texts
+from tidelag.llm.features import BLOCK_CHARS, first_of, labelled, word_counts, word_hashes
 
 GRADES = 3
 #: Labelled documents that words are chosen from, and those of them that weights are fitted on.
@@ -92,7 +92,8 @@ def select_words(counts: DataFrame, n_positive: int, n_negative: int, most: int)
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words: int = WORDS) -> SeverityModel:
     """Learn from ``labels.toxic``; without toxic labels nothing is toxic."""
-    rows = labelled(docs, labels, "toxic", LABELLED_ROWS).select("doc_id", "text", "label")
+    # the labelled texts, of a bounded number, are read once
+    rows = staged(labelled(docs, labels, "toxic", max(LABELLED_ROWS, fit_rows)).select("doc_id", "text", "label"), "toxicity-rows")
     sizes = {r.label > 0: r["count"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
     positive, negative = sizes.get(True, 0), sizes.get(False, 0)
     if not positive or not negative:
@@ -108,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_words
                 ends = np.searchsorted(doc, np.arange(len(chunk) + 1))
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part], "label": batch.label.iloc[part], "found": [at[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]})
 
-    fitted = labelled(docs, labels, "toxic", fit_rows).select("doc_id", "text", "label").mapInPandas(featurise, "doc_id long, label int, found binary").collect()
+    fitted = first_of(rows, fit_rows).mapInPandas(featurise, "doc_id long, label int, found binary").collect()
+    spent(rows)
     fitted.sort(key=lambda r: r.doc_id)
     found = [np.frombuffer(r.found, "<i4").astype(np.int64) for r in fitted]
     grade = np.array([min(GRADES, max(1, len(f))) if r.label > 0 else 0 for r, f in zip(fitted, found, strict=True)])
