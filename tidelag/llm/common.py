@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.sources.shared import new_path
@@ -45,6 +45,13 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return out
 
 
+def staged_and_seen(df: DataFrame, name: str, **figures: F.Column) -> tuple[DataFrame, dict]:
+    """``staged``, with aggregates of the rows that are observed as they are written, so that no job counts them after."""
+    seen = Observation()
+    table = staged(df.observe(seen, *(c.alias(k) for k, c in figures.items())), name)
+    return table, seen.get
+
+
 def spent(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: what was made of them is written."""
     for table in tables:
@@ -188,10 +195,6 @@ def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sum(labels: DataFrame):
-    return labels.agg(F.sum(F.col("component").cast("decimal(28,0)"))).first()[0]
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of ``edges`` (a, b): the smallest reachable node.
 
@@ -204,10 +207,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .union(edges.select(F.col("b").cast("long"), F.col("a").cast("long")))
         .where("a <> b").distinct(), "edges",
     )
-    labels = staged(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels"
+    total = F.sum(F.col("component").cast("decimal(28,0)"))
+    labels, held = staged_and_seen(
+        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels", total=total
     )
-    held = _sum(labels)
     while True:
         heard = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -216,11 +219,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .groupBy("node").agg(F.min("component").alias("component"))
         )
         jump = heard.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = staged(
+        new, now = staged_and_seen(
             heard.join(jump, "component", "left")
-            .select("node", F.coalesce("further", "component").alias("component")), "labels"
+            .select("node", F.coalesce("further", "component").alias("component")), "labels", total=total
         )
-        now = _sum(new)
         spent(labels)
         if now == held:  # labels never grow, so an equal sum means equal labels
             spent(both)

@@ -7,7 +7,7 @@
 2. A document's rarest shingles form its prefix; two documents that reach the threshold share
    one of them. Documents with too many shingles of their own have no partner.
 3. A tile holds the documents of neighbouring size bands that share a prefix shingle; of tiles
-   with the same members one is kept. In each round every document is compared with one pivot,
+   with the same members one is kept. In each round, of a few, every document is compared with one pivot,
    drawn anew, outside its component; the tiles that still hold several components after that
    are compared in tasks that join what links at once and send links that span it, never pairs.
 4. Pairs are bounded by the bit counts of hashed bitmap signatures, whose length grows with the
@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import blocks, connected_components, drawn, hashed_words, mix64, read_table, release_memory, spent, staged, tasks_for, texts
+from tidelag.llm.common import blocks, connected_components, drawn, from_planes, hashed_words, mix64, read_table, release_memory, spent, staged, staged_and_seen, tasks_for, texts
+from tidelag.llm.common import planes as byte_planes
 
 WIDTH = 5
 PERCENT = 75
@@ -39,11 +40,12 @@ BUCKET_CHARS = 24_000_000
 SIGNATURE_BITS = 1024
 #: Documents of a tile, and shingles behind their bitmaps, that are compared in one task; larger tiles are dealt as pairs of blocks.
 TILE_BLOCK = 8000
-TILE_SHINGLES = 16_000_000
-#: Partners of a pivot that are compared with it in one task.
-STAR = 256
-#: After the first, rounds of pivots go on while there are more open pairs than this for each open row, and a fifth of their pairs links.
-PAIRS_EACH = 2
+TILE_SHINGLES = 4_000_000
+#: Pairs with pivots, of all, for each part that the partners of one pivot are dealt to.
+STAR = 4096
+#: After the first, rounds of pivots go on, up to ``TURNS``, while there are more open pairs than this for each open row, and a
+#: fifth of their pairs links; what is open then is compared in tiles, whole.
+PAIRS_EACH, TURNS = 2, 3
 
 
 def shingle_sets(all_texts: list[str], seed: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +139,15 @@ def keys_of(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, "<u4")
 
 
+def packed_keys(found: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, of which the upper bytes are mostly zero."""
+    return byte_planes(np.diff(found, prepend=np.uint64(0)), "<u8")
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
+
+
 def units(batches: Iterator[pd.DataFrame], seed: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, shingles one document after another, their numbers) of units of whole documents."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -239,7 +250,7 @@ def unit_sets(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
         head = (ids[i], n, digest[i, 0], digest[i, 1], stands[i], len(own))
         if left > 0 and len(own):
             found = np.sort(keys[own])
-            rows.append((*head, keys[own[:left]].view(np.int64), found.tobytes(), signature(found).tobytes()))
+            rows.append((*head, keys[own[:left]].view(np.int64), packed_keys(found), signature(found).tobytes()))
         else:
             rows.append((*head, None, None, None))
     release_memory()
@@ -299,15 +310,15 @@ def compared(dealt: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
     return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
 
 
-def verify(pairs: DataFrame, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs that link. A task is a pivot ``a`` and about ``STAR`` of its partners, so
-    that a pivot which very many pairs name brings its row once for each task, and only pairs with
-    it are compared."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", part).alias("task"))
-    hubs = dealt.select("task", F.col("a").alias("doc_id"), F.lit(True).alias("pivot")).distinct()
-    ends = hubs.unionByName(dealt.select("task", F.col("b").alias("doc_id"), F.lit(False).alias("pivot")))
+def verify(pairs: DataFrame, asked: int, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the ``asked`` pairs that link. A task is a pivot ``a`` and some of its partners, so that a
+    pivot which very many pairs name brings its row once for each task, and only pairs with it
+    are compared. A pivot's partners lie in as many tasks as ``STAR`` of all pairs fill, or fewer."""
+    parts = -(-asked // STAR)
+    task = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(max(1, parts)))).alias("task")
+    stars = pairs.groupBy("a", task).agg(F.collect_list("b").alias("bs"))
+    end = lambda doc_id, pivot: F.struct(doc_id.alias("doc_id"), F.lit(pivot).alias("pivot"))
+    ends = stars.select("task", F.inline(F.concat(F.array(end(F.col("a"), True)), F.transform("bs", lambda x: end(x, False)))))
     return compared(ends.select("*", F.lit(False).alias("guest"), F.col("doc_id").alias("component"), F.col("pivot").cast("int").alias("block"), F.lit(False).alias("inner")), candidates, percent)
 
 
@@ -406,7 +417,7 @@ def _near(rows: list, percent: int) -> Iterator[tuple[int, int, int]]:
 def _join(rows: list, percent: int) -> Iterator[tuple[int, int]]:
     """Links that join the components of these rows, by exact intersections; with a pivot among them, only its own."""
     label, pivot = _labels(rows), np.array([r.pivot for r in rows], bool)
-    shared = [np.frombuffer(r.shared, np.uint64) for r in rows]
+    shared = [unpacked_keys(r.shared) for r in rows]
     for i, j in _candidates(rows, label, percent, (lambda i, j: pivot[i] | pivot[j]) if pivot.any() else None):
         n = np.array([rows[x].n for x in j.tolist()], np.int64)
         for x in j[linked(rows[i].n, n, overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
@@ -432,24 +443,25 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     classes = staged(
         table.select("doc_id", "n", "stands", *sets).join(by_standing, ["stands", *sets], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "jaccard-classes"
     )
-    one_each = standing.where("prefix is not null").join(first, sets).where("doc_id = first")  # a repeated row may stand twice; it only meets itself
-    candidates = staged(one_each.drop("first", "stands"), "jaccard-candidates")
-    members = staged(tiles(candidates), "jaccard-tiles")
-    spent(table)
+    # rows of all standing sets stay where they are; which of equal sets meet others is told by narrow rows
+    candidates = standing.where("prefix is not null").select("doc_id", "n", "own", "shared", "sig")
+    ones = standing.where("prefix is not null").select("doc_id", *sets).join(first, sets).where("doc_id = first").select("doc_id", *sets).distinct()
+    members = staged(tiles(standing.where("prefix is not null").select("doc_id", *sets, "n", "own", "prefix").join(ones, ["doc_id", *sets], "left_semi")), "jaccard-tiles")
     several = classes.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
     links = staged(classes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-links")
     found = connected_components(links) if links.limit(1).count() else None
     for turn in count():
-        open_ = staged(open_members(members, found, turn), "jaccard-open")
-        rows, pairs = open_.agg(F.count("*"), F.sum(F.col("pairs") / F.col("size"))).first()
+        open_, seen = staged_and_seen(open_members(members, found, turn), "jaccard-open", rows=F.count("*"), pairs=F.sum(F.col("pairs") / F.col("size")))
+        rows, pairs = seen.get("rows") or 0, seen.get("pairs") or 0
         if not rows:
             break
-        if last := turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs <= asked):
+        if last := turn >= TURNS or turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs <= asked):
             new = staged(tile_links(open_, candidates, percent), "jaccard-links")
         else:
-            pairs_drawn = staged(star_pairs(open_), "jaccard-pairs")
-            new = staged(verify(pairs_drawn, candidates, percent), "jaccard-links")
-            asked, linked_pairs = pairs_drawn.count(), new.count()
+            pairs_drawn, seen = staged_and_seen(star_pairs(open_), "jaccard-pairs", n=F.count("*"))
+            asked = seen.get("n") or 0
+            new, seen = staged_and_seen(verify(pairs_drawn, asked, candidates, percent), "jaccard-links", n=F.count("*"))
+            linked_pairs = seen.get("n") or 0
             spent(pairs_drawn)
         spent(open_)
         links = links.union(new)
@@ -458,7 +470,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         found = connected_components(links)
         if last:
             break
-    spent(members)
+    spent(members, table)
     if found is None:
         return classes.select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
     joined = classes.join(found.withColumnRenamed("node", "first"), "first", "left")
