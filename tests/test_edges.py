@@ -77,3 +77,35 @@ def test_first_and_last(spark):
     rows = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("b", 3, 1.0)], "k string, ord long, v double")
     assert {r.k: r.v for r in first_value(rows, ["k"], "v", "ord").collect()} == {"a": 5.0, "b": 1.0}
     assert {r.k: r.v for r in keep_last(rows, ["k"], "ord").collect()} == {"a": 7.0, "b": 1.0}
+
+
+def test_copies_of_words_meet_once_and_leave_as_pairs(spark, monkeypatch):
+    """Many keys of few sets: sets are compared, keys travel in packs, and every pair comes out."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(resolve, "PACK", 20)
+    texts = ["a b c d e", "e d c b a a", "a b c d", "x y", "", "b c d e"]
+    words = {k: set(texts[k % len(texts)].split()) for k in range(300)}
+    rows = spark.createDataFrame([(k, texts[k % len(texts)].split()) for k in range(300)], "id long, tokens array<string>")
+    wanted = {(a, b) for a, b in combinations(range(300), 2) if words[a] | words[b] and len(words[a] & words[b]) >= 0.8 * len(words[a] | words[b])}
+    got = resolve.token_pairs(rows, rows, "id", "id", 0.8, ordered=True).collect()
+    assert len(got) == len(wanted) and {(r.k1, r.k2) for r in got} == wanted
+    sets = resolve.with_sets(rows, "id", "id")
+    assert sets.select("t").distinct().count() == 4 and resolve.set_pairs(sets, sets, 0.8).count() == 8
+    assert resolve.in_packs(sets, "id", "t").select(F.max(F.size("ids"))).first()[0] <= 45
+
+
+def test_the_first_of_firms_with_equal_words_wins(spark):
+    firms = spark.createDataFrame([(9, "Z", ["p", "q"]), (3, "T", ["q", "p", "p"]), (1, None, ["p", "q", "r"]), (2, "U", ["p", "q", "s"])], "ord long, tic string, tokens array<string>")
+    names = spark.createDataFrame([("p q",), ("Q-P",), ("p q t",), ("",)], "name string")
+    firms = firms.select("ord", "tic", spark_upper("tokens").alias("tokens"))
+    got = {(r.name, r.tic, round(r.score, 6)) for r in resolve.best_jaccard(names, firms).collect()}
+    assert got == {("p q", "T", 1.0), ("Q-P", "T", 1.0), ("p q t", "T", 0.666667)}
+
+
+def spark_upper(column):
+    from pyspark.sql import functions as F
+
+    return F.transform(column, F.upper)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.functions.text import normalise, strip_suffixes, tokens
 from tidelag.operators.dedupe import first_value, keep_first
 
 THRESHOLD = 0.6
+#: Keys of one set that travel as one row.
+PACK = 500
 
 
 def dictionary(firms: DataFrame) -> DataFrame:
@@ -31,33 +33,65 @@ def stripped(names: DataFrame, firms: DataFrame) -> DataFrame:
     return names.withColumn("stripped", strip_suffixes(F.col("name"))).join(keys, "stripped", "left")
 
 
-def token_pairs(left: DataFrame, right: DataFrame, key_left: str, key_right: str, threshold: float = THRESHOLD, ordered: bool = False) -> DataFrame:
-    """(k1, k2, score) of rows whose token sets have a Jaccard similarity of ``threshold`` or more.
+def with_sets(rows: DataFrame, key: str, k: str) -> DataFrame:
+    """(k, t): keys with their words as a set in order, so that equal sets are equal; rows without words go."""
+    sets = rows.select(F.col(key).alias(k), F.array_sort(F.array_distinct("tokens")).alias("t"))
+    return sets.where(F.size("t") > 0).distinct()
+
+
+def set_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(t1, t2, score) of the distinct sets ``t`` whose Jaccard similarity is ``threshold`` or more.
 
     Sets of that similarity share one of the rarest words of each, so many that the rest is too
-    small; only rows that share such a word meet, so common words bring nobody together. Sizes
-    that rule a match out are dropped in the join, with ``ordered`` also pairs that are not k1 < k2.
+    small; only sets that share such a word meet, so common words bring nobody together. Sizes
+    that rule a match out are dropped in the join.
     """
-    words = lambda rows, key, k: rows.select(F.col(key).alias(k), F.array_distinct("tokens").alias("t")).distinct()
-    one, two = words(left, key_left, "k1"), words(right, key_right, "k2")
-    each = lambda rows, k: rows.select(k, "t", F.explode("t").alias("word"))
-    df = each(one, "k1").select("word").unionAll(each(two, "k2").select("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rare = lambda rows, k: (
-        each(rows, k).join(df, "word").groupBy(k, "t").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
-        .select(k, "t", F.explode(F.slice(F.transform("w", lambda x: x["word"]), 1, (F.size("t") - F.ceil(threshold * F.size("t") - 1e-9) + 1).cast("int"))).alias("word"))
+    one, two = left.select("t").distinct(), right.select("t").distinct()
+    each = lambda sets: sets.select("t", F.explode("t").alias("word"))
+    df = each(one).select("word").unionAll(each(two).select("word")).groupBy("word").agg(F.count("*").alias("df"))
+    rare = lambda sets: (
+        each(sets).join(df, "word").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+        .select("t", F.explode(F.slice(F.transform("w", lambda x: x["word"]), 1, (F.size("t") - F.ceil(threshold * F.size("t") - 1e-9) + 1).cast("int"))).alias("word"))
     )
     n1, n2 = F.size("t1"), F.size("t2")
-    near = (F.least(n1, n2) >= threshold * F.greatest(n1, n2) - 1e-9) & (F.col("k1") < F.col("k2") if ordered else F.lit(True))
-    met = rare(one, "k1").withColumnRenamed("t", "t1").join(rare(two, "k2").withColumnRenamed("t", "t2"), "word").where(near)
+    near = F.least(n1, n2) >= threshold * F.greatest(n1, n2) - 1e-9
+    met = rare(one).withColumnRenamed("t", "t1").join(rare(two).withColumnRenamed("t", "t2"), "word").where(near)
     both = F.size(F.array_intersect("t1", "t2"))
-    return met.select("k1", "k2", (both / (n1 + n2 - both)).alias("score")).where(F.col("score") >= threshold).distinct()
+    return met.select("t1", "t2", (both / (n1 + n2 - both)).alias("score")).where(F.col("score") >= threshold).distinct()
+
+
+def in_packs(rows: DataFrame, k: str, t: str) -> DataFrame:
+    """(t, keys): the keys of each set in packs of some ``PACK``, so that no set of many keys is one row."""
+    sizes = rows.groupBy("t").agg(F.ceil(F.count("*") / PACK).alias("packs"))
+    packed = rows.join(sizes, "t").groupBy("t", F.pmod(F.xxhash64(k), F.col("packs")).alias("pack")).agg(F.collect_list(k).alias(f"{k}s"))
+    return packed.select(F.col("t").alias(t), f"{k}s")
+
+
+def token_pairs(left: DataFrame, right: DataFrame, key_left: str, key_right: str, threshold: float = THRESHOLD, ordered: bool = False) -> DataFrame:
+    """(k1, k2, score) of rows whose token sets have a Jaccard similarity of ``threshold`` or more; a key has one set.
+
+    Each distinct set is compared once; its keys come in packs when all is decided, and pairs of
+    keys are only made where they leave. With ``ordered`` pairs that are not k1 < k2 are left out.
+    """
+    one, two = with_sets(left, key_left, "k1"), with_sets(right, key_right, "k2")
+    packs = set_pairs(one, two, threshold).join(in_packs(one, "k1", "t1"), "t1").join(in_packs(two, "k2", "t2"), "t2").select("k1s", "k2s", "score")
+    if ordered:
+        packs = packs.where(F.array_min("k1s") < F.array_max("k2s"))
+    found = packs.repartition("k1s", "k2s").select(F.explode("k1s").alias("k1"), "k2s", "score").select("k1", F.explode("k2s").alias("k2"), "score")
+    return found.where("k1 < k2") if ordered else found
 
 
 def best_jaccard(names: DataFrame, firms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(name, tic, score): the firm with the most similar words; of ties the first firm."""
-    pairs = token_pairs(names.select("name", tokens(F.col("name")).alias("tokens")), firms, "name", "ord", threshold)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("score"), F.asc("k2"))))
-    return ranked.where("rank = 1").join(firms.select(F.col("ord").alias("k2"), "tic"), "k2").select(F.col("k1").alias("name"), "tic", "score")
+    """(name, tic, score): the firm with the most similar words; of ties the first firm.
+
+    Of the firms with one set of words only the first can be chosen, and equal sets of names choose
+    alike, so distinct sets are all that meets.
+    """
+    asked = with_sets(names.select("name", tokens(F.col("name")).alias("tokens")), "name", "name")
+    firsts = with_sets(firms.select(F.struct("ord", "tic").alias("firm"), "tokens"), "firm", "firm").groupBy(F.col("t").alias("t2")).agg(F.min("firm").alias("firm"))
+    pairs = set_pairs(asked, firsts.withColumnRenamed("t2", "t"), threshold).join(firsts, "t2")
+    best = pairs.groupBy(F.col("t1").alias("t")).agg(F.min(F.struct((-F.col("score")).alias("less"), "firm")).alias("best"))
+    return asked.join(best, "t").select("name", F.col("best.firm.tic").alias("tic"), (-F.col("best.less")).alias("score"))
 
 
 def resolve(names: DataFrame, firms: DataFrame, mode: str = "compat", threshold: float = THRESHOLD) -> DataFrame:
