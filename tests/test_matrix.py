@@ -176,3 +176,31 @@ def test_spectrum_of_nothing(spark, skew):
     flat = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0)], "i string, j string, value double")
     assert [x.eigval for x in spectral.eigenvalues(flat).collect()] == [0.0, 0.0]
     assert spectral.eigenvectors(flat, 2).count() == 4 and spectral.permutation_null(flat, 2).first().null_maxeig == 0.0
+
+
+@pytest.mark.parametrize(("n", "cells", "scale"), [(150, 3000, 1.0), (300, 900, 1e-6), (2, 1, 1.0), (3, 2, 1e6), (40, 30, 1.0)])
+def test_largest_value_without_a_space(monkeypatch, n, cells, scale):
+    monkeypatch.setattr(lanczos, "SLICE", 64)
+    r, c, value, dense = random_skew(n, cells)
+    held = lanczos.Cells(r, c, value * scale, n)
+    x = np.random.default_rng(1).standard_normal(n)
+    assert np.allclose(held.times(x), scale * dense @ x)
+    assert lanczos.largest_value(held) == pytest.approx(scale * np.linalg.eigvalsh(1j * dense)[-1], rel=1e-8)
+
+
+def test_equal_largest_values():
+    r = 2 * np.arange(25)
+    assert lanczos.largest_value(lanczos.Cells(r, r + 1, np.r_[np.full(20, 3.0), np.ones(5)], 80)) == pytest.approx(3.0, abs=1e-8)
+
+
+def test_matrices_that_the_driver_does_not_gather(spark, monkeypatch):
+    """More cells than are gathered: the same null from tasks that get the cells by a shuffle."""
+    held = spectral.Skew(as_matrix(spark, *random_skew(60, 500, 4)[:3]))
+    wanted = {x.perm_id: x.null_maxeig for x in spectral.permutation_null(held, 30, 1).collect()}
+    monkeypatch.setattr(spectral, "GATHERED", 100)
+    monkeypatch.setattr(spectral, "AT_ONCE", 64)
+    with pytest.raises(ValueError):
+        held.arrays()
+    got = {x.perm_id: x.null_maxeig for x in spectral.permutation_null(held, 30, 1).collect()}
+    assert set(got) == set(range(30)) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in got)
+    assert spectral.largest(held) > 0
