@@ -204,3 +204,20 @@ def test_matrices_that_the_driver_does_not_gather(spark, monkeypatch):
     got = {x.perm_id: x.null_maxeig for x in spectral.permutation_null(held, 30, 1).collect()}
     assert set(got) == set(range(30)) and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in got)
     assert spectral.largest(held) > 0
+
+
+def test_moments_of_more_nodes_than_a_whole_spectrum(spark, monkeypatch):
+    r, c, value, dense = random_skew(40, 200, 8)
+    r, c, value = np.r_[r, np.zeros(30, int)], np.r_[c, np.arange(40, 70)], np.r_[value, np.linspace(1, 2, 30)]  # a hub
+    monkeypatch.setattr(spectral, "MOST_NODES", 10)
+    dense = np.zeros((70, 70))
+    dense[r, c], dense[c, r] = value, -value
+    got = spectral.moments(as_matrix(spark, r, c, value)).first()
+    powers = np.linalg.eigvalsh(1j * dense)
+    assert got.n == 70 and got.squares == pytest.approx((powers**2).sum()) and got.fourths == pytest.approx((powers**4).sum())
+
+
+def test_pairs_without_returns_go_before_the_regressions(spark):
+    series = spark.createDataFrame([("a", 0, 0.1), ("b", 0, 0.1)], "gvkey string, t_idx int, r double")
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "b", 0.7), ("a", "zz", 1.0), ("yy", "b", 1.0)], "customer_gvkey string, supplier_gvkey string, weight_wji double")
+    assert sorted(tuple(x) for x in matrix.both_ways(matrix.among(series, edges)).collect()) == [("a", "b"), ("b", "a")]
