@@ -81,3 +81,30 @@ def test_fixed_effects_equal_dummy_regression(spark):
     error = math.sqrt((bread @ scores.T @ scores @ bread)[0, 0] * g / (g - 1) * (n - 1) / (n - k))
     assert fit["se"] == pytest.approx(error, rel=1e-6) and 0 <= fit["p"] <= 1
     assert math.isnan(panelreg.within_ols(frame.limit(3), ["y"], ["a", "b"], "e")[0]["beta"])
+
+
+def test_signal_in_groups_of_few_intervals(spark, monkeypatch):
+    """Hot entities over several groups, gaps, NULL returns and weights, several blocks: against plain loops."""
+    import datetime as dt
+
+    import numpy as np
+
+    from tidelag.operators import asof
+
+    monkeypatch.setattr(asof, "GROUP", 40)
+    monkeypatch.setattr(asof, "AT_ONCE", 16)
+    rng = np.random.default_rng(3)
+    day = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(70)]
+    r = {(f"s{s}", d): None if rng.random() < 0.1 else float(rng.normal()) for s in range(30) for d in day if rng.random() < 0.8}
+    edges = {(f"e{e}", f"s{s}", day[int(rng.integers(70))]): None if rng.random() < 0.1 else float(rng.random()) for e, most in ((0, 90), (1, 10), (2, 3)) for s in rng.integers(0, 35, most).tolist()}
+    got = asof.signal(
+        spark.createDataFrame([(s, d, v) for (s, d), v in r.items()], "gvkey string, date date, r double"),
+        spark.createDataFrame([(*k, w) for k, w in edges.items()], "supplier_gvkey string, customer_gvkey string, date date, weight_wji double"), "supplier_gvkey", "customer_gvkey", "y",
+    ).collect()
+    wanted = {}
+    for (e, s, lo), w in edges.items():
+        hi = min((d for a, b, d in edges if (a, b) == (e, s) and d > lo), default=dt.date.max)
+        for d in day:
+            if lo <= d < hi and (s, d) in r:
+                wanted[e, d] = wanted.get((e, d), 0.0) + (0.0 if w is None or r[s, d] is None else w * r[s, d])
+    assert len(got) == len(wanted) and {(x.supplier_gvkey, x.date): round(x.y, 9) for x in got} == {k: round(v, 9) for k, v in wanted.items()}
