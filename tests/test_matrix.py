@@ -221,3 +221,11 @@ def test_pairs_without_returns_go_before_the_regressions(spark):
     series = spark.createDataFrame([("a", 0, 0.1), ("b", 0, 0.1)], "gvkey string, t_idx int, r double")
     edges = spark.createDataFrame([("a", "b", 0.5), ("a", "b", 0.7), ("a", "zz", 1.0), ("yy", "b", 1.0)], "customer_gvkey string, supplier_gvkey string, weight_wji double")
     assert sorted(tuple(x) for x in matrix.both_ways(matrix.among(series, edges)).collect()) == [("a", "b"), ("b", "a")]
+
+
+@pytest.mark.parametrize("vectors", [68, 84, 164])
+def test_the_matrix_of_60_times_the_tables_fits_a_task(vectors):
+    """2, 10 and 50 pairs of 89,983 nodes and 3,224,644 cells: what all steps over tables would rewrite stays in one task."""
+    s = object.__new__(spectral.Skew)
+    s.n, s.count = 89_983, 3_224_644
+    assert s.fits(2 * vectors)
