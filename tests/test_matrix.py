@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidelag.operators import lanczos, matrix, spectral
@@ -229,3 +230,22 @@ def test_the_matrix_of_60_times_the_tables_fits_a_task(vectors):
     s = object.__new__(spectral.Skew)
     s.n, s.count = 89_983, 3_224_644
     assert s.fits(2 * vectors)
+
+
+def test_whole_spectrum_by_connected_parts(spark):
+    """More nodes than one dense matrix may have: a star, many pairs, a ring with chords, and a node without cells."""
+    rng = np.random.default_rng(5)
+    star = [(f"h{0:05d}", f"h{i:05d}", 1.0 + i % 3) for i in range(1, 4500)]
+    pairs = [(f"p{i:05d}a", f"p{i:05d}b", float(i + 1)) for i in range(40)]
+    ring = {(i, (i + d) % 21): float(rng.normal()) for i in range(21) for d in (1, 3)}
+    rows = star + pairs + [(f"r{i:02d}", f"r{j:02d}", v) for (i, j), v in ring.items()] + [("z", "z", 0.0)]
+    cells = pd.DataFrame([x for i, j, v in rows for x in ((i, j, v), (j, i, -v))], columns=["i", "j", "value"])
+    got = spectral.eigenvalues(spark.createDataFrame(cells)).orderBy("rank").toPandas()
+    dense = np.zeros((21, 21), complex)
+    for (i, j), v in ring.items():
+        dense[i, j], dense[j, i] = 1j * v, -1j * v
+    sigma = np.sqrt(sum(v * v for _, _, v in star))
+    want = [sigma, -sigma, *[x for p in pairs for x in (p[2], -p[2])], *np.linalg.eigvalsh(dense)]
+    want = np.sort(np.concatenate([want, np.zeros(4500 + 80 + 21 + 1 - len(want))]))[::-1]
+    assert got["rank"].tolist() == list(range(1, 4603))
+    assert np.allclose(got.eigval, want, atol=1e-9)
