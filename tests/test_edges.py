@@ -109,3 +109,9 @@ def spark_upper(column):
     from pyspark.sql import functions as F
 
     return F.transform(column, F.upper)
+
+
+def test_segments_are_evaluated_once(classified):
+    """What is left to evaluate holds the table of sales alone; segments were written with their names and sales read."""
+    plan = classified._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1

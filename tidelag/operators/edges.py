@@ -15,16 +15,19 @@ def classify(segments: DataFrame, firms: DataFrame, fundamentals: DataFrame, ign
     """Every segment with ``disposition``, tested in this order: ignore, no_sale, unresolved,
     self_loop, no_fund, valid; and with what its edge needs.
 
-    Only names of rows that get as far reach the resolver, each distinct name once.
+    Segments are written once, with their names and sales read; what a name needs is found once for
+    each distinct one. Only names of rows that get as far reach the resolver.
     """
-    name = trim_blanks(F.coalesce("cnms", F.lit("")))
-    rows = segments.select("ord", "tic", "srcdate", "gvkey", name.alias("name"), leading_number(F.col("salecs")).alias("sales"))
-    rows = rows.withColumn("norm", normalise(F.col("name"))).withColumn("ignored", is_ignored(F.col("norm"), ignored))
+    read = segments.select("ord", "tic", "srcdate", "gvkey", trim_blanks(F.coalesce("cnms", F.lit(""))).alias("name"), leading_number(F.col("salecs")).alias("sales"))
+    rows = staged(read, "segment-rows")
+    names = staged(rows.groupBy("name").agg(F.count_if(F.col("sales") > 0).alias("n")).withColumn("ignored", is_ignored(normalise(F.col("name")), ignored)), "names")
+    out = staged(names.where("ignored"), "ignored-names").select("name", "ignored")
+    rows = rows.join(out, "name", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
     reaches = F.coalesce(~F.col("ignored") & (F.col("sales") > 0), F.lit(False))
-    asked = staged(rows.where(reaches).groupBy("name").agg(F.count("*").alias("n")), "asked-names")
+    asked = names.where("not ignored and n > 0").select("name", "n")
     found = staged(resolve(asked, firms, mode).select("name", F.col("tic").alias("customer_tic"), F.col("tier").alias("match_tier")), "resolved-names")
     funds = fundamentals.where("sale > 0").select("gvkey", F.col("datadate").alias("srcdate"), F.col("sale").alias("total_sale"))
-    joined = with_firms(rows.withColumn("reaches", reaches), found, asked).join(funds, ["gvkey", "srcdate"], "left")
+    joined = with_firms(rows.withColumn("reaches", reaches), found, asked).join(funds, ["gvkey", "srcdate"], "left").withColumn("norm", normalise(F.col("name")))
     outcome = (
         F.when(F.col("ignored"), "ignore")
         .when(F.coalesce(F.col("sales") > 0, F.lit(False)) == False, "no_sale")  # noqa: E712
@@ -76,7 +79,8 @@ def report(figures: dict, names: dict[int, int], customers: int, suppliers: int)
 
 
 def edge_list(classified: DataFrame) -> DataFrame:
-    return classified.where("disposition = 'valid'").select(
+    """The valid rows; what they must be is also said of the columns, so that the others go before the joins."""
+    return classified.where("disposition = 'valid' and not ignored and sales > 0 and total_sale is not null").select(
         "ord", F.col("srcdate").alias("date"), "customer_tic", F.col("tic").alias("supplier_tic"), F.col("gvkey").alias("supplier_gvkey"),
         F.col("sales").alias("salecs"), "total_sale", "weight_wji", "match_tier",
     )
