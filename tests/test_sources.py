@@ -145,3 +145,14 @@ def test_scores_are_written_in_order(spark, tmp_path):
     got = [r.score for r in readers.read_edge_scores(spark, str(tmp_path / "scores")).orderBy("rank").collect()]
     numbers = [s for s in got if s is not None]
     assert len(got) == 5000 and numbers == sorted(numbers, reverse=True) and got[len(numbers) :] == [None] * (5000 - len(numbers))
+
+
+def test_first_lines_go_without_sorting_files(spark, tmp_path):
+    """The first line of each file goes, be it short or empty; the same line further on stays."""
+    header = "tic,srcdate,gvkey,conm,cid,cnms,salecs,sid"
+    for name, lines in {"a": [header, header, "A,2020-01-01,1,,,x,5,"], "b": ["short", "B,2020-01-01,1,,,x,5,"], "c": ["", header, "C,2020-01-01,1,,,x,5,"], "d": ["only"]}.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    rows = readers.read_segments(spark, str(tmp_path))
+    assert sorted(r.tic for r in rows.collect()) == ["A", "B", "C", "tic", "tic"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Scan text" not in rows._jdf.queryExecution().executedPlan().toString()

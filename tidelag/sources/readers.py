@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelag.functions.clean import finite, float_text_id, leading_number, log_return
 from tidelag.functions.text import csv_fields, normalise, trim_blanks, zero_fill
 from tidelag.sources import schemas
+from tidelag.sources.shared import staged
 
 
 def line_order() -> F.Column:
@@ -29,12 +30,13 @@ def read_positional(spark: SparkSession, path: str, schema: T.StructType, least_
         if not allow_missing:
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("ord", schemas.PLACE), *schema.fields]))
-    rows = lines.select(line_order().alias("ord"), csv_fields(F.col("value")).alias("f"))
-    # only the first block of a file is numbered, to leave out its first line
-    begins = F.col("ord.file_block_start") == 0
-    number = F.row_number().over(Window.partitionBy("ord.file_path").orderBy("ord.id"))
-    kept = rows.where(~begins).unionByName(rows.where(begins).withColumn("n", number).where("n > 1").drop("n")).where(F.size("f") >= least_fields)
-    return kept.select("ord", *(trim_blanks(F.coalesce(F.get("f", F.lit(k)), F.lit(""))).alias(c.name) for k, c in enumerate(schema.fields)))
+    fields = F.col("f")
+    parsed = lines.select(line_order().alias("ord"), csv_fields(F.col("value")).alias("f"))
+    cut = parsed.select("ord", (F.size(fields) >= least_fields).alias("whole"), *(trim_blanks(F.coalesce(F.get(fields, F.lit(k)), F.lit(""))).alias(c.name) for k, c in enumerate(schema.fields)))
+    # written once, so that the places of first lines are those of the rows: one for each file, and no file is sorted
+    rows = staged(cut, "lines")
+    firsts = staged(rows.where("ord.file_block_start = 0").groupBy("ord.file_path").agg(F.min("ord.id").alias("first")).select("first"), "first-lines")
+    return rows.where("whole").join(firsts, F.col("ord.id") == F.col("first"), "left_anti").select("ord", *(c.name for c in schema.fields))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +54,7 @@ def read_fundamentals(spark: SparkSession, path: str, allow_missing: bool = Fals
 
     rows = read_positional(spark, path, schemas.FUNDAMENTALS, schemas.LEAST_FIELDS["fundamentals"], allow_missing)
     sales = rows.select("ord", "gvkey", F.col("datadate").try_cast("date").alias("datadate"), leading_number(F.col("sale")).alias("sale"))
-    return last_value(sales.where("sale > 0"), ["gvkey", "datadate"], "sale", "ord")
+    return last_value(sales.where("sale > 0").repartition("gvkey", "datadate"), ["gvkey", "datadate"], "sale", "ord")
 
 
 def read_earnings(spark: SparkSession, path: str, allow_missing: bool = False) -> DataFrame:
@@ -61,7 +63,7 @@ def read_earnings(spark: SparkSession, path: str, allow_missing: bool = False) -
 
     rows = read_positional(spark, path, schemas.EARNINGS, schemas.LEAST_FIELDS["earnings"], allow_missing)
     dates = rows.where("tic <> '' and rdq <> ''").select("ord", "tic", F.col("datadate").try_cast("date").alias("datadate"), F.col("rdq").try_cast("date").alias("rdq"))
-    return last_value(dates, ["tic", "datadate"], "rdq", "ord")
+    return last_value(dates.repartition("tic", "datadate"), ["tic", "datadate"], "rdq", "ord")
 
 
 def read_segments(spark: SparkSession, path: str, allow_missing: bool = False) -> DataFrame:
