@@ -4,13 +4,15 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidelag.llm import decontaminate, jaccard, media, pii, pitman_yor, quality, separators, substrings, toxicity
+from tidelag.llm import common, decontaminate, jaccard, media, pii, pitman_yor, quality, separators, substrings, toxicity
 from tidelag.llm.common import hashed_words
 
 LONG = " ".join(f"w{i % 97} the{i}" for i in range(3000))
@@ -171,6 +173,46 @@ def test_jaccard_deals_near_misses_once(spark, monkeypatch):
     assert counts[0] > 0 and counts[1] <= 2.2 * counts[0] and counts[2] <= 2.2 * counts[1]
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_spent_shuffles_leave_the_disk(spark):
+    """What a staged table was made of goes as soon as it is written, and the session's setting is as it was."""
+    before, setting = shuffle_files(spark), spark.conf.get(common.CLEANUP)
+    table = common.staged(frame(spark, [(i, f"w{i % 7}") for i in range(100)]).groupBy("text").count(), "spent-test")
+    counted = jaccard.shared_shingles(common.texts(frame(spark)).coalesce(2), buckets=3)
+    assert not shuffle_files(spark) - before and spark.conf.get(common.CLEANUP) == setting
+    assert table.count() == 7 and counted.where("kind = 1").count() == 2
+
+
+def test_jaccard_holds_few_bytes_for_each_shingle():
+    """A unit and a range of hashes hold some 60 bytes for each shingle at most, of which 8 are the input's."""
+    rng = np.random.default_rng(1)
+    n, each = 400_000, 200
+    flat = np.sort(rng.integers(0, 1 << 63, (n // each, each), dtype=np.uint64), axis=1).ravel()
+    ids, sizes = np.arange(n // each), np.full(n // each, each)
+    tracemalloc.start()
+    try:
+        rows = [jaccard.unit_rows(u, ids, flat, sizes, 3) for u in range(2)]
+        made = tracemalloc.get_traced_memory()
+        assert made[1] - made[0] < 60 * n
+        batch = pd.concat([r[(r.kind == jaccard.KEYS) & (r.bucket == 0)] for r in rows])
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        found = jaccard.shared_keys(batch)
+        assert tracemalloc.get_traced_memory()[1] - held < 60 * 2 * n / 3
+    finally:
+        tracemalloc.stop()
+    assert sum(len(h) for h in found.high) == sum(len(h) for h in batch.high)
+
+
+def test_jaccard_sums_of_equal_keys():
+    keys, weight = np.array([5, 1, 5, 9, 1, 5], np.uint64), np.array([1, 2, 3, 4, 5, 6], np.uint32)
+    assert jaccard.sums_of_equal(keys, weight).tolist() == [10, 7, 10, 4, 7, 10]
+
+
 def test_hashed_words_are_the_words():
     texts_ = [t or "" for _, t in TEXTS] + ["A a\x1cb Ünï\u00a0x\x0b\x0cz", " lead", "trail "]
     hashes, lengths = hashed_words(texts_, SEED)

@@ -32,7 +32,7 @@ from tidelag.llm.common import planes as byte_planes
 
 WIDTH = 5
 PERCENT = 75
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 #: Shingles that a task gathers before it sends them, and characters of text behind a range of hashes.
 UNIT_SHINGLES = 1_500_000
 BUCKET_CHARS = 24_000_000
@@ -155,12 +155,29 @@ def units(batches: Iterator[pd.DataFrame], seed: bytes, width: int) -> Iterator[
         for part in blocks(all_texts := batch.text.tolist(), BLOCK_CHARS):
             held.append((batch.doc_id.iloc[part].to_numpy("<i8"), *shingle_sets(all_texts[part], seed, width)))
             if sum(len(h[1]) for h in held) >= UNIT_SHINGLES:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
+                unit, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), []
+                yield unit
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def starts_of_runs(ordered: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    fresh = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return fresh
+
+
+def sums_of_equal(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each key the weight of all keys that equal it; some 30 bytes a key are held at once."""
+    order = np.argsort(keys)
+    begin = np.flatnonzero(starts_of_runs(keys[order]))
+    sums = np.add.reduceat(weight[order], begin, dtype=np.uint32)
+    out = np.empty(len(keys), "<u4")
+    out[order] = np.repeat(sums, np.diff(begin, append=len(keys)))
+    return out
+
+
 def unit_rows(unit: int, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray, buckets: int) -> pd.DataFrame:
     """A unit's list of documents, and its distinct shingles by bucket.
 
@@ -175,16 +192,20 @@ def unit_rows(unit: int, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray, b
     stands = np.array([first[d] for d in digests], np.int64)
     sends = stands == np.arange(len(ids))
     flat = flat[np.repeat(sends, sizes)]
-    owner = np.repeat(np.arange(len(ids)), np.where(sends, sizes, 0))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.where(sends, sizes, 0))
     order = np.argsort(flat, kind="stable")
-    keys, begin, counts = np.unique(flat[order], return_index=True, return_counts=True)
-    slot = owner[order[begin]]
+    flat, owner = flat[order], owner[order]
+    del order
+    begin = np.flatnonzero(starts_of_runs(flat))
+    counts = np.diff(begin, append=len(flat)).astype(np.int32)
+    keys, slot = flat[begin], owner[begin]
     several = np.flatnonzero(counts > 1)
     slot[several] = len(ids) + np.arange(len(several))
-    members = owner[order[np.repeat(counts > 1, counts)]]
+    members = owner[np.repeat(counts > 1, counts)]
+    del flat, owner, begin
     table = np.stack([ids, ids[stands], sizes]).astype("<i8")
     rows = [(LISTED, unit % buckets, unit, table.tobytes(), b"".join(digests), members.astype("<u4").tobytes(), b"", counts[several].astype("<u4").tobytes())]
-    bucket = (keys >> np.uint64(40)).astype(np.int64) % buckets
+    bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     by_bucket = np.lexsort((slot, bucket))
     cut = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -200,14 +221,13 @@ def shared_keys(batch: pd.DataFrame) -> pd.DataFrame:
     batch = batch[batch.kind == KEYS]
     if len(batch):
         keys = keys_of(b"".join(batch.low), b"".join(batch.high))
-        found, place = np.unique(keys, return_inverse=True)
-        weight = np.ones(len(keys), np.int64)
+        weight = np.ones(len(keys), np.uint32)
         at = 0
         for r in batch.itertuples():
             at += len(r.high)
             repeated = np.frombuffer(r.counts, "<u4")
             weight[at - len(repeated) : at] = repeated
-        df = np.bincount(place, weight, len(found)).astype("<u4")[place]
+        df = sums_of_equal(keys, weight)
         at = 0
         for r in batch.itertuples():
             own = slice(at, at := at + len(r.high))
@@ -257,11 +277,9 @@ def unit_sets(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")])
 
 
-def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None, seed: bytes | None = None) -> DataFrame:
-    """doc_id, n, set_a, set_b (a digest of the set), stands (the smallest doc_id with this set in
-    the unit), and for documents that may have a partner: prefix, shared (sorted keys that occur
-    more than once), sig. A key is the number of its range of hashes above 40 bits of its hash.
-    """
+def shared_shingles(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, seed: bytes | None = None) -> DataFrame:
+    """Rows of the units: their lists, and their shingles that occur more than once, with counts. They are
+    written, so that the shuffle of all shingles is deleted before what is shared travels back."""
     if buckets is None:
         total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
         buckets = max(tasks_for(docs.sparkSession), -(-total // BUCKET_CHARS))
@@ -275,10 +293,21 @@ def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets
             unit += 1
             release_memory()
 
-    counted = docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(shared_keys, ROWS)
+    return staged(docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(shared_keys, ROWS), "jaccard-shared")
+
+
+def sets_of(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, set_a, set_b (a digest of the set), stands (the smallest doc_id with this set in
+    the unit), and for documents that may have a partner: prefix, shared (sorted keys that occur
+    more than once), sig. A key is the number of its range of hashes above 40 bits of its hash.
+    """
     return counted.groupBy("unit").applyInPandas(lambda batch: unit_sets(batch, percent), SETS)
 
 
+def profile(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None, seed: bytes | None = None) -> DataFrame:
+    return sets_of(shared_shingles(docs, width, buckets, seed), percent)
+
+
 def tiles(candidates: DataFrame) -> DataFrame:
     """tile, doc_id, guest, own: a document is at home in its size band and a guest in the next one.
 
@@ -301,13 +330,14 @@ def compared(dealt: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
 
     First the bit counts tell which documents may link; what they join is a group, named by its
     members, so that a group which many tasks hold is compared once. Only documents of groups
-    bring their shingles, and those that have been linked are not compared again.
+    bring their shingles, of which their bit counts are made again, and those that have been
+    linked are not compared again.
     """
     in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
     bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
     groups = bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "component", "pivot"), "task long, doc_id long, component long, pivot boolean")
     near = staged(groups.distinct(), "jaccard-near")
-    return in_tasks(near.join(candidates.select("doc_id", "n", "own", "sig", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
+    return in_tasks(near.join(candidates.select("doc_id", "n", "own", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
 
 
 def verify(pairs: DataFrame, asked: int, candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -378,10 +408,10 @@ def _by_task(compare: Callable[[list], Iterator[tuple]], *columns: str) -> Calla
     return run
 
 
-def _candidates(rows: list, label: np.ndarray, percent: int, meets: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(rows: list, signatures: list[bytes], label: np.ndarray, percent: int, meets: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(place, later places whose bit counts allow a link); ``label`` tells components apart and may change on the way."""
     n, k = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("n", "own"))
-    sig = alike([r.sig for r in rows])
+    sig = alike(signatures)
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
         j = j[label[j] != label[i]]
@@ -404,7 +434,7 @@ def _near(rows: list, percent: int) -> Iterator[tuple[int, int, int]]:
     block, guest, inner = np.array([r.block for r in rows]), np.array([r.guest for r in rows], bool), rows[0].inner
     group = np.arange(len(rows))
     # who is in one group already needs no comparison
-    for i, j in _candidates(rows, _labels(rows), percent, lambda i, j: ~(guest[j] & guest[i]) & (inner | (block[j] != block[i])) & (group[j] != group[i])):
+    for i, j in _candidates(rows, [r.sig for r in rows], _labels(rows), percent, lambda i, j: ~(guest[j] & guest[i]) & (inner | (block[j] != block[i])) & (group[j] != group[i])):
         group[np.isin(group, group[j])] = group[i]
     order = np.argsort(group, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
@@ -418,7 +448,7 @@ def _join(rows: list, percent: int) -> Iterator[tuple[int, int]]:
     """Links that join the components of these rows, by exact intersections; with a pivot among them, only its own."""
     label, pivot = _labels(rows), np.array([r.pivot for r in rows], bool)
     shared = [unpacked_keys(r.shared) for r in rows]
-    for i, j in _candidates(rows, label, percent, (lambda i, j: pivot[i] | pivot[j]) if pivot.any() else None):
+    for i, j in _candidates(rows, [signature(keys).tobytes() for keys in shared], label, percent, (lambda i, j: pivot[i] | pivot[j]) if pivot.any() else None):
         n = np.array([rows[x].n for x in j.tolist()], np.int64)
         for x in j[linked(rows[i].n, n, overlaps(shared[i], [shared[x] for x in j.tolist()]), percent)].tolist():
             if label[x] != label[i]:
@@ -434,7 +464,9 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     that links by each of them; an empty table gives no rows; columns other than doc_id and text
     are not read.
     """
-    table = staged(profile(texts(docs), width, percent), "jaccard-sets")
+    counted = shared_shingles(texts(docs), width)
+    table = staged(sets_of(counted, percent), "jaccard-sets")
+    spent(counted)
     sets = ["set_a", "set_b"]
     standing = table.where("n > 0 and doc_id = stands")
     first = standing.groupBy(*sets).agg(F.min("doc_id").alias("first"))
