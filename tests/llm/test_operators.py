@@ -208,6 +208,28 @@ def test_jaccard_holds_few_bytes_for_each_shingle():
     assert sum(len(h) for h in found.high) == sum(len(h) for h in batch.high)
 
 
+def test_jaccard_gets_few_rows_at_once(spark, monkeypatch):
+    """Texts come to a task in batches of ``BATCH_ROWS``, and the session's setting is as it was."""
+    setting, real = spark.conf.get(common.BATCH), jaccard.units
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 2)
+
+    def watched(batches, *how):
+        def seen():
+            for batch in batches:
+                if len(batch) > 2:
+                    raise ValueError(f"{len(batch)} rows at once")
+                yield batch
+
+        return real(seen(), *how)
+
+    jaccard.units = watched
+    try:
+        assert jaccard.shared_shingles(common.texts(frame(spark)).coalesce(1), buckets=3).count()
+    finally:
+        jaccard.units = real
+    assert spark.conf.get(common.BATCH) == setting
+
+
 def test_jaccard_sums_of_equal_keys():
     keys, weight = np.array([5, 1, 5, 9, 1, 5], np.uint64), np.array([1, 2, 3, 4, 5, 6], np.uint32)
     assert jaccard.sums_of_equal(keys, weight).tolist() == [10, 7, 10, 4, 7, 10]

@@ -33,6 +33,8 @@ from tidelag.llm.common import planes as byte_planes
 WIDTH = 5
 PERCENT = 75
 BLOCK_CHARS = 500_000
+#: Rows of texts, bitmaps or shingles that a task gets at once.
+BATCH_ROWS = 1000
 #: Shingles that a task gathers before it sends them, and characters of text behind a range of hashes.
 UNIT_SHINGLES = 1_500_000
 BUCKET_CHARS = 24_000_000
@@ -293,7 +295,7 @@ def shared_shingles(docs: DataFrame, width: int = WIDTH, buckets: int | None = N
             unit += 1
             release_memory()
 
-    return staged(docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(shared_keys, ROWS), "jaccard-shared")
+    return staged(docs.mapInPandas(send, ROWS).groupBy("bucket").applyInPandas(shared_keys, ROWS), "jaccard-shared", batch_rows=BATCH_ROWS)
 
 
 def sets_of(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -336,7 +338,7 @@ def compared(dealt: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
     in_tasks = lambda rows: rows.repartition("task").sortWithinPartitions("task", "doc_id")
     bounded = in_tasks(dealt.join(candidates.select("doc_id", "n", "own", "sig"), "doc_id"))
     groups = bounded.mapInPandas(_by_task(lambda rows: _near(rows, percent), "task", "doc_id", "component", "pivot"), "task long, doc_id long, component long, pivot boolean")
-    near = staged(groups.distinct(), "jaccard-near")
+    near = staged(groups.distinct(), "jaccard-near", batch_rows=BATCH_ROWS)
     return in_tasks(near.join(candidates.select("doc_id", "n", "own", "shared"), "doc_id")).mapInPandas(_by_task(lambda rows: _join(rows, percent), "a", "b"), "a long, b long")
 
 
@@ -488,11 +490,11 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         if not rows:
             break
         if last := turn >= TURNS or turn > 0 and (pairs <= PAIRS_EACH * rows or 5 * linked_pairs <= asked):
-            new = staged(tile_links(open_, candidates, percent), "jaccard-links")
+            new = staged(tile_links(open_, candidates, percent), "jaccard-links", batch_rows=BATCH_ROWS)
         else:
             pairs_drawn, seen = staged_and_seen(star_pairs(open_), "jaccard-pairs", n=F.count("*"))
             asked = seen.get("n") or 0
-            new, seen = staged_and_seen(verify(pairs_drawn, asked, candidates, percent), "jaccard-links", n=F.count("*"))
+            new, seen = staged_and_seen(verify(pairs_drawn, asked, candidates, percent), "jaccard-links", batch_rows=BATCH_ROWS, n=F.count("*"))
             linked_pairs = seen.get("n") or 0
             spent(pairs_drawn)
         spent(open_)
