@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidelag.llm import bpe, decontaminate, jaccard, pii, toxicity
 from tidelag.llm.common import read_table, staged, texts
 
+#: Texts that travel to a Python worker at once, in its memory and in that of the JVM.
+TEXTS = 1000
+
 #: No stage can be written in SQL as a whole (a trained model, components, a codec).
 ORACLE_SQL: str | None = None
 
@@ -40,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts and rows without doc_id stay; an empty benchmark or table removes nothing.
     """
-    found = staged(decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    found = staged(decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks", batch_rows=TEXTS)
     return docs.join(found, docs.doc_id == found.doc_id, "left_anti")
 
 
@@ -51,8 +54,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the number of tokens and a digest of the decoded text; no row goes."""
-    coded = bpe.encode_column(docs)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"))
+    coded = bpe.encode_column(docs, digest=True)
+    return staged(coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text_sha256")), "stage-encoding", batch_rows=TEXTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stage(spark, docs, sf_dir)
+        if "staged_at" not in vars(docs):
+            docs = staged(docs, f"stage-{name}")
     return docs

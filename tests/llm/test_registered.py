@@ -16,8 +16,8 @@ from test_operators import KINDS, TEXTS, brute_components, brute_leaks, brute_re
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidelag.llm import features, jaccard, media, mpeg, pii, quality, queries, separators, toxicity
-from tidelag.llm.common import texts
+from tidelag.llm import bpe, features, jaccard, media, mpeg, pii, quality, queries, separators, toxicity
+from tidelag.llm.common import staged, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -242,5 +242,29 @@ def test_stage_encoding(spark):
     assert stage("encoding")(spark, frame(spark, []), SF).count() == 0
 
 
+def test_stage_encoding_bounds_what_a_worker_gets(spark, monkeypatch):
+    written = []
+
+    def spy(df, name, **how):
+        written.append((name, how, df._jdf.queryExecution().toString()))
+        return staged(df, name, **how)
+
+    monkeypatch.setattr(corpus_pipeline, "staged", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = stage("encoding")(spark, frame(spark, ODD), SF)._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "sha2(" not in plan  # whoever writes the rows runs no Python under other settings
+    (_, how, own), = written
+    assert how["batch_rows"] <= 1000 and "InPandas" in own and "sha2(" not in own  # decoded texts do not travel back
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_encoding_of_many_symbols_in_parts(monkeypatch):
+    known = bpe.load(bpe.default_vocabulary())
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 12)) + "aaaa" for i in range(60)]
+    whole = [x.tolist() for x in known.encode(words)]
+    monkeypatch.setattr(bpe, "NOTED", 7)
+    assert [x.tolist() for x in known.encode(words)] == whole and whole[3] == library().encode(words[3], add_special_tokens=False).ids
+
+
 def test_link_bounds_of_equal_sets():
     assert jaccard.linked(4, 4, 4) and not jaccard.linked(4, 4, 3) and jaccard.linked(7, 7, 6)

@@ -24,6 +24,8 @@ from tidelag.llm.common import Numbers, blocks, ragged, read_table, release_memo
 
 #: Characters of text that are encoded together; bounds the memory of a task.
 BLOCK_CHARS = 4_000_000
+#: Positions whose pairs are looked up at once when a block begins.
+NOTED = 1 << 18
 
 # The pre-tokenisation pattern of the vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -93,8 +95,8 @@ class Vocabulary:
         n = len(symbol)
         if not n:
             return symbol, lengths
-        piece = np.repeat(np.arange(len(parts)), lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.cumsum(lengths)[lengths > 0] - 1
         after[last] = n  # n: no neighbour
         before[last[:-1] + 1] = n
@@ -122,7 +124,8 @@ class Vocabulary:
                     index[r] = [at[i:j]]
                     heapq.heappush(heap, r)
 
-        note(np.arange(n))
+        for start in range(0, n, NOTED):
+            note(np.arange(start, min(n, start + NOTED), dtype=np.int32))
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
@@ -205,14 +208,16 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def encode_column(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, ids array<int>, decoded: every whole text encoded and decoded again.
+def encode_column(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS, digest: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, decoded: every whole text encoded and decoded again; with ``digest``
+    the SHA-256 of the decoded text in its place, made where it is decoded.
 
     Null and empty texts give no ids and an empty text; equal texts give equal rows; rows without
     doc_id are encoded too; an empty table gives no rows; columns other than doc_id and text are
     not read.
     """
     path = path or default_vocabulary()
+    decoded = (lambda ids: sha256(load(path).decode(ids).encode()).hexdigest()) if digest else (lambda ids: load(path).decode(ids))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +225,7 @@ def encode_column(docs: DataFrame, path: str | None = None, block_chars: int = B
         for batch in batches:
             for part in blocks(all_texts := batch.text.tolist(), block_chars):
                 ids = vocabulary.encode(all_texts[part])
-                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "named": batch.named.iloc[part].to_numpy(), "ids": [x.astype(np.int32) for x in ids], "decoded": [vocabulary.decode(x) for x in ids]})
+                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "named": batch.named.iloc[part].to_numpy(), "ids": [x.astype(np.int32) for x in ids], "decoded": [decoded(x) for x in ids]})
                 release_memory()
 
     # a long with nulls would come as doubles, so nulls travel as a flag
