@@ -492,6 +492,27 @@ def test_language_model_asks_once_for_a_frequent_pair(docs):
     assert "FlatMapCoGroupsInPandas" not in plan  # one word's tokens do not meet in a group
 
 
+def test_language_model_keeps_and_sends_only_pairs_that_recur(spark, docs):
+    pairs = collections.Counter()
+    for i, t in TEXTS:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            line = [pitman_yor.START, *words(t), pitman_yor.END]
+            pairs.update(zip(line[:-1], line[1:], strict=True))
+    rows = pitman_yor.texts(docs).withColumn("held_out", pitman_yor.remainder5() == 1)
+    counts = pitman_yor.count_words(pitman_yor.chunked(rows, 3), 3)
+    kept = {}
+    for r in counts.where(counts.kind == pitman_yor.COUNTS).collect():
+        table = pitman_yor.unpack(r.bucket, r.a, r.b, r.c, r.d, r.e)
+        kept |= {(table.words[w], int(u)): int(n) for w, u, n in zip(table.word, table.context, table.count, strict=True)}
+    assert kept == {(w.encode(), int(pitman_yor.hash_of([u])[0])): n for (u, w), n in pairs.items() if n > 1} and 0 < len(kept) < len(pairs)
+    asked = counts.where(counts.kind == pitman_yor.ASKED).collect()
+    assert all(not (r.c or r.d or r.e) for r in asked) and sum(len(r.b) // 4 for r in asked) >= len(pairs)  # places, no hashes
+    model, _ = pitman_yor.fit(counts, 3)
+    assert model.totals[0] == pitman_yor.Totals(sum(pairs.values()), len(pairs), len({w for _, w in pairs})) and len(model.totals) == 1 + pitman_yor.SWEEPS
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    assert model.discount == pytest.approx(min(0.95, max(0.1, once / (once + 2 * twice))))
+
+
 def test_language_model_contexts_are_whole_words(spark):
     # "bat" and "hat" end alike; what follows them does not
     rows = [(i, "bat red" if i % 2 else "hat blue") for i in range(80)] + [(100, "bat blue"), (101, "hat red")]
