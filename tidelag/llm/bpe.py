@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidelag.llm.common import Numbers, blocks, ragged, read_table, release_memory, texts
 
 #: Characters of text that are encoded together; bounds the memory of a task.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Positions whose pairs are looked up at once when a block begins.
 NOTED = 1 << 18
 
@@ -83,7 +83,7 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 for none."""
-        wanted = a * self.size + b
+        wanted = a.astype(np.int64) * self.size + b
         at = np.searchsorted(self.keys, wanted)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, self.order[at], -1)
@@ -91,7 +91,7 @@ class Vocabulary:
     def encode_pieces(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has."""
         lengths = np.array([len(p) for p in parts], np.int64)
-        symbol = self.byte_id[np.frombuffer(b"".join(parts), np.uint8)]
+        symbol = self.byte_id[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int32)
         n = len(symbol)
         if not n:
             return symbol, lengths
@@ -174,7 +174,7 @@ class Vocabulary:
                         row += map(number, pieces(part))
             else:
                 row = list(map(number, pieces(text)))
-            spelled.append(np.array(row, np.int64))
+            spelled.append(np.array(row, np.int32))
         ids, counts = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in known])
         starts = np.cumsum(counts) - counts
         special = np.sort(np.fromiter(self.added.values(), np.int64, len(self.added)))
