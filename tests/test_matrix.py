@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidelag.operators import lanczos, matrix, spectral
+from tidelag.operators import dense, lanczos, matrix, spectral
 
 
 def test_cells_without_scores_vanish(spark):
@@ -249,3 +249,31 @@ def test_whole_spectrum_by_connected_parts(spark):
     want = np.sort(np.concatenate([want, np.zeros(4500 + 80 + 21 + 1 - len(want))]))[::-1]
     assert got["rank"].tolist() == list(range(1, 4603))
     assert np.allclose(got.eigval, want, atol=1e-9)
+
+
+@pytest.mark.parametrize(("n", "cells", "hubs", "width"), [(1, 0, 0, 4), (2, 1, 0, 4), (9, 20, 0, 4), (65, 400, 0, 16), (130, 900, 0, 96), (200, 700, 15, 96), (300, 900, 70, 96), (40, 60, 5, 3)])
+def test_whole_spectrum_in_half_the_size(n, cells, hubs, width, monkeypatch):
+    """Random matrices, and those whose cells all touch a few nodes, which are folded."""
+    monkeypatch.setattr(dense, "WIDTH", width)
+    monkeypatch.setattr(spectral, "FOLDED", 32)
+    r, c, value, full = random_skew(n, cells, n)
+    if hubs:
+        kept = r < hubs
+        r, c, value = r[kept], c[kept], value[kept]
+        full[hubs:, hubs:] = 0
+    got = spectral.whole_spectrum(r, c, value, n)
+    assert len(got) == n and np.allclose(got, np.linalg.eigvalsh(1j * full)[::-1], atol=1e-11)
+
+
+def test_a_connected_part_of_more_than_4000_nodes():
+    """A random part that no few nodes touch: the sums of squares and of fourth powers are those of the cells."""
+    rng, n = np.random.default_rng(6), 4100
+    at = np.unique(np.concatenate([np.arange(n - 1) * n + np.arange(1, n), *(np.sort(rng.integers(0, n, (6 * n, 2)), axis=1) @ [[n], [1]]).T]))
+    r, c = at // n, at % n
+    r, c = r[r < c], c[r < c]
+    value = rng.standard_normal(len(r))
+    cells = pd.DataFrame({"r": r, "c": c, "value": value})
+    got = spectral.part_spectrum(cells).eigval.to_numpy()
+    assert 2 * spectral.cover_of(r, c, n).sum() > 4000 and len(got) == n and np.allclose(got, -got[::-1], atol=1e-10)
+    assert (got**2).sum() == pytest.approx(2 * (value**2).sum(), rel=1e-11)
+    assert got[0] == pytest.approx(lanczos.largest_value(lanczos.Cells(r, c, value, n)), rel=1e-8)
