@@ -1,7 +1,9 @@
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidelag.operators import dense, lanczos, matrix, spectral
@@ -277,3 +279,26 @@ def test_a_connected_part_of_more_than_4000_nodes():
     assert 2 * spectral.cover_of(r, c, n).sum() > 4000 and len(got) == n and np.allclose(got, -got[::-1], atol=1e-10)
     assert (got**2).sum() == pytest.approx(2 * (value**2).sum(), rel=1e-11)
     assert got[0] == pytest.approx(lanczos.largest_value(lanczos.Cells(r, c, value, n)), rel=1e-8)
+
+
+def test_a_permuted_matrix_of_many_cells_takes_little_memory(monkeypatch):
+    """What a task holds beside its packs, while it permutes them and multiplies: below 30 bytes a cell, and the same values."""
+    monkeypatch.setattr(spectral, "PACK", 1 << 14)
+    monkeypatch.setattr(lanczos, "SLICE", 1 << 14)
+    n, m = 4000, 600_000
+    rng = np.random.default_rng(9)
+    at = np.sort(rng.choice(n * (n - 1) // 2, m, replace=False))
+    r, c = spectral.cell_of(at, n)
+    value = rng.standard_normal(m)
+    table = pa.RecordBatch.from_pydict({"r": r.astype(np.int32), "c": c.astype(np.int32), "value": value})
+    packs, keys = spectral.unpacked(spectral.pack(table.slice(k, 10_000) for k in range(0, m, 10_000)))
+    assert len(packs) > 20 and sum(len(p[3]) for p in packs) == m
+    x = rng.standard_normal(n)
+    assert np.allclose(spectral.joined(packs, n).times(x), lanczos.Cells(r, c, value, n).times(x))
+    tracemalloc.start()
+    cells = spectral.permuted_packs(packs, n, 7, 3)
+    image = cells.times(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * m
+    assert np.allclose(image, lanczos.Cells(*spectral.permuted(r, c, value, n, 7, 3), n).times(x))
