@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import tracemalloc
 
 import numpy as np
@@ -302,3 +303,42 @@ def test_a_permuted_matrix_of_many_cells_takes_little_memory(monkeypatch):
     tracemalloc.stop()
     assert peak < 30 * m
     assert np.allclose(image, lanczos.Cells(*spectral.permuted(r, c, value, n, 7, 3), n).times(x))
+
+
+def test_close_values_of_many_nodes_take_few_products(monkeypatch):
+    """Single vectors reach the same pairs as blocks with less than half of the products, and a larger value that is left out shows."""
+    n, k = 3000, 6
+    r, c, value, _ = random_skew(n, 30_000, 2)
+    products, times = [0], lanczos.Cells.times
+
+    def counted(self, x):
+        products[0] += 1
+        return times(self, x)
+
+    monkeypatch.setattr(lanczos.Cells, "times", counted)
+    wanted, _ = lanczos.leading(lanczos.Held(r, c, value, n), n, k)
+    by_blocks, products[0] = products[0], 0
+    monkeypatch.setattr(lanczos, "MANY", 100)
+    space = lanczos.Held(r, c, value, n)
+    found, u = lanczos.leading_of_many(space, n, k)
+    assert products[0] < by_blocks / 2
+    v = space.q @ u
+    image = np.stack([times(space.cells, v[:, j].real.copy()) + 1j * times(space.cells, v[:, j].imag.copy()) for j in range(k)], axis=1)
+    assert np.allclose(found, wanted, atol=1e-8) and np.abs(1j * image - v * found).max() < 1e-6 and np.allclose(v.conj().T @ v, np.eye(k), atol=1e-8)
+    pairs = 2 * np.arange(60)  # values that are there twelve times
+    r, c, value = pairs, pairs + 1, np.r_[np.full(12, 3.0), np.linspace(0.1, 2.9, 48)]
+    assert np.allclose(lanczos.leading_of_many(lanczos.Held(r, c, value, 400), 400, 10)[0], 3.0, atol=1e-8)
+
+
+def test_tables_of_a_space_are_deleted(spark):
+    """Steps over tables leave no table that was replaced, and none at the end."""
+    r, c, value, _ = random_skew(30, 100, 3)
+    held = spectral.Skew(as_matrix(spark, r, c, value))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    space = lanczos.Spread(held.cells, held.names.select("at"))
+    lanczos.leading(space, held.n, 2, 4)
+    left = [x for x in set(os.listdir(folder)) - before if x.startswith("lanczos-space")]
+    assert len(left) == 1
+    space.drop()
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("lanczos")]
